@@ -79,12 +79,12 @@ def letter_case(column: Column) -> Column:
 
     A word without letters has no case of its own and counts as lower.
     """
-    has_letter = column.rlike("[A-Za-z]")
+    has_letter = column.rlike(r"\p{L}")
     return (
         F.when(has_letter & (column == F.upper(column)), "upper")
         .when(has_letter & (column == F.lower(column)), "lower")
-        .when(has_letter & column.rlike("^[^A-Za-z]*([A-Z][a-z]*[^A-Za-z]*)+$"), "title")
-        .when(column.rlike("^[A-Z]") & ~column.rlike("^[A-Za-z]+$"), "capitalize")
+        .when(column.rlike(r"^\P{L}*\p{Lu}\p{Ll}*(\P{L}+\p{Lu}\p{Ll}*)*\P{L}*$"), "title")
+        .when(column.rlike(r"^\p{Lu}") & ~column.rlike(r"^\p{L}+$"), "capitalize")
         .otherwise("lower")
     )
 

@@ -55,3 +55,20 @@ def line_pair(spark: SparkSession, folder: str) -> DataFrame:
 LINE_PAIR = """(SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'real' ELSE 'fake' END AS side, l_quantity, l_extendedprice,
  CASE WHEN l_linenumber <> 7 THEN l_discount END AS l_discount, l_tax, l_returnflag, l_linestatus,
  CAST(l_linenumber AS VARCHAR) AS l_linenumber FROM lineitem)"""
+
+
+class Registry:
+    """Collects the queries of one area with their SQL."""
+
+    def __init__(self) -> None:
+        self.queries: dict = {}
+        self.sql: dict[str, str] = {}
+
+    def query(self, name: str, sql: str | None = None):
+        def keep(build):
+            self.queries[name] = build
+            if sql is not None:
+                self.sql[name] = sql
+            return build
+
+        return keep
