@@ -2,26 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def count_edges(value: Column, edges: list[float], inclusive: bool = True) -> Column:
-    """Number of `edges` (ascending) that are <= value, or < value.
+BRANCHES = 5
 
-    Built as a balanced CASE tree: it stays inside generated code and needs
-    log2(n) comparisons per row.
-    """
 
-    def node(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        edge = F.lit(float(edges[middle]))
-        passed = value >= edge if inclusive else value > edge
-        return F.when(passed, node(middle + 1, high)).otherwise(node(low, middle))
+def with_edge_counts(df: DataFrame, searches: dict[str, tuple[Column, list[float], bool]]) -> DataFrame:
+    """Add one column per search (value, ascending edges, inclusive): edges <= value, or < value.
 
-    return node(0, len(edges))
+    NULL stays NULL.  The search runs by levels: the coarsest compares with every s-th
+    edge, the next only inside the block found, addressed by arithmetic.  Each level is
+    a projection of its own, so its result is a local variable of the generated code; a
+    comparison per edge, or levels nested in one expression, would outgrow the size up
+    to which the JVM compiles a method.
+    """
+    names = list(searches)
+    staged = df.select("*", *[searches[n][0].cast("double").alias(f"__v_{n}") for n in names])
+    plans = {}
+    for n in names:
+        count, step = len(searches[n][1]), 1
+        while step * BRANCHES <= count:
+            step *= BRANCHES
+        plans[n] = step
+    columns = {n: None for n in names}
+    for step in sorted({BRANCHES**i for i in range(20) if BRANCHES**i <= max(plans.values(), default=1)}, reverse=True):
+        added = []
+        for n in names:
+            _, edges, inclusive = searches[n]
+            if step > plans[n]:
+                continue
+            value = F.col(f"`__v_{n}`")
+            found = None if columns[n] is None else F.col(columns[n])
+            # NaN sorts above every number, so the padding is never passed
+            table = F.array(*[F.lit(float(e)) for e in [*edges, *[math.nan] * (BRANCHES * plans[n])]])
+            places = range(step - 1, len(edges) if found is None else (BRANCHES - 1) * step, step)
+            total = F.lit(0) if found is None else found
+            for place in places:
+                edge = F.lit(float(edges[place])) if found is None else F.get(table, found + place)
+                hit = value >= edge if inclusive else value > edge
+                total = total + (hit.cast("int") * step if step > 1 else hit.cast("int"))
+            if not edges:
+                total = F.when(value.isNotNull(), F.lit(0))
+            output = f"`{n}`" if step == 1 else f"`__l{step}_{n}`"
+            added.append((n, output, total))
+        if added:
+            staged = staged.select("*", *[total.alias(output.strip("`")) for _, output, total in added])
+            for n, output, _ in added:
+                columns[n] = output
+    return staged.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{n}`") for n in names])
 
 
 def unit_scale(value: Column, low: float, high: float) -> Column:
@@ -52,16 +84,23 @@ def right_closed_bin(value: Column, low: float | None, high: float | None, bins:
     return F.when((z >= 0) & (z <= 1), index.cast("int"))
 
 
-def quantile_bin_right_closed(value: Column, edges: list[float]) -> Column:
-    """I4: (e_i, e_i+1] with the lowest edge included; NULL or outside gives -1."""
-    inside = F.greatest(count_edges(value, edges, inclusive=False) - 1, F.lit(0))
-    outside = value.isNull() | (value < F.lit(float(edges[0]))) | (value > F.lit(float(edges[-1])))
-    return F.when(outside, F.lit(-1)).otherwise(inside)
+def right_closed_index(below: Column, count: int) -> Column:
+    """I4: bin (e_i, e_i+1] from the number of edges below the value.
+
+    The lowest edge is included by the caller's search; NULL or outside is -1.
+    """
+    return F.coalesce(F.when(below < count, F.greatest(below - 1, F.lit(0))), F.lit(-1))
+
+
+def quantile_search(value: Column, edges: list[float]) -> tuple[Column, list[float], bool]:
+    """I4: the search behind `right_closed_index`: values outside the edges drop out as NULL."""
+    inside = (value >= F.lit(float(edges[0]))) & (value <= F.lit(float(edges[-1])))
+    return F.when(inside, value), edges, False
 
 
-def quantile_bin_open_ended(value: Column, edges: list[float]) -> Column:
-    """Left-closed bins whose first and last reach to infinity; NULL gives 0."""
-    return F.when(value.isNull(), F.lit(0)).otherwise(count_edges(value, edges[1:-1], inclusive=True))
+def open_ended_search(value: Column, edges: list[float]) -> tuple[Column, list[float], bool]:
+    """Left-closed bins whose first and last reach to infinity; a NULL count means bin 0."""
+    return value, edges[1:-1], True
 
 
 def is_uniform_grid(edges: list[float]) -> bool:

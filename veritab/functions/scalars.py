@@ -45,6 +45,11 @@ def numeric_of(df: DataFrame, name: str) -> Column:
     return to_number(named(name), df.schema[name].dataType)
 
 
+def strip_blanks(column: Column) -> Column:
+    """Remove blanks, tabs and line breaks at both ends."""
+    return F.btrim(column, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def capitalize(column: Column) -> Column:
     """B1: trimmed text, first character upper-case and all others lower-case."""
     text = F.trim(column)
@@ -114,7 +119,8 @@ def strip_leading_breaks(column: Column) -> Column:
 
 
 def clip(column: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), column))
+    """Limit to [low, high]; NULL stays NULL (least and greatest alone would skip it)."""
+    return F.when(column.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), column)))
 
 
 def truncate_digits(column: Column, digits: int) -> Column:

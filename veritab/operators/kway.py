@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.functions.binning import quantile_bin_open_ended, quantile_bin_right_closed, right_closed_bin
+from veritab.functions.binning import open_ended_search, quantile_search, right_closed_bin, right_closed_index, with_edge_counts
 from veritab.functions.scalars import literal_map, lookup, missing_text, named, numeric_of
 from veritab.operators.marginals import fit_ranges
 from veritab.operators.ranks import exact_quantiles, running_totals
@@ -163,14 +163,23 @@ def aligned_codes(pair: DataFrame, pieces: int = 10, types: ColumnTypes | None =
     real = pair.filter(on_side(REAL)).drop(SIDE)
     types = types or types_by_parsing(real, threshold=0.8, strict=True)
     edges = exact_quantiles(real, {c: numeric_of(real, c) for c in types.numeric}, pieces)
-    codes = []
-    for name in [*types.numeric, *types.categorical]:
+    names = [*types.numeric, *types.categorical]
+    searches, texts = {}, []
+    for name in names:
         distinct = sorted(set(edges.get(name, [])))
         if len(distinct) >= 2:
-            codes.append(quantile_bin_right_closed(numeric_of(pair, name), distinct).alias(name))
+            searches[f"__code_{name}"] = quantile_search(numeric_of(pair, name), distinct)
         else:
-            codes.append(missing_text(named(name), pair.schema[name].dataType).alias(name))
-    return pair.select(SIDE, *codes)
+            texts.append(missing_text(named(name), pair.schema[name].dataType).alias(f"__code_{name}"))
+    found = with_edge_counts(pair.select("*", *texts), searches)
+    return found.select(
+        SIDE,
+        *[
+            (right_closed_index(named(f"__code_{c}"), len(searches[f"__code_{c}"][1])) if f"__code_{c}" in searches
+             else named(f"__code_{c}")).alias(c)
+            for c in names
+        ],
+    )
 
 
 def kway_aligned(
@@ -226,14 +235,15 @@ def fit_encoder(fit: DataFrame, types: ColumnTypes, pieces: int = 20, null_text:
 
 def encode_quantiles(df: DataFrame, encoder: QuantileEncoder, keep: list[str], null_text: str = "__NA__") -> DataFrame:
     """Integer codes; a category unseen in the fit table is 0."""
-    codes = [quantile_bin_open_ended(numeric_of(df, c), e).alias(c) for c, e in encoder.edges.items()]
+    found = with_edge_counts(df, {f"__code_{c}": open_ended_search(numeric_of(df, c), e) for c, e in encoder.edges.items()})
+    codes = [F.coalesce(named(f"__code_{c}"), F.lit(0)).alias(c) for c in encoder.edges]
     for c, values in encoder.vocabulary.items():
         ids = literal_map({v: i for i, v in enumerate(values, start=1)})
         codes.append(F.coalesce(lookup(ids, text_of(c, null_text)), F.lit(0)).alias(c))
     if not encoder.large:
-        return df.select(*keep, *codes)
+        return found.select(*keep, *codes)
     texts = [text_of(c, null_text).alias(f"__text_{c}") for c in encoder.large]
-    coded = df.select(*keep, *codes, *texts)
+    coded = found.select(*keep, *codes, *texts)
     for c, table in encoder.large.items():
         side = table.select(F.col("value").alias(f"__value_{c}"), F.col("id").alias(f"__id_{c}"))
         coded = coded.join(side, named(f"__text_{c}") == named(f"__value_{c}"), "left")
