@@ -18,7 +18,7 @@ from veritab.operators.sides import FAKE, REAL, SIDE, ColumnTypes, data_columns,
 
 SUBSETS_PER_SCAN = 32
 LITERAL_VOCABULARY = 1000
-DROPPED = "\u0000drop"
+DROPPED_TEXT, DROPPED_CODE = "\u0000drop", -9
 
 
 # --------------------------------------------------------------------- subsets
@@ -81,16 +81,18 @@ def subset_distances(codes: DataFrame, subsets: list[tuple[str, ...]], drop_code
                      pre_collapse: bool = True) -> DataFrame:
     """Total variation distance per subset: (subset, k, columns, tvd).
 
-    With `drop_code`, tuples holding the code DROPPED leave both the counts and the
-    totals of their subset.
+    With `drop_code`, tuples holding a dropped code leave both the counts and the totals
+    of their subset.
     """
     columns = sorted({c for subset in subsets for c in subset})
     base, weight = (collapse(codes, columns), "w") if pre_collapse else (codes, None)
     counts = joint_counts(base, subsets, weight)
     if drop_code:
+        kinds = dict(counts.dtypes)
         marked = F.lit(False)
         for c in columns:
-            marked = marked | F.coalesce(named(c).cast("string") == DROPPED, F.lit(False))
+            dropped = F.lit(DROPPED_TEXT) if kinds[c] == "string" else F.lit(DROPPED_CODE).cast(kinds[c])
+            marked = marked | F.coalesce(named(c) == dropped, F.lit(False))
         counts = counts.filter(~marked)
     counts = counts.select("subset", "n_real", "n_fake")
     totals = counts.groupBy("subset").agg(F.sum("n_real").alias("t_real"), F.sum("n_fake").alias("t_fake"))
@@ -122,14 +124,14 @@ def cut_codes(pair: DataFrame, types: ColumnTypes, bins: int | None, null_policy
     for name in types.numeric:
         value = numeric_of(pair, name)
         if bins is None:
-            code = value.cast("string")
-        else:
-            code = right_closed_bin(value, *ranges[name], bins).cast("string")
-            if null_policy == "asymmetric":
-                code = F.when(code.isNull() & on_side(FAKE), "0").otherwise(code)
-        codes.append(F.coalesce(code, F.lit(DROPPED)).alias(name))
+            codes.append(F.coalesce(value.cast("string"), F.lit(DROPPED_TEXT)).alias(name))
+            continue
+        code = right_closed_bin(value, *ranges[name], bins)
+        if null_policy == "asymmetric":
+            code = F.coalesce(code, F.when(on_side(FAKE), 0))
+        codes.append(F.coalesce(code, F.lit(DROPPED_CODE)).alias(name))
     for name in types.categorical:
-        codes.append(F.coalesce(named(name).cast("string"), F.lit(DROPPED)).alias(name))
+        codes.append(F.coalesce(named(name).cast("string"), F.lit(DROPPED_TEXT)).alias(name))
     return pair.select(SIDE, *codes)
 
 

@@ -30,12 +30,25 @@ def fit_ranges(df: DataFrame, numeric: list[str]) -> dict[str, tuple[float | Non
     return {name: (row[f"low{i}"], row[f"high{i}"]) for i, name in enumerate(numeric)}
 
 
+def fit_extents(df: DataFrame, types: ColumnTypes) -> tuple[dict[str, tuple[float | None, float | None]], int]:
+    """Ranges of the numeric columns and the estimated number of categories, one job."""
+    wide = []
+    for i, name in enumerate(types.numeric):
+        value = numeric_of(df, name)
+        wide += [F.min(value).alias(f"low{i}"), F.max(value).alias(f"high{i}")]
+    wide += [F.approx_count_distinct(text_of(c, NULL_CATEGORY)).alias(f"size{i}") for i, c in enumerate(types.categorical)]
+    row = df.agg(*wide).first()
+    ranges = {name: (row[f"low{i}"], row[f"high{i}"]) for i, name in enumerate(types.numeric)}
+    return ranges, sum(row[f"size{i}"] for i in range(len(types.categorical)))
+
+
 def histogram_table(
     pair: DataFrame,
     types: ColumnTypes | None = None,
     bins: int = 50,
     fit: DataFrame | None = None,
     sides: tuple[str, ...] = (REAL, FAKE),
+    ranges: dict[str, tuple[float | None, float | None]] | None = None,
 ) -> DataFrame:
     """Counts per (column, bin) with one count column `n_<side>` per side.
 
@@ -44,7 +57,8 @@ def histogram_table(
     value is the value itself.  One scan, one shuffle on (column, bin).
     """
     types = types or types_by_dtype(pair)
-    ranges = fit_ranges(fit if fit is not None else pair, types.numeric)
+    if ranges is None:
+        ranges = fit_ranges(fit if fit is not None else pair, types.numeric)
     cells: dict[str, Column] = {}
     for name in types.numeric:
         index = histogram_bin(numeric_of(pair, name), *ranges[name], bins)
@@ -144,8 +158,13 @@ def placed_masses(pair: DataFrame, types: ColumnTypes | None = None, bins: int =
 
     Categories take the position of their text in the sorted vocabulary.
     """
-    histogram = with_masses(histogram_table(pair, types, bins, fit)).withColumn("__one", F.lit(1))
-    table = running_totals(histogram, ["column"], ["bin", "category"], [f"p_{REAL}", f"p_{FAKE}", "__one"])
+    types = types or types_by_dtype(pair)
+    ranges, vocabulary = fit_extents(fit if fit is not None else pair, types)
+    histogram = with_masses(histogram_table(pair, types, bins, fit, ranges=ranges)).withColumn("__one", F.lit(1))
+    # the estimate only decides how the prefix sums run; both ways are exact
+    table = running_totals(
+        histogram, ["column"], ["bin", "category"], [f"p_{REAL}", f"p_{FAKE}", "__one"], at_most=len(types.numeric) * bins + 2 * vocabulary
+    )
     sizes = histogram.groupBy("column").agg(F.count("*").alias("vocabulary"))
     numeric = F.col("column_type") == "numerical"
     return table.join(F.broadcast(sizes), "column").select(  # one row per column of the table

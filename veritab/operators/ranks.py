@@ -17,22 +17,26 @@ from veritab.functions.scalars import named, numeric_of, seeded_hash
 from veritab.operators.sides import SIDE, melt
 from veritab.session import freeze
 
-ROWS_PER_TASK = 500_000
+ROWS_PER_TASK = 2_000_000
 HOT_SHARE = 1000
-BUILTIN_QUANTILE_CELLS = 4_000_000
+BUILTIN_QUANTILE_CELLS = 200_000
+SPREAD_CELLS = 50_000_000
 
 
 def running_totals(
-    table: DataFrame, group: list[str], order: list[str], sums: list[str], rows_per_task: int = ROWS_PER_TASK
+    table: DataFrame, group: list[str], order: list[str], sums: list[str], rows_per_task: int = ROWS_PER_TASK,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Add `running_<c>` (inclusive prefix sum) for every c in `sums`.
 
     `table` holds one row per (group, order).  Small tables use one window per
     group.  Larger ones are range-partitioned and frozen; each part is summed by
-    itself and shifted by the totals of the parts before it.
+    itself and shifted by the totals of the parts before it.  `at_most` is a known bound
+    on the rows, which spares counting them.
     """
     ordered = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    parts = -(-table.count() // rows_per_task)
+    small = at_most is not None and at_most <= rows_per_task
+    parts = 1 if small else -(-table.count() // rows_per_task)
     if parts <= 1:
         return table.select("*", *[F.sum(c).over(ordered).alias(f"running_{c}") for c in sums])
     ranged = freeze(
@@ -94,7 +98,7 @@ def percent_rank01(df: DataFrame, column: str, output: str, fill: float | None =
     rows = df.withColumn("__value", value if fill is None else F.coalesce(value, F.lit(float(fill))))
     counts = rows.filter(F.col("__value").isNotNull()).groupBy("__value").agg(F.count("*").alias("__n"))
     total = rows.agg(F.count("__value")).first()[0]
-    table = running_totals(counts.withColumn("__all", F.lit(1)), ["__all"], ["__value"], ["__n"])
+    table = running_totals(counts.withColumn("__all", F.lit(1)), ["__all"], ["__value"], ["__n"], at_most=total)
     average_rank = F.col("running___n") - F.col("__n") + (F.col("__n") + 1) / 2
     share = F.greatest(average_rank / F.lit(float(max(total, 1))), F.lit(1e-6)) - F.lit(1e-6)
     table = table.select("__value", "__n", share.alias(output))
@@ -117,7 +121,7 @@ def exact_quantiles(
 
     Up to `builtin_cells` values the built-in `percentile` serves.  Beyond, a value
     table with prefix sums is searched for the ranks needed, so that no task holds
-    all distinct values of a column.  Only (pieces+1) numbers per column reach the driver.
+    all distinct values of a column in memory.  Only (pieces+1) numbers per column reach the driver.
     """
     if not cells:
         return {}
@@ -130,22 +134,29 @@ def exact_quantiles(
         row = narrow.agg(*[F.percentile(k, F.array(*[F.lit(s) for s in shares])).alias(k) for k in aliased]).first()
         return {names[k]: list(row[k]) if row[k] is not None else [] for k in aliased}
 
+    if sum(sizes.values()) <= SPREAD_CELLS:  # few input files: a cheap exchange puts all cores to work
+        narrow = narrow.repartition(df.sparkSession.sparkContext.defaultParallelism)
     counts = (
         melt(narrow, {k: F.col(k) for k in aliased}, [])
         .filter(F.col("value").isNotNull())
         .groupBy("column", "value").agg(F.count("*").alias("n"))
     )
-    table = running_totals(counts, ["column"], ["value"], ["n"])
+    counts = counts.persist()
+    table = running_totals(counts, ["column"], ["value"], ["n"], at_most=sum(sizes.values()))
     size = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(n))]), F.col("column"))
     table = table.select(
         "column", "value", (F.col("running_n") - F.col("n")).alias("start"), F.col("running_n").alias("stop"),
         F.greatest(size - 1, F.lit(1)).cast("long").alias("span"),
     )
 
+    # the i whose rank floor(i*span/pieces)+shift falls among this value's ranks: low..high
+    for shift in (0, 1):
+        table = table.withColumn(f"low{shift}", F.expr(f"greatest(0L, ((start - {shift}) * {pieces} + span - 1) div span)"))
+        table = table.withColumn(f"high{shift}", F.expr(f"least({pieces}L, ((stop - {shift}) * {pieces} + span - 1) div span - 1)"))
+    table = table.filter("low0 <= high0 OR low1 <= high1")  # few values hold a wanted rank
+
     def covered(shift: int) -> Column:
-        """The i whose rank floor(i*span/pieces)+shift falls among this value's ranks."""
-        low = F.expr(f"greatest(0L, ((start - {shift}) * {pieces} + span - 1) div span)")
-        high = F.expr(f"least({pieces}L, ((stop - {shift}) * {pieces} + span - 1) div span - 1)")
+        low, high = F.col(f"low{shift}"), F.col(f"high{shift}")
         return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
     marked = table.select(
@@ -161,6 +172,7 @@ def exact_quantiles(
         F.max(F.when(F.col("m.upper") == 0, F.col("value"))).alias("low"),
         F.max(F.when(F.col("m.upper") == 1, F.col("value"))).alias("high"),
     ).collect()
+    counts.unpersist()
     edges: dict[str, list[float]] = {names[k]: [] for k in aliased}
     for key in aliased:
         by_rank = {r["i"]: r for r in found if r["column"] == key}
@@ -277,7 +289,8 @@ def positional_pairs(pair: DataFrame, columns: list[str], value_of: Callable[[st
         .filter(F.col("value").isNotNull())
         .groupBy("column", SIDE, "value").agg(F.count("*").alias("n"))
     )
-    spans = running_totals(counts, ["column", SIDE], ["value"], ["n"]).select(
+    bound = pair.count() * len(columns)
+    spans = running_totals(counts, ["column", SIDE], ["value"], ["n"], at_most=bound).select(
         "column", SIDE, "value", (F.col("running_n") - F.col("n")).alias("start"), F.col("running_n").alias("stop")
     )
     chunk = F.lit(rows_per_chunk).cast("long")

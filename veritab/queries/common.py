@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritab.session import tune
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

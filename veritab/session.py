@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot does not compile methods above this size; wider plans then run operator by operator
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -28,6 +30,13 @@ def build_session(app: str = "veritab", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> None:
+    """Run-time settings for a session built elsewhere; explicit choices of its owner stay."""
+    for key in ("spark.sql.codegen.hugeMethodLimit", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"):
+        if spark.sparkContext.getConf().get(key) is None:
+            spark.conf.set(key, DEFAULTS[key])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's `spark.checkpoint.dir`; fall back to a scratch folder only when unset."""
     context = spark.sparkContext
