@@ -9,11 +9,10 @@ from veritab.functions.scalars import named, numeric_of
 
 
 def shares(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count and share of each value combination; the total is one broadcast row."""
-    counts = df.groupBy(*[named(c) for c in columns]).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("__total"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        *[named(c) for c in columns], "n", (F.col("n") / F.col("__total")).alias("share")
+    """Count and share of each value combination."""
+    total = df.count()
+    return df.groupBy(*[named(c) for c in columns]).agg(F.count("*").alias("n")).select(
+        *[named(c) for c in columns], "n", (F.col("n") / F.lit(total)).alias("share")
     )
 
 

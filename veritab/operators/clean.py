@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritab.functions.scalars import (
-    apply_case, infinite_to_null, is_numeric_type, literal_map, lookup, missing_text, named, numeric_of,
+    infinite_to_null, is_numeric_type, literal_map, lookup, missing_text, named, numeric_of,
 )
+from veritab.operators.ranks import running_totals
+
+
+LITERAL_LABELS = 1000
 
 
 def normalize_missing(df: DataFrame) -> DataFrame:
@@ -113,12 +117,14 @@ def incomplete_rows(df: DataFrame, columns: list[str] | None = None, token: str
 def keep_known_labels(df: DataFrame, fit: DataFrame, target: str, output: str = "label_id") -> DataFrame:
     """Id of the label in the fit table's sorted labels; rows with unseen labels leave."""
     values = fit.select(F.coalesce(named(target).cast("string"), F.lit("__NA__")).alias("v")).distinct()
-    labels = sorted((row["v"] for row in values.limit(100_001).collect()), key=lambda text: text.encode())
-    if len(labels) > 100_000:
-        raise ValueError("a class label has at most 100000 values")
-    ids = literal_map({v: i for i, v in enumerate(labels)})
     text = F.coalesce(named(target).cast("string"), F.lit("__NA__"))
-    return df.withColumn(output, F.coalesce(lookup(ids, text), F.lit(-1))).filter(F.col(output) >= 0)
+    labels = sorted((row["v"] for row in values.limit(LITERAL_LABELS + 1).collect()), key=lambda text: text.encode())
+    if len(labels) <= LITERAL_LABELS:
+        ids = literal_map({v: i for i, v in enumerate(labels)})
+        return df.withColumn(output, F.coalesce(lookup(ids, text), F.lit(-1))).filter(F.col(output) >= 0)
+    numbered = running_totals(values.withColumn("__all", F.lit(1)).withColumn("__one", F.lit(1)), ["__all"], ["v"], ["__one"])
+    table = numbered.select(F.col("v").alias("__text"), (F.col("running___one") - 1).cast("int").alias(output))
+    return df.withColumn("__text", text).join(table, "__text").drop("__text")
 
 
 def dictionary_lookup(text: Column, ids: dict[str, int], default: int = 0, ignore_case: bool = False) -> Column:

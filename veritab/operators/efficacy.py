@@ -86,8 +86,8 @@ def prepare(real: DataFrame, fake: DataFrame, target: str, types: ColumnTypes |
 def balanced(train: DataFrame) -> DataFrame:
     """Weight n / (k n_c) per class."""
     per = train.groupBy(LABEL).agg(F.count("*").alias("__n"))
-    totals = per.agg(F.sum("__n").alias("__all"), F.count("*").alias("__k"))
-    weights = per.crossJoin(F.broadcast(totals)).select(LABEL, (F.col("__all") / (F.col("__k") * F.col("__n"))).alias(WEIGHT))
+    rows, classes = per.agg(F.sum("__n"), F.count("*")).first()
+    weights = per.select(LABEL, (F.lit(rows) / (F.lit(classes) * F.col("__n"))).alias(WEIGHT))
     return train.join(F.broadcast(weights), LABEL)  # one row per class
 
 

@@ -86,11 +86,11 @@ def aligned_frequencies(pair: DataFrame, column: str) -> DataFrame:
     counts = pair.groupBy(text_of(column, "__NA__").alias("value")).agg(
         F.count_if(F.col(SIDE) == "real").alias("n_real"), F.count_if(F.col(SIDE) == "fake").alias("n_fake")
     )
-    totals = counts.agg(F.sum("n_real").alias("t_real"), F.sum("n_fake").alias("t_fake"))
-    return counts.crossJoin(F.broadcast(totals)).select(  # a single row of totals
+    totals = {r[SIDE]: r["count"] for r in pair.groupBy(SIDE).count().collect()}
+    return counts.select(
         "value",
-        (F.col("n_real") / F.nullif("t_real", F.lit(0))).alias("p_real"),
-        (F.col("n_fake") / F.nullif("t_fake", F.lit(0))).alias("p_fake"),
+        (F.col("n_real") / F.lit(totals.get("real"))).alias("p_real"),
+        (F.col("n_fake") / F.lit(totals.get("fake"))).alias("p_fake"),
     )
 
 
@@ -98,9 +98,9 @@ def aligned_frequencies_by_join(pair: DataFrame, column: str) -> DataFrame:
     """C1 in its join form, for checks against `aligned_frequencies`."""
 
     def shares(side: str, output: str) -> DataFrame:
-        counts = pair.filter(F.col(SIDE) == side).groupBy(text_of(column, "__NA__").alias("value")).count()
-        total = counts.agg(F.sum("count").alias("total"))
-        return counts.crossJoin(F.broadcast(total)).select("value", (F.col("count") / F.col("total")).alias(output))
+        rows = pair.filter(F.col(SIDE) == side)
+        counts = rows.groupBy(text_of(column, "__NA__").alias("value")).count()
+        return counts.select("value", (F.col("count") / F.lit(rows.count())).alias(output))
 
     joined = shares("real", "p_real").join(shares("fake", "p_fake"), "value", "full_outer")
     return joined.na.fill(0.0, ["p_real", "p_fake"])

@@ -19,6 +19,7 @@ from veritab.session import freeze
 
 ROWS_PER_TASK = 2_000_000
 HOT_SHARE = 1000
+BROADCAST_STRATA = 100_000
 BUILTIN_QUANTILE_CELLS = 200_000
 SPREAD_CELLS = 50_000_000
 
@@ -238,7 +239,11 @@ def cut_by_hash(
         ]
     bounds = histogram.groupBy(*group).agg(*cuts)
     if not strata:
-        bounds = F.broadcast(bounds)
+        bounds = F.broadcast(bounds)  # a single row
+    else:  # one row per stratum: frozen, so that its size is known before the join is chosen
+        bounds = freeze(bounds)
+        if bounds.count() <= BROADCAST_STRATA:
+            bounds = F.broadcast(bounds)
     placed = tagged.join(bounds, group)
 
     def label_by(test: Callable[[int], Column]) -> Column:

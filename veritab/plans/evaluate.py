@@ -61,7 +61,8 @@ def evaluate(
     quality = scores.agg(
         *[F.avg(clean[c]).alias(f"xgb_{c}_mean") for c in clean], *[F.coalesce(F.stddev_samp(clean[c]), F.lit(0.0)).alias(f"xgb_{c}_std") for c in clean]
     )
-    return wide.crossJoin(quality).select(  # two one-row summaries
-        "*", F.lit(pieces).alias("n_quantiles"), F.lit(subset_limit).alias("tvd_subset_num"),
+    measured_quality = quality.first().asDict()
+    return wide.select(
+        "*", *[F.lit(v).cast("double").alias(c) for c, v in measured_quality.items()], F.lit(pieces).alias("n_quantiles"), F.lit(subset_limit).alias("tvd_subset_num"),
         F.array(*[F.lit(s) for s in seeds]).alias("seeds"), F.lit(len(types.numeric)).alias("num_cols_n"), F.lit(len(types.categorical)).alias("cat_cols_n"),
     )

@@ -102,11 +102,10 @@ def _(spark, folder):
     log = events.agg(F.lit("run").alias("name"), F.count("*").alias("total_sampled"), F.count_if(F.col("value") > 0).alias("total_processed"))
     for _batch in range(2):
         tables.append_tables(events, good, log, base)
-    parts = [
-        spark.read.parquet(f"{base}/{name}.parquet").agg(F.count("*").alias(output))
-        for name, output in [("raw", "sampled"), ("processed", "accepted"), ("log", "batches")]
-    ]
-    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # three one-row counts
+    accepted, batches = (spark.read.parquet(f"{base}/{name}.parquet").count() for name in ("processed", "log"))
+    return spark.read.parquet(f"{base}/raw.parquet").agg(
+        F.count("*").alias("sampled"), F.lit(accepted).cast("bigint").alias("accepted"), F.lit(batches).cast("bigint").alias("batches")
+    )
 
 
 LEDGER_ROWS = """SELECT 'real.csv' AS real_path, concat('fake_', o_orderpriority, '.csv') AS fake_path, count(*) AS fake_size,
@@ -290,8 +289,7 @@ def _(spark, folder):
  SELECT p_partkey, id AS label_id FROM part JOIN v USING (p_type)""")
 def _(spark, folder):
     part = load(spark, folder, "part")
-    highest = part.agg(F.max("p_type").alias("m"))
-    fit = part.join(F.broadcast(highest), part["p_type"] != F.col("m"))  # one row
+    fit = part.filter(F.col("p_type") != F.lit(part.agg(F.max("p_type")).first()[0]))
     return clean.keep_known_labels(part, fit, "p_type").select("p_partkey", big("label_id").alias("label_id"))
 
 

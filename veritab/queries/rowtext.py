@@ -181,8 +181,7 @@ def _(spark, folder):
     documents = load(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     built = profile.build_profile(documents.select("lang", "source", "text", "n_chars"), ColumnTypes(["n_chars"], ["lang", "source", "text"]))
     failures = rowtext.round_trip_failures(documents, built, ["doc_id"], "great", seed=1)
-    counted = failures.agg(F.count("*").alias("failures"))
-    return documents.agg(F.count("*").alias("rows")).crossJoin(counted)  # two one-row counts
+    return failures.agg(F.lit(documents.count()).cast("bigint").alias("rows"), F.count("*").alias("failures"))
 
 
 @query("t10_token_inventory", f"""WITH n AS (SELECT count(*) AS n FROM part), k(role, token, times) AS (VALUES ('key', 'p_name', 1), ('key', 'p_brand', 1), ('key', 'p_size', 1), ('other', '[CAT]', 2), ('other', '[NUM]', 1),
