@@ -238,13 +238,16 @@ def cut_by_hash(
             F.max(end).alias(f"__limit{i}"),
         ]
     bounds = histogram.groupBy(*group).agg(*cuts)
-    if not strata:
-        bounds = F.broadcast(bounds)  # a single row
+    if not strata:  # a single row: its values become literals
+        kinds = dict(bounds.dtypes)
+        row = bounds.drop(*group).first()
+        found = row.asDict() if row is not None else {c: None for c in bounds.columns if c not in group}
+        placed = tagged.select("*", *[F.lit(v).cast(kinds[c]).alias(c) for c, v in found.items()])
     else:  # one row per stratum: frozen, so that its size is known before the join is chosen
         bounds = freeze(bounds)
         if bounds.count() <= BROADCAST_STRATA:
             bounds = F.broadcast(bounds)
-    placed = tagged.join(bounds, group)
+        placed = tagged.join(bounds, group)
 
     def label_by(test: Callable[[int], Column]) -> Column:
         column = F.lit(None).cast("string")

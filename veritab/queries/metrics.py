@@ -113,26 +113,23 @@ def fitted_sql() -> str:
     )
 
 
-PAIR_COLUMNS = [*LINE_TYPES.numeric, *LINE_TYPES.categorical]
-
-
-def similarity_sql() -> str:
-    fit = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in LINE_TYPES.numeric)
+def similarity_sql(source: str = LINE_PAIR, types: ColumnTypes = LINE_TYPES) -> str:
+    fit = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in types.numeric)
     codes = []
-    for c in LINE_TYPES.numeric:
+    for c in types.numeric:
         z = f"(({c} - lo_{c}) / (hi_{c} - lo_{c}))"
         codes.append(
             f"""coalesce(CASE WHEN {z} BETWEEN 0 AND 1 THEN CAST(CAST(greatest(ceil({z} * 49) - 1, 0) AS INTEGER) AS VARCHAR)
  END, CASE WHEN side = 'fake' THEN '0' END) AS {c}"""
         )
-    codes += LINE_TYPES.categorical
+    codes += types.categorical
     parts = [
         f"""SELECT '{a},{b}' AS columns, (WITH g AS (SELECT count(*) FILTER (side = 'real') AS x,
  count(*) FILTER (side = 'fake') AS y FROM codes WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b})
  SELECT 1 - sum(abs(x / (SELECT sum(x) FROM g) - y / (SELECT sum(y) FROM g))) / 2 FROM g) AS similarity"""
-        for a, b in combinations(PAIR_COLUMNS, 2)
+        for a, b in combinations([*types.numeric, *types.categorical], 2)
     ]
-    return f"""WITH pair AS (SELECT * FROM {LINE_PAIR}), fit AS (SELECT {fit} FROM pair WHERE side = 'real'),
+    return f"""WITH pair AS (SELECT * FROM {source}), fit AS (SELECT {fit} FROM pair WHERE side = 'real'),
 codes AS MATERIALIZED (SELECT side, {', '.join(codes)} FROM pair, fit), t AS ({' UNION ALL '.join(parts)})"""
 
 
@@ -142,26 +139,26 @@ A_CAT = ["l_returnflag", "l_linestatus", "l_linenumber"]
 A_TYPES = ColumnTypes(A_NUM, A_CAT)
 
 
-def association_base_sql(source: str) -> str:
+def association_base_sql(source: str, types: ColumnTypes = A_TYPES) -> str:
     """CTE `t` with NULL policy applied."""
-    numbers = ", ".join(f"coalesce({c}, 0) AS {c}" for c in A_NUM)
-    texts = ", ".join(f"coalesce({c}, '__NA__') AS {c}" for c in A_CAT)
+    numbers = ", ".join(f"coalesce({c}, 0) AS {c}" for c in types.numeric)
+    texts = ", ".join(f"coalesce({c}, '__NA__') AS {c}" for c in types.categorical)
     return f"t AS MATERIALIZED (SELECT side, {numbers}, {texts} FROM {source})"
 
 
-def pearson_sql() -> list[str]:
+def pearson_sql(types: ColumnTypes = A_TYPES) -> list[str]:
     return [
         f"SELECT side, '{a}' AS col_a, '{b}' AS col_b, 'pearson' AS kind, corr({a}, {b}) AS value FROM t GROUP BY side"
-        for a, b in combinations(A_NUM, 2)
+        for a, b in combinations(types.numeric, 2)
     ]
 
 
-def ratio_sql() -> list[str]:
+def ratio_sql(types: ColumnTypes = A_TYPES) -> list[str]:
     return [
         f"""SELECT side, '{a}' AS col_a, '{y}' AS col_b, 'correlation_ratio' AS kind, sqrt(sum(n * (m - o) * (m - o))
  / max(n_all * v)) AS value FROM (SELECT side, {a}, count(*) AS n, avg({y}) AS m FROM t GROUP BY side, {a})
  JOIN (SELECT side, avg({y}) AS o, var_pop({y}) AS v, count(*) AS n_all FROM t GROUP BY side) USING (side) GROUP BY side"""
-        for a in A_CAT for y in A_NUM
+        for a in types.categorical for y in types.numeric
     ]
 
 
@@ -170,13 +167,13 @@ def cell_sql(a: str, b: str) -> str:
  sum(n) OVER (PARTITION BY side) AS nn FROM (SELECT side, {a} AS a, {b} AS b, count(*)::DOUBLE AS n FROM t GROUP BY side, {a}, {b}))"""
 
 
-def cramer_sql() -> list[str]:
+def cramer_sql(types: ColumnTypes = A_TYPES) -> list[str]:
     return [
         f"""SELECT side, '{a}' AS col_a, '{b}' AS col_b, 'cramers_v' AS kind,
  sqrt(greatest(0, phi - (k - 1) * (r - 1) / (nn - 1)) / (least(r - (r - 1) * (r - 1) / (nn - 1), k - (k - 1) * (k - 1) / (nn - 1)) - 1)) AS value
  FROM (SELECT side, sum(n * n / (na * nb)) - 1 AS phi, max(nn) AS nn, count(DISTINCT a) AS r, count(DISTINCT b) AS k
  FROM {cell_sql(a, b)} GROUP BY side)"""
-        for a, b in combinations(A_CAT, 2)
+        for a, b in combinations(types.categorical, 2)
     ]
 
 
@@ -195,12 +192,12 @@ def long_sql(parts: list[str], source: str = LINE_PAIR) -> str:
 FROM ({' UNION ALL '.join(parts)})"""
 
 
-def matrix_sql() -> str:
-    parts = " UNION ALL ".join(pearson_sql() + ratio_sql() + cramer_sql())
+def matrix_sql(source: str = LINE_PAIR, types: ColumnTypes = A_TYPES) -> str:
+    parts = " UNION ALL ".join(pearson_sql(types) + ratio_sql(types) + cramer_sql(types))
     diagonal = " UNION ALL ".join(
-        f"SELECT DISTINCT side, '{c}', '{c}', 'self', 1.0::DOUBLE FROM t" for c in [*A_NUM, *A_CAT]
+        f"SELECT DISTINCT side, '{c}', '{c}', 'self', 1.0::DOUBLE FROM t" for c in [*types.numeric, *types.categorical]
     )
-    return f"""WITH {association_base_sql(LINE_PAIR)}, u AS ({parts}),
+    return f"""WITH {association_base_sql(source, types)}, u AS ({parts}),
 f AS (SELECT * FROM u UNION ALL SELECT side, col_b, col_a, kind, value FROM u UNION ALL {diagonal}),
 c AS (SELECT col_a, col_b, max(value) FILTER (side = 'real') AS x, max(value) FILTER (side = 'fake') AS y FROM f GROUP BY col_a, col_b)"""
 

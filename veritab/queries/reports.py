@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from veritab.functions import paths
 from veritab.plans import reports, runner
 from veritab.queries.common import Registry, big, load, r
-from veritab.queries.metrics import DUPLICATE_TAGS, H13_SQL, _part_three, h2_sql
+from veritab.operators.sides import ColumnTypes
+from veritab.queries.metrics import DUPLICATE_TAGS, H13_SQL, LEVEL, _part_three, h2_sql, matrix_sql, similarity_sql
 
 area = Registry()
 query, QUERIES, SQL = area.query, area.queries, area.sql
@@ -38,14 +39,24 @@ def _(spark, folder):
     return runner.run_metric(runner.Tables(by["train"], by["test"], by["fake"]), "exact_duplicates").select("tag", "score", "scorer")
 
 
-@query("n1_run_correlation")
+RUN_TYPES = ColumnTypes(["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag", "l_linestatus"])
+# test rows against train (1) or synthetic (2) rows
+RUN_PAIR = """(SELECT CASE l_orderkey % 3 WHEN 0 THEN 'real' ELSE 'fake' END AS side, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus
+ FROM lineitem WHERE l_orderkey % 3 <> {})"""
+
+
+@query("n1_run_correlation", " UNION ALL ".join(
+    f"SELECT '{tag}' AS tag, 'accuracy' AS scorer, score FROM ({matrix_sql(RUN_PAIR.format(left_out), RUN_TYPES)} SELECT round(avg(CASE WHEN {LEVEL.format('x')} = {LEVEL.format('y')} THEN 1 ELSE 0 END), 9) AS score FROM c)"
+    for tag, left_out in [("real", 2), ("fake", 1)]))
 def _(spark, folder):
-    return runner.run_metric(_line_tables(spark, folder), "correlation_accuracy")
+    return runner.run_metric(_line_tables(spark, folder), "correlation_accuracy").select("tag", "scorer", r("score").alias("score"))
 
 
-@query("n1_run_pairwise")
+@query("n1_run_pairwise", " UNION ALL ".join(
+    f"SELECT '{tag}' AS tag, 'mean' AS scorer, score FROM ({similarity_sql(RUN_PAIR.format(left_out), RUN_TYPES)} SELECT round(avg(similarity), 9) AS score FROM t)"
+    for tag, left_out in [("real", 2), ("fake", 1)]))
 def _(spark, folder):
-    return runner.run_metric(_line_tables(spark, folder), "pairwise_similarity")
+    return runner.run_metric(_line_tables(spark, folder), "pairwise_similarity").select("tag", "scorer", r("score").alias("score"))
 
 
 @query("n1_run_efficacy")
