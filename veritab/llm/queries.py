@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veritab.llm.common import ready
 
@@ -41,3 +42,21 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from veritab.llm.tokencounts import token_counts
 
     return token_counts(load(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Ids and decoded text of every document as counts and digests."""
+    from veritab.llm.bpe import round_trip
+
+    return round_trip(docs, vocabulary("byte_bpe_50k.json")).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op4_bpe_transducer")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded by the byte-level vocabulary."""
+    return bpe_digests(load(spark, folder, "documents"))
