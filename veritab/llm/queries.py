@@ -60,3 +60,24 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded by the byte-level vocabulary."""
     return bpe_digests(load(spark, folder, "documents"))
+
+
+@query("op10_pii_spans")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data in every document; the counts and the digest are those of the base patterns."""
+    from veritab.llm.pii import KINDS, find
+
+    def joined(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    rank = F.create_map(*[F.lit(x) for i, kind in enumerate(KINDS) for x in (kind, i)])
+    merged = F.transform(
+        F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))),
+        lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
+    )
+    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return (
+        find(load(spark, folder, "documents"))
+        .withColumn("merged", merged)
+        .select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("merged").alias("spans"), F.size("added").cast("long").alias("n_added"))
+    )
