@@ -84,3 +84,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("merged", merged)
         .select("doc_id", *map(count, KINDS), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("merged").alias("spans"), F.size("added").cast("long").alias("n_added"))
     )
+
+
+@query("op8_simhash_pivots")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    from veritab.llm.simhash import near_duplicates
+
+    return near_duplicates(load(spark, folder, "documents"))
