@@ -92,3 +92,19 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from veritab.llm.simhash import near_duplicates
 
     return near_duplicates(load(spark, folder, "documents"))
+
+
+@query("op3_fm_decontamination")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document inside windows of the whole benchmark."""
+    from veritab.llm.fmindex import find
+
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["start"])
+    return find(load(spark, folder, "documents"), load(spark, folder, "benchmark")).select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
