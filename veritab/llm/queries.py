@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm.common import ready
+from veritab.session import scratch_folder
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 
@@ -108,3 +109,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+@query("op5_rans_files")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """All ids of all documents written to coded files in order of the documents, and read back."""
+    from veritab.llm import rans
+
+    files = scratch_folder(spark, "rans")
+    rans.write(load(spark, folder, "documents"), files, vocabulary("word_bpe_49k.json"))
+    return rans.describe(spark, files)
