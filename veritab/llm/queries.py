@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm.common import ready
@@ -119,3 +119,27 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     files = scratch_folder(spark, "rans")
     rans.write(load(spark, folder, "documents"), files, vocabulary("word_bpe_49k.json"))
     return rans.describe(spark, files)
+
+
+def remainder(divisor: int) -> Column:
+    """CRC-32 of the id as text, modulo a number; NULL ids have remainder -1."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor, F.lit(-1))
+
+
+@query("op1_quality_discriminant")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from the labels whose remainder of 3 is not 1."""
+    from veritab.llm.quality import score
+
+    scored = score(load(spark, folder, "documents"), load(spark, folder, "labels"), remainder(3) != 1)
+    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op6_toxicity_network")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels whose remainder of 5 is not 0."""
+    from veritab.llm.toxicity import fit, score
+
+    docs = load(spark, folder, "documents")
+    model = fit(docs, load(spark, folder, "labels"), remainder(5) != 0)
+    return score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
