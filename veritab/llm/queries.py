@@ -143,3 +143,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents")
     model = fit(docs, load(spark, folder, "labels"), remainder(5) != 0)
     return score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op7_cross_polytope")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Five nearest vectors of every fiftieth, among all vectors."""
+    from veritab.llm.crosspolytope import nearest
+
+    return nearest(load(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
