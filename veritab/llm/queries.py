@@ -151,3 +151,32 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     from veritab.llm.crosspolytope import nearest
 
     return nearest(load(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def damaged(stored: DataFrame) -> DataFrame:
+    """A replica with faults: some records lost, some cut short, some with another byte."""
+    rest = stored.where(F.coalesce(F.col("id") % 101 != 7, F.lit(True)))
+    short = F.expr("substring(data, 1, octet_length(data) - 9)")
+    other = F.expr("concat(substring(data, 1, octet_length(data) - 5), X'23', substring(data, octet_length(data) - 3, 4))")
+    return rest.withColumn("data", F.when(F.col("id") % 103 == 5, short).when(F.col("id") % 97 == 13, other).otherwise(F.col("data")))
+
+
+@query(
+    "op2_warc_fixity",
+    """WITH r AS (SELECT page_id // 4096 AS file, page_id % 4096 AS node, page_id AS id,
+ strlen('WARC/1.1__WARC-Type: response__WARC-Target-URI: ' || url || '__WARC-Date: 2024-01-01T00:00:00Z__WARC-Record-ID: <urn:page:' || page_id
+ || '>__Content-Type: text/html__Content-Length: ' || strlen(html) || '____' || html || '____') AS size,
+ page_id % 101 = 7 AS lost, page_id % 103 = 5 AS short, page_id % 97 = 13 AND right(html, 1) <> '#' AS other FROM pages),
+ s AS (SELECT *, CASE WHEN lost THEN 0 WHEN short THEN size - 9 ELSE size END AS kept FROM r),
+ p AS (SELECT *, sum(size) OVER w - size AS start, sum(kept) OVER w - kept AS other_start FROM s WINDOW w AS (PARTITION BY file ORDER BY node))
+ SELECT CAST(file AS BIGINT) AS file, CAST(node AS BIGINT) AS node, id, CAST(start AS BIGINT) AS start, CAST(size AS BIGINT) AS size,
+ CASE WHEN NOT lost THEN CAST(other_start AS BIGINT) END AS other_start, CASE WHEN NOT lost THEN CAST(kept AS BIGINT) END AS other_size,
+ CASE WHEN lost THEN 'missing' ELSE 'changed' END AS fault FROM p WHERE lost OR short OR other""",
+)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Fixity audit of all pages as records against a damaged replica."""
+    from veritab.llm.warc import audit, records, tree
+    from veritab.session import freeze
+
+    stored = records(load(spark, folder, "pages"))
+    return audit(freeze(tree(stored)), freeze(tree(damaged(stored))))
