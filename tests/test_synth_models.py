@@ -132,9 +132,11 @@ def test_runner_flags_one_file(table):
 
 
 def test_paths(spark):
+    from veritab.queries.reports import RUN_SETTINGS
+
     path = "/data/x/y/z/out/runs/LR0.0005-x_uniform_y_shuffle-True_wl0.65/job1/w/adult/DP/GPT2/full/m-bs32-epoch10-eps1.0-clip1.5/epoch3/synth_impute-False/a/t.csv"
     short = "data/adult/train.csv"
-    rows = {r["fake_path"]: r for r in reports.experiment_dimensions(spark.createDataFrame([(path,), (short,)], "fake_path string")).collect()}
+    rows = {r["fake_path"]: r for r in reports.experiment_dimensions(spark.createDataFrame([(path,), (short,)], "fake_path string"), RUN_SETTINGS).collect()}
     full = rows[path]
     assert (full["bs"], full["train_epoch"], full["chkt_epoch"], full["eps"], full["clip"]) == (32, 10, "3", "1", "1.5")
     assert (full["LR"], full["approach"], full["impute"]) == ("0.0005", "uniform", "False")

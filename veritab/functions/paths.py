@@ -1,7 +1,10 @@
-"""Run settings written into file paths."""
+"""Settings written into file paths, read by a table of patterns (G2, N4), and metric names."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,127 +18,34 @@ def part_from_end(path: Column, k: int) -> Column:
     return F.try_element_at(path_parts(path), F.lit(-k))
 
 
-def first_part_with(path: Column, test, places: list[int]) -> Column:
-    """First part, looking at the given places from the end, that passes `test`."""
-    candidates = [part_from_end(path, k) for k in places]
-    return F.coalesce(*[F.when(test(part), part) for part in candidates])
-
-
-def _holding(text: str):
-    return lambda part: F.contains(part, F.lit(text))
-
-
-NEAR_END = [5, 4, 3, 2]
-
-
-def batch_size(path: Column) -> Column:
-    """`<x>-bs<n>-...` gives n; -1 when there is none."""
-    part = first_part_with(path, _holding("bs"), NEAR_END)
-    second = F.get(F.split(part, "-"), F.lit(1))
-    return F.coalesce(F.replace(second, F.lit("bs"), F.lit("")).try_cast("int"), F.lit(-1))
-
-
-def trained_epochs(path: Column) -> Column:
-    """`<x>-<y>-epoch<n>` gives n; -1 when there is none."""
-    part = first_part_with(path, _holding("-epoch"), NEAR_END)
-    third = F.get(F.split(part, "-"), F.lit(2))
-    return F.coalesce(F.replace(third, F.lit("epoch"), F.lit("")).try_cast("int"), F.lit(-1))
-
-
-def checkpoint(path: Column) -> Column:
-    """`epoch<n>` gives n, `step...` stays; -1 when there is none."""
-    part = first_part_with(path, lambda p: p.startswith("epoch") | p.startswith("step"), [4, 3, 2])
-    number = F.replace(part, F.lit("epoch"), F.lit("")).try_cast("int").cast("string")
-    return F.coalesce(F.when(part.startswith("step"), part).otherwise(number), F.lit("-1"))
-
-
-def _budget(path: Column, prefix: str, place: int) -> Column:
-    part = first_part_with(path, _holding(prefix), NEAR_END)
-    piece = F.try_element_at(F.split(part, "-"), F.lit(place))
-    return F.when(piece.startswith(prefix), F.replace(piece, F.lit(prefix), F.lit("")).try_cast("double"))
-
-
-def epsilon(path: Column) -> Column:
-    """Whole privacy budget, `nondp` for runs without, `-1` when unknown."""
-    value = _budget(path, "eps", -2).cast("int").cast("string")
-    return F.when(F.contains(path, F.lit("NonDP")), "nondp").otherwise(F.coalesce(value, F.lit("-1")))
-
-
-def clip_norm(path: Column) -> Column:
-    """Clipping norm, `nondp` for runs without, `-1` when unknown."""
-    value = _budget(path, "clip", -1).cast("string")
-    return F.when(F.contains(path, F.lit("NonDP")), "nondp").otherwise(F.coalesce(value, F.lit("-1")))
-
-
-def experiment(path: Column) -> Column:
-    """Name of the run after `runs/`; `real` for paths outside of it."""
-    tail = F.get(F.split(path, "runs/"), F.lit(1))
-    parts = F.split(tail, "/")
-    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    head = F.when(first.startswith("01") | first.startswith("15"), "base").otherwise(first)
-    return F.coalesce(F.concat(head, F.lit("_"), second), F.lit("real"))
-
-
-def folder_name(path: Column) -> Column:
-    part = part_from_end(path, 3)
-    return F.when(F.contains(part, F.lit("synth")), part).otherwise("-1")
-
-
-def dataset_setting(path: Column) -> Column:
-    """Struct (dataset, setting, llm, finetune_type) from the depth of the path."""
-    depth = F.size(path_parts(path))
-    deep = F.contains(path, F.lit("LR")) | F.contains(path, F.lit("2Stage"))
-    extra = depth - F.when(deep, 16).otherwise(15)
-
-    def at(k: int) -> Column:
-        return F.try_element_at(path_parts(path), -(F.lit(k) + extra))
-
-    def four(a, b, c, d) -> Column:
-        return F.struct(a.alias("dataset"), b.alias("setting"), c.alias("llm"), d.alias("finetune_type"))
-
-    real = F.lit("real")
-    return (
-        F.when(
-            F.contains(path, F.lit("baseline")),
-            four(part_from_end(path, 6), part_from_end(path, 7), part_from_end(path, 5), F.lit("-1")),
-        )
-        .when((extra >= 0) & (extra <= 3), four(at(6), at(5), at(4), at(3)))
-        .otherwise(four(part_from_end(path, 3), real, real, real))
-    )
-
-
-def learning_rate(exp: Column) -> Column:
-    first = F.get(F.split(exp, "-"), F.lit(0))
-    return F.when(F.contains(exp, F.lit("LR")), F.btrim(first, F.lit("LR"))).otherwise("-1")
-
-
-def shuffle_flag(exp: Column) -> Column:
-    fourth = F.get(F.split(exp, "_"), F.lit(3))
-    return F.when(F.contains(exp, F.lit("shuffle")), F.try_element_at(F.split(fourth, "-"), F.lit(-1))).otherwise("-1")
-
-
-def loss_weight(exp: Column) -> Column:
-    last = F.try_element_at(F.split(exp, "_"), F.lit(-1))
-    return F.when(F.contains(exp, F.lit("wl")), F.btrim(last, F.lit("wl"))).otherwise("-1")
-
+@dataclass(frozen=True)
+class Setting:
+    """One column read from a path.
 
-def impute_flag(folder: Column) -> Column:
-    last = F.try_element_at(F.split(folder, "_"), F.lit(-1))
-    return F.when(F.contains(folder, F.lit("impute")), F.try_element_at(F.split(last, "-"), F.lit(-1))).otherwise("-1")
+    `marks` are (pattern, value) pairs tried first; then the first group of `pattern`,
+    cast to `kind`, with `replace` applied to its text; else `default`.
+    """
 
+    name: str
+    pattern: str = ""
+    kind: str = "string"
+    default: str | int | float | None = None
+    marks: tuple[tuple[str, str], ...] = ()
+    replace: tuple[str, str] | None = None
 
-# Marks of the pre-training approach inside an experiment name, first match wins.
-APPROACHES = [
-    ("ood-using-airline", "ood-using-airline"),
-    ("ood-using-adult", "ood-using-adult"),
-    ("ood-using-texas", "ood-using-texas"),
-    ("uniform", "uniform"),
-    ("Standard", "standard"),
-]
+    def column(self, path: Column) -> Column:
+        found = [F.when(path.rlike(mark), F.lit(value).cast(self.kind)) for mark, value in self.marks]
+        if self.pattern:
+            text = F.regexp_extract(path, self.pattern, 1)
+            if self.replace:
+                text = F.replace(text, F.lit(self.replace[0]), F.lit(self.replace[1]))
+            found.append(F.when(path.rlike(self.pattern), text.try_cast(self.kind)))
+        return F.coalesce(*found, F.lit(self.default).cast(self.kind)).alias(self.name)
 
 
-def approach(exp: Column) -> Column:
-    return F.coalesce(*[F.when(F.contains(exp, F.lit(mark)), name) for mark, name in APPROACHES], F.lit("-1"))
+def read_settings(path: Column, settings: Iterable[Setting]) -> list[Column]:
+    """One column for each setting; the layout of the paths belongs to the caller."""
+    return [setting.column(path) for setting in settings]
 
 
 def merged_metric_name(metric: Column, scorer: Column, model: Column, bins: Column) -> Column:

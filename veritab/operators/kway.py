@@ -22,22 +22,27 @@ DROPPED_TEXT, DROPPED_CODE = "\u0000drop", -9
 
 
 # --------------------------------------------------------------------- subsets
-def choose_subsets(columns: list[str], k: int, limit: int, seed: int = 0, all_up_to_k: int = 0) -> list[tuple[str, ...]]:
-    """All k-subsets of the columns, or `limit` distinct ones drawn with a seed.
+def subset_at(rank: int, size: int, k: int) -> tuple[int, ...]:
+    """The k-subset of range(size) with a place in lexicographic order."""
+    picked, candidate = [], 0
+    while len(picked) < k:
+        following = math.comb(size - candidate - 1, k - len(picked) - 1)  # subsets that go on with the candidate
+        if rank < following:
+            picked.append(candidate)
+        else:
+            rank -= following
+        candidate += 1
+    return tuple(picked)
+
 
-    `all_up_to_k`: sizes up to this one are always complete (unless above 20000).
-    This enumerates column names, never data.
+def choose_subsets(columns: list[str], k: int, limit: int | None = None, seed: int = 0) -> list[tuple[str, ...]]:
+    """All k-subsets of the columns, or, if the caller states a limit, so many drawn without repetition.
+
+    Ranks are drawn and turned into subsets; this handles column names, never data.
     """
     total = math.comb(len(columns), k)
-    if total <= limit or (k <= all_up_to_k and total <= 20_000):
-        return list(combinations(columns, k))
-    generator = random.Random(seed)
-    if total <= 50_000:
-        return generator.sample(list(combinations(columns, k)), limit)
-    chosen: set[tuple[int, ...]] = set()
-    while len(chosen) < limit:
-        chosen.add(tuple(sorted(generator.sample(range(len(columns)), k))))
-    return [tuple(columns[i] for i in picked) for picked in sorted(chosen)]
+    ranks = range(total) if limit is None or limit >= total else sorted(random.Random(seed).sample(range(total), limit))
+    return [tuple(columns[i] for i in subset_at(rank, len(columns), k)) for rank in ranks]
 
 
 # ---------------------------------------------------------------- joint counts
@@ -185,7 +190,7 @@ def aligned_codes(pair: DataFrame, pieces: int = 10, types: ColumnTypes | None =
 
 
 def kway_aligned(
-    pair: DataFrame, ks: list[int], pieces: int = 10, limit: int = 1000, seed: int = 0,
+    pair: DataFrame, ks: list[int], pieces: int = 10, limit: int | None = None, seed: int = 0,
     types: ColumnTypes | None = None, subsets: list[tuple[str, ...]] | None = None,
 ) -> DataFrame:
     """Mean and population standard deviation of the k-column distances."""
@@ -257,14 +262,14 @@ def encode_quantiles(df: DataFrame, encoder: QuantileEncoder, keep: list[str], n
 
 
 def kway_fitted(
-    pair: DataFrame, fit: DataFrame, ks: list[int], target: str | None = None, pieces: int = 20, limit: int = 300,
+    pair: DataFrame, fit: DataFrame, ks: list[int], target: str | None = None, pieces: int = 20, limit: int | None = None,
     seed: int = 0, types: ColumnTypes | None = None, subsets: list[tuple[str, ...]] | None = None,
 ) -> DataFrame:
     """Mean and sample standard deviation (0 for one subset) of the k-column distances."""
     types = types or types_by_parsing(fit, target)
     codes = encode_quantiles(pair, fit_encoder(fit, types, pieces), [SIDE])
     columns = [*types.numeric, *types.categorical]
-    chosen = subsets or [s for k in ks for s in choose_subsets(columns, k, limit, seed, all_up_to_k=2)]
+    chosen = subsets or [s for k in ks for s in choose_subsets(columns, k, limit, seed)]
     return subset_distances(codes, chosen).groupBy("k").agg(
         F.avg("tvd").alias("tvd_mean"),
         F.coalesce(F.stddev_samp("tvd"), F.lit(0.0)).alias("tvd_std"),

@@ -150,40 +150,24 @@ def epsilon_of(q: Column, sigma: Column, steps: Column, delta: Column) -> Column
     return F.array_min(F.transform(costs, lambda c, i: epsilon_at(c, F.get(orders, i), delta)))
 
 
-def noise_for_budget(targets: DataFrame, tolerance: float = 0.01, highest: float = 1e6, rounds: int = 60) -> DataFrame:
-    """Noise multiplier that spends (epsilon, delta) for (q, steps) up to the tolerance, per row of `targets`.
+def noise_for_budget(targets: DataFrame, lowest: float = 0.05, highest: float = 1e6, points: int = 64, rounds: int = 3) -> DataFrame:
+    """The smallest noise multiplier of a geometric grid that keeps (epsilon, delta) for (q, steps), per row of `targets`.
 
-    The noise doubles until the budget holds, then the bracket is halved until less than
-    the tolerance is left over.  The whole search is a fold inside the row, so any number
-    of targets is one projection.  A row that cannot be met keeps NULL.
+    All points of the grid are evaluated; the step below the first point that holds is
+    divided into a grid again, `rounds` times in all.  A row that no point can meet
+    keeps NULL.
     """
-    q, steps, delta = (F.col(c).cast("double") for c in ("q", "steps", "delta"))
-    goal = F.col("epsilon").cast("double")
-
-    def state(low: Column, high: Column, spent: Column) -> Column:
-        return F.struct(low.alias("low"), high.alias("high"), spent.alias("spent"))
-
-    def step(s: Column, _round: Column) -> Column:
-        rising = (s["spent"] > goal) & (s["high"] <= highest)
-        falling = (s["spent"] <= goal) & (goal - s["spent"] > tolerance)
-        probe = F.when(rising, s["high"] * 2).otherwise((s["low"] + s["high"]) / 2)
-
-        def tried(t: Column) -> Column:
-            raised = state(s["high"], t["sigma"], t["spent"])
-            lowered = state(s["low"], t["sigma"], t["spent"])
-            return F.when(rising, raised).when(t["spent"] < goal, lowered).otherwise(state(t["sigma"], s["high"], s["spent"]))
-
-        def evaluated(sigma: Column) -> Column:
-            return with_let(F.struct(sigma.alias("sigma"), epsilon_of(q, sigma, steps, delta).alias("spent")), tried)
-
-        return F.when(rising | falling, with_let(probe, evaluated)).otherwise(s)
-
-    start = state(F.lit(0.0), F.lit(20.0), epsilon_of(q, F.lit(20.0), steps, delta))
-    found = targets.select("*", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("__s"))
-    met = F.col("__s.spent") <= goal
-    return found.select(
-        *[named(c) for c in targets.columns], F.when(met, F.col("__s.high")).alias("sigma"), F.when(met, F.col("__s.spent")).alias("spent")
-    )
+    q, steps, delta, goal = (F.col(c).cast("double") for c in ("q", "steps", "delta", "epsilon"))
+    frame = targets.select("*", F.lit(float(lowest)).alias("__low"), F.lit(float(highest)).alias("__high"))
+    for _ in range(rounds):
+        ratio = F.pow(F.col("__high") / F.col("__low"), F.lit(1.0 / points))
+        grid = F.transform(F.sequence(F.lit(0), F.lit(points)), lambda i: F.col("__low") * F.pow(ratio, i))
+        held = F.array_min(F.filter(grid, lambda sigma: epsilon_of(q, sigma, steps, delta) <= goal))
+        frame = frame.select(*[named(c) for c in targets.columns], held.alias("__high"), ratio.alias("__ratio")).withColumn(
+            "__low", F.greatest(F.col("__high") / F.col("__ratio"), F.lit(float(lowest)))
+        )
+    sigma = F.col("__high")
+    return frame.select(*[named(c) for c in targets.columns], sigma.alias("sigma"), F.when(sigma.isNotNull(), epsilon_of(q, sigma, steps, delta)).alias("spent"))
 
 
 def split_budget(ledger: DataFrame, preprocessing_share: float, epsilon: str = "epsilon") -> DataFrame:

@@ -15,7 +15,7 @@ from veritab.operators.sides import FAKE, REAL, SIDE, types_by_parsing
 
 def evaluate(
     fit: DataFrame, test: DataFrame, synthetic: DataFrame, target: str, key: str, seeds: tuple[int, ...] = (0,), pieces: int = 20,
-    subset_limit: int = 300, ks: tuple[int, ...] = (1, 2, 3, 4, 5), grid: dict | None = None, folds: int = 5,
+    subset_limit: int | None = None, ks: tuple[int, ...] = (1, 2, 3, 4, 5), grid: dict | None = None, folds: int = 5,
 ) -> DataFrame:
     """One row `<k>-way_tvd_mean`, `..._std_across_seeds`, `..._within_subset_std_mean`, `xgb_acc_mean`, ...
 
@@ -35,7 +35,7 @@ def evaluate(
     ks = tuple(k for k in ks if k <= len(columns))
     measured = None
     for seed in seeds:
-        subsets = [s for k in ks for s in kway.choose_subsets(columns, k, subset_limit, seed, all_up_to_k=2)]
+        subsets = [s for k in ks for s in kway.choose_subsets(columns, k, subset_limit, seed)]
         part = kway.subset_distances(codes.select(SIDE, *[named(c) for c in columns]), subsets).groupBy("k").agg(
             F.avg("tvd").alias("mean"), F.coalesce(F.stddev_samp("tvd"), F.lit(0.0)).alias("std")
         ).withColumn("seed", F.lit(seed))

@@ -47,20 +47,9 @@ def summary_pivots(reports: DataFrame, datasets: list[str] | None = None) -> dic
     return result
 
 
-def experiment_dimensions(df: DataFrame, path: str = "fake_path") -> DataFrame:
-    """Run settings read from the path, one projection for the path and one for the experiment name."""
-    p = F.col(path)
-    staged = df.select(
-        "*", paths.dataset_setting(p).alias("__d"), paths.experiment(p).alias("exp"), paths.folder_name(p).alias("folder_name"),
-        paths.batch_size(p).alias("bs"), paths.trained_epochs(p).alias("train_epoch"), paths.checkpoint(p).alias("chkt_epoch"),
-        paths.epsilon(p).alias("eps"), paths.clip_norm(p).alias("clip"),
-    )
-    exp = F.col("exp")
-    return staged.select(
-        *[F.col(c) for c in df.columns], "__d.dataset", "__d.setting", "__d.llm", "__d.finetune_type", "exp", "folder_name", "bs",
-        "train_epoch", "chkt_epoch", "eps", "clip", paths.learning_rate(exp).alias("LR"), paths.shuffle_flag(exp).alias("shuffle"),
-        paths.loss_weight(exp).alias("wl"), paths.impute_flag(F.col("folder_name")).alias("impute"), paths.approach(exp).alias("approach"),
-    )
+def experiment_dimensions(df: DataFrame, settings: list[paths.Setting], path: str = "fake_path") -> DataFrame:
+    """The rows with one more column for each run setting that the caller's patterns read from the path."""
+    return df.select(*[F.col(c) for c in df.columns], *paths.read_settings(F.col(path), settings))
 
 
 # Metrics whose scores are shares and are shown in per cent.
@@ -82,11 +71,9 @@ def paper_table(df: DataFrame, keep: Column, index: list[str], metrics: list[str
     texts = mean_pm_std(chosen, [*[F.col(c) for c in index], F.col("merged")], F.col("score"))
     wide = texts.groupBy(*index).pivot("merged", metrics).agg(F.first("summary")).na.fill(filler, metrics)
     if order:
-        ranks = []
-        for column, values in order.items():
-            wide = wide.filter(F.col(column).isin(values))
-            ranks.append(F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)))
-        wide = wide.orderBy(*ranks)
+        # values that are not listed come last, by name
+        listed = {c: F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c)) for c, values in order.items()}
+        wide = wide.orderBy(*[k for c, at in listed.items() for k in (F.when(at > 0, at).asc_nulls_last(), F.col(c))])
     return wide
 
 

@@ -15,7 +15,7 @@ ORDER_TYPES = ColumnTypes(["o_totalprice"], ["o_orderstatus", "o_orderpriority"]
 LINE_TYPES = ColumnTypes(
     ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus", "l_linenumber"]
 )
-KWAY_TYPES = ColumnTypes(["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus", "l_linenumber"])
+KWAY_TYPES = ColumnTypes(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus", "l_linenumber"])
 
 
 # ------------------------------------------------------------------ SQL pieces
@@ -85,7 +85,7 @@ def quantile_list(column: str, pieces: int) -> str:
 
 
 KWAY_COLUMNS = [*KWAY_TYPES.numeric, *KWAY_TYPES.categorical]
-KWAY_SUBSETS = [s for k in (1, 2, 3) for s in combinations(KWAY_COLUMNS, k)]
+KWAY_SUBSETS = [s for k in range(1, 6) for s in combinations(KWAY_COLUMNS, k)]
 
 
 def aligned_sql() -> str:
@@ -295,12 +295,12 @@ def _kway(df):
 
 
 def _h14(spark, folder):
-    return _kway(kway.kway_aligned(line_pair(spark, folder).drop("l_extendedprice"), [1, 2, 3], types=KWAY_TYPES))
+    return _kway(kway.kway_aligned(line_pair(spark, folder), [1, 2, 3, 4, 5], types=KWAY_TYPES))
 
 
 def _h15(spark, folder):
     pair = line_pair(spark, folder)
-    return _kway(kway.kway_fitted(pair, pair.drop(SIDE), [1, 2, 3], types=KWAY_TYPES))
+    return _kway(kway.kway_fitted(pair, pair.drop(SIDE), [1, 2, 3, 4, 5], types=KWAY_TYPES))
 
 
 PART_PAIR = """(SELECT CASE WHEN p_partkey % 3 = 0 THEN 'test' WHEN p_partkey % 3 = 1 THEN 'train' ELSE 'fake' END AS side,
@@ -427,8 +427,8 @@ def _i2(spark, folder):
 
 
 def _i4(spark, folder):
-    codes = kway.aligned_codes(line_pair(spark, folder).drop("l_extendedprice"), 10, KWAY_TYPES)
-    return codes.groupBy("side", "l_quantity", "l_discount", "l_tax").agg(F.count("*").alias("n")).select(
+    codes = kway.aligned_codes(line_pair(spark, folder), 10, KWAY_TYPES)
+    return codes.groupBy("side", *KWAY_TYPES.numeric).agg(F.count("*").alias("n")).select(
         "side", *[big(c).alias(c) for c in KWAY_TYPES.numeric], "n"
     )
 
@@ -436,8 +436,7 @@ def _i4(spark, folder):
 def i4_sql() -> str:
     base = aligned_sql()
     return base[:base.index(", t AS (")] + (
-        " SELECT side, CAST(l_quantity AS BIGINT) AS l_quantity, CAST(l_discount AS BIGINT) AS l_discount,"
-        " CAST(l_tax AS BIGINT) AS l_tax, count(*) AS n FROM codes GROUP BY ALL"
+        " SELECT side, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in KWAY_TYPES.numeric) + ", count(*) AS n FROM codes GROUP BY ALL"
     )
 
 

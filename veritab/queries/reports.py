@@ -74,7 +74,7 @@ def _(spark, folder):
 
 
 # report rows derived from orders: one "dataset" per priority, one metric per status
-REPORT_ROWS = """(SELECT o_orderpriority AS dataset, CASE o_orderstatus WHEN 'F' THEN 'histogram_intersection' WHEN 'O' THEN 'efficacy_test' ELSE 'exact_duplicates' END AS metric,
+REPORT_ROWS = """(SELECT o_orderpriority AS dataset, CASE WHEN o_orderkey % 5 = 0 THEN 'correlation_accuracy' WHEN o_orderstatus = 'F' THEN 'histogram_intersection' WHEN o_orderstatus = 'O' THEN 'efficacy_test' ELSE 'exact_duplicates' END AS metric,
  CASE WHEN o_custkey % 3 = 0 THEN 'real' WHEN o_custkey % 3 = 1 THEN 'fake' ELSE 'fake_train' END AS tag, CASE WHEN o_custkey % 2 = 0 THEN 'xgb' ELSE 'logistic' END AS model_name,
  CASE WHEN o_orderkey % 2 = 0 THEN 'auc' ELSE 'f1' END AS scorer, o_totalprice / 500000 AS score FROM orders)"""
 
@@ -83,7 +83,7 @@ def _report_rows(spark, folder):
     status, third = F.col("o_orderstatus"), F.col("o_custkey") % 3
     return load(spark, folder, "orders").select(
         F.col("o_orderpriority").alias("dataset"),
-        F.when(status == "F", "histogram_intersection").when(status == "O", "efficacy_test").otherwise("exact_duplicates").alias("metric"),
+        F.when(F.col("o_orderkey") % 5 == 0, "correlation_accuracy").when(status == "F", "histogram_intersection").when(status == "O", "efficacy_test").otherwise("exact_duplicates").alias("metric"),
         F.when(third == 0, "real").when(third == 1, "fake").otherwise("fake_train").alias("tag"),
         F.when(F.col("o_custkey") % 2 == 0, "xgb").otherwise("logistic").alias("model_name"),
         F.when(F.col("o_orderkey") % 2 == 0, "auc").otherwise("f1").alias("scorer"), (F.col("o_totalprice") / 500000).alias("score"),
@@ -110,14 +110,40 @@ def _pivot(name, index):
 
 query("n3_pivot_efficacy", pivot_sql("efficacy_test", "model_name, scorer", "fake"))(_pivot("efficacy", ["model_name", "scorer"]))
 query("n3_pivot_histogram", pivot_sql("histogram_intersection", "metric", "fake"))(_pivot("histogram", ["metric"]))
+query("n3_pivot_correlation", pivot_sql("correlation_accuracy", "metric", "fake"))(_pivot("correlation", ["metric"]))
 query("n3_pivot_duplicates", pivot_sql("exact_duplicates", "metric", "fake_train"))(_pivot("duplicates", ["metric"]))
 
 
 # run paths derived from lineitem
-N4_SOURCE = """(SELECT l_orderkey, l_linenumber, l_quantity::INT AS q, l_discount, l_returnflag AS rf, l_suppkey FROM lineitem)"""
-N4_SQL = f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, 'adult' AS dataset, 'GPT2' AS llm, concat('LR0.0005-x_', 'uniform_y_shuffle-', CASE rf WHEN 'A' THEN 'True' ELSE 'False' END, '_wl0.65', '_job', l_suppkey) AS exp,
- CAST(q AS BIGINT) AS bs, CAST(l_linenumber AS BIGINT) AS train_epoch, CAST(q AS VARCHAR) AS chkt_epoch, CASE WHEN rf = 'N' THEN 'nondp' ELSE CAST(l_linenumber AS VARCHAR) END AS eps,
- CASE WHEN rf = 'N' THEN 'nondp' ELSE '1.5' END AS clip, 'uniform' AS approach, 'False' AS impute, '0.0005' AS "LR" FROM {N4_SOURCE}"""
+N4_SQL = """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+ concat('/data/x/y/z/out/runs/LR0.0005-x_uniform_y_shuffle-', shuffle, '_wl0.65/job', l_suppkey, '/w/adult/', CASE WHEN nondp THEN 'NonDP' ELSE 'DP' END,
+  '/GPT2/full/m-bs', q, '-epoch', l_linenumber, '-eps', l_linenumber, '-clip1.5/epoch', q, '/synth_impute-False/a/t.csv') AS fake_path,
+ 'adult' AS dataset, CASE WHEN nondp THEN 'NonDP' ELSE 'DP' END AS setting, 'GPT2' AS llm, 'full' AS finetune_type,
+ concat('LR0.0005-x_uniform_y_shuffle-', shuffle, '_wl0.65_job', l_suppkey) AS exp, 'synth_impute-False' AS folder_name, q AS bs, l_linenumber AS train_epoch,
+ CAST(q AS VARCHAR) AS chkt_epoch, CASE WHEN nondp THEN 'nondp' ELSE CAST(l_linenumber AS VARCHAR) END AS eps, CASE WHEN nondp THEN 'nondp' ELSE '1.5' END AS clip,
+ '0.0005' AS "LR", shuffle, '0.65' AS wl, 'False' AS impute, 'uniform' AS approach
+ FROM (SELECT *, l_quantity::INT AS q, CASE WHEN l_returnflag = 'A' THEN 'True' ELSE 'False' END AS shuffle, l_returnflag = 'N' AS nondp FROM lineitem)"""
+
+# Where the runs of this layout keep their settings: runs/<experiment>/<job>/w/<dataset>/<setting>/<model>/<tuning>/<training>/<checkpoint>/<synthesis>/...
+RUN = r"/runs/[^/]+/[^/]+/w/"
+RUN_SETTINGS = [
+    paths.Setting("dataset", RUN + r"([^/]+)/", default="real"),
+    paths.Setting("setting", RUN + r"[^/]+/([^/]+)/", default="real"),
+    paths.Setting("llm", RUN + r"[^/]+/[^/]+/([^/]+)/", default="real"),
+    paths.Setting("finetune_type", RUN + r"[^/]+/[^/]+/[^/]+/([^/]+)/", default="real"),
+    paths.Setting("exp", r"/runs/([^/]+/[^/]+)/", default="real", replace=("/", "_")),
+    paths.Setting("folder_name", r"/(synth[^/]*)/", default="-1"),
+    paths.Setting("bs", r"-bs([0-9]+)(?:-|/)", "int", -1),
+    paths.Setting("train_epoch", r"-epoch([0-9]+)(?:-|/)", "int", -1),
+    paths.Setting("chkt_epoch", r"/(?:epoch)?((?<=epoch)[0-9]+|step[^/]*)/", default="-1"),
+    paths.Setting("eps", r"-eps([0-9]+)(?:\.[0-9]+)?(?:-|/)", default="-1", marks=((r"/NonDP/", "nondp"),)),
+    paths.Setting("clip", r"-clip([0-9.]+)(?:-|/)", default="-1", marks=((r"/NonDP/", "nondp"),)),
+    paths.Setting("LR", r"/runs/LR([0-9.e]+)-", default="-1"),
+    paths.Setting("shuffle", r"_shuffle-([A-Za-z]+)", default="-1"),
+    paths.Setting("wl", r"_wl([0-9.]+)", default="-1"),
+    paths.Setting("impute", r"_impute-([A-Za-z]+)", default="-1"),
+    paths.Setting("approach", default="-1", marks=((r"/runs/[^/]*uniform", "uniform"), (r"/runs/[^/]*[Ss]tandard", "standard"))),
+]
 
 
 def _run_paths(spark, folder):
@@ -146,9 +172,9 @@ SCORINGS = """(SELECT CASE WHEN l_linenumber < 3 THEN 'efficacy_test' WHEN l_lin
  CASE l_returnflag WHEN 'A' THEN 'auc' ELSE 'mean' END AS scorer, l_discount AS score, l_linestatus AS model_name, l_linenumber AS bins, l_returnflag AS dataset, l_tax AS tax FROM lineitem)"""
 
 
-@query("n4_experiment_dimensions")
+@query("n4_experiment_dimensions", N4_SQL)
 def _(spark, folder):
-    return reports.experiment_dimensions(_run_paths(spark, folder))
+    return reports.experiment_dimensions(_run_paths(spark, folder), RUN_SETTINGS)
 
 
 @query("n4_path_settings", """SELECT CAST(l_quantity::INT AS BIGINT) AS bs, CAST(l_linenumber AS BIGINT) AS train_epoch, CAST(l_quantity::INT AS VARCHAR) AS chkt_epoch,
@@ -156,7 +182,7 @@ def _(spark, folder):
  concat('LR0.0005-x_uniform_y_shuffle-', CASE l_returnflag WHEN 'A' THEN 'True' ELSE 'False' END, '_wl0.65') AS run, 'uniform' AS approach, '0.0005' AS lr, 'False' AS impute, count(*) AS n
  FROM lineitem GROUP BY ALL""")
 def _(spark, folder):
-    table = reports.experiment_dimensions(_run_paths(spark, folder))
+    table = reports.experiment_dimensions(_run_paths(spark, folder), RUN_SETTINGS)
     return table.groupBy(
         big("bs").alias("bs"), big("train_epoch").alias("train_epoch"), "chkt_epoch", "eps", "clip", F.regexp_replace("exp", "_job.*$", "").alias("run"), "approach",
         F.col("LR").alias("lr"), "impute",
