@@ -147,26 +147,29 @@ def canonical_spelling(text: Column, values: list[str]) -> Column:
 def repair_rows(table: DataFrame, profile, dropna: bool = False, integer_round: bool = False) -> DataFrame:
     """Fit produced text rows to a profile (`veritab.operators.profile.TableProfile`).
 
-    Categories regain their known spelling and unknown ones become NULL; numbers are
-    parsed and take the profiled kind; the text `None` is NULL.  Columns come back
+    Categories regain their known spelling, of all values of the profiled table, and
+    unknown ones become NULL; numbers are parsed and take the profiled kind; the text `None` is NULL.  Columns come back
     under the profiled names.  With `dropna`, incomplete rows leave.
     """
     by_lower = {c.lower(): c for c in table.columns}
     if sorted(by_lower) != sorted(profile.columns):
         raise ValueError(f"columns differ from the profile: {sorted(set(by_lower) ^ set(profile.columns))}")
-    repaired = []
-    for key, info in profile.columns.items():
+    repaired, found = [], table
+    for i, (key, info) in enumerate(profile.columns.items()):
         source = by_lower[key]
         if info.kind == "categorical":
-            text = F.coalesce(named(source).cast("string"), F.lit("None"))
-            value = F.nullif(canonical_spelling(text, [v for v in info.vocabulary if v != "[UNK]"]), F.lit("None"))
+            # every value of the profiled table, by its most frequent spelling
+            known = profile.values.where((F.col("column") == info.name) & ~F.col("value").isin("[UNK]", "None"))
+            spelled = known.groupBy(F.lower("value").alias(f"__key{i}")).agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias(f"__value{i}"))
+            found = found.join(spelled, F.lower(named(source).cast("string")) == F.col(f"__key{i}"), "left")
+            value = F.col(f"__value{i}")
         else:
             value = numeric_of(table, source)
             if info.integer:
                 whole = F.bround(value) if integer_round else value
                 value = F.when(whole == F.floor(whole), whole.try_cast("bigint"))
         repaired.append(value.alias(info.name))
-    result = table.select(*repaired)
+    result = found.select(*repaired)
     return result.na.drop() if dropna else result
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations
@@ -91,12 +92,15 @@ def balanced(train: DataFrame) -> DataFrame:
     return train.join(F.broadcast(weights), LABEL)  # one row per class
 
 
-def estimator(model: str, task: str, classes: int, width: int, seed: int = 1000):
-    """L2/L3.  `xgb` is Spark's boosted trees; the perceptron regressor is boosted trees, too."""
+def estimator(model: str, task: str, classes: int, width: int, seed: int = 1000, rows: float = math.inf):
+    """L2/L3.  `xgb` is Spark's boosted trees; the perceptron regressor is boosted trees, too.
+
+    The logistic model has an L2 penalty of 1 beside the summed loss of `rows` weighted rows.
+    """
     common = {"featuresCol": FEATURES, "labelCol": LABEL}
     if task == "classification":
         if model == "logistic":
-            return LogisticRegression(**common, weightCol=WEIGHT, maxIter=50)
+            return LogisticRegression(**common, weightCol=WEIGHT, maxIter=100, regParam=1.0 / rows, standardization=False)
         if model == "tree":
             return DecisionTreeClassifier(**common, weightCol=WEIGHT, maxDepth=15, seed=seed)
         if model == "xgb":
@@ -130,7 +134,8 @@ def fit_predict(ready: Prepared, model: str, seed: int = 1000) -> DataFrame:
         train = balanced(ready.train.filter(F.col(LABEL) >= 0)).persist()
     else:
         train = ready.train.persist()
-    fitted = estimator(model, ready.task, ready.classes, ready.width, seed).fit(train)
+    rows = float(train.agg(F.sum(WEIGHT)).first()[0]) if model == "logistic" and ready.task == "classification" else math.inf
+    fitted = estimator(model, ready.task, ready.classes, ready.width, seed, rows).fit(train)
     train.unpersist()
     scored = fitted.transform(ready.test)
     if "probability" in scored.columns:
@@ -265,8 +270,8 @@ def all_targets_test(real: DataFrame, fake: DataFrame, class_models: list[str],
 
 
 # ------------------------------------------------------------------ grid search L7
+# The tuned settings.
 FULL_GRID = {"maxIter": [100, 200, 300], "maxDepth": [3, 5, 10, 20], "stepSize": [0.01, 0.05, 0.1]}
-SMALL_GRID = {"maxIter": [10, 20], "maxDepth": [3, 5], "stepSize": [0.1]}
 
 
 def with_folds(df: DataFrame, keys: list[str], label: str, folds: int, seed: int) -> DataFrame:
@@ -299,11 +304,11 @@ def grid_search(
     if size == 2:
         model = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, seed=seed, maxBins=64)
         evaluator = BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderROC")
-        search = grid or SMALL_GRID
+        search = grid or FULL_GRID
     else:  # Spark's boosting is binary; a forest keeps one multiclass model
         model = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, seed=seed, maxBins=64)
         evaluator = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy")
-        search = {"numTrees": (grid or SMALL_GRID)["maxIter"], "maxDepth": (grid or SMALL_GRID)["maxDepth"]}
+        search = {"numTrees": (grid or FULL_GRID)["maxIter"], "maxDepth": (grid or FULL_GRID)["maxDepth"]}
     builder = ParamGridBuilder()
     for name, values in search.items():
         builder = builder.addGrid(model.getParam(name), values)

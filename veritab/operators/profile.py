@@ -56,9 +56,14 @@ class ColumnProfile:
 
 @dataclass
 class TableProfile:
-    """Profiles keyed by lower-cased column name, in column order."""
+    """Profiles keyed by lower-cased column name, in column order.
+
+    `values` holds every categorical value with its count (column, value, n) as a table
+    of any size; the vocabularies of the columns are its most frequent ones.
+    """
 
     columns: dict[str, ColumnProfile]
+    values: DataFrame | None = None
 
     def of(self, name: str) -> ColumnProfile:
         return self.columns[name.lower()]
@@ -141,6 +146,7 @@ def build_profile(
             distinct = [j / EDGE_PIECES for j in range(EDGE_PIECES + 1)]
         infos[c.lower()].edges = distinct
 
+    counts = None
     if types.categorical:
         counts = melt(df, {c: text_of(c, MISSING) for c in types.categorical}, []).groupBy("column", "value").agg(
             F.count("*").alias("n")
@@ -160,7 +166,7 @@ def build_profile(
                 c, "categorical", vocabulary=[UNKNOWN, *[v for v, _ in chosen]],
                 weights=[w / total for w in weights] if total > 0 else weights,
             )
-    return TableProfile({c.lower(): infos[c.lower()] for c in df.columns if c.lower() in infos})
+    return TableProfile({c.lower(): infos[c.lower()] for c in df.columns if c.lower() in infos}, counts)
 
 
 PROFILE_SCHEMA = (

@@ -247,6 +247,20 @@ def _(spark, folder):
     return clean.repair_rows(damaged, built)
 
 
+@query("b12_repair_many_values", """SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN p_size <> 7 THEN p_name END AS p_name,
+ CASE WHEN p_size <> 8 THEN p_brand END AS p_brand FROM part""")
+def _(spark, folder):
+    """A column with as many values as rows keeps all of them."""
+    part = load(spark, folder, "part").select("p_partkey", "p_name", "p_brand")
+    size = load(spark, folder, "part").select(F.col("p_partkey").alias("key"), "p_size")
+    damaged = part.join(size, F.col("p_partkey") == F.col("key")).select(
+        F.col("p_partkey").cast("string").alias("p_partkey"),
+        F.when(F.col("p_size") == 7, "no such name").otherwise(F.upper("p_name")).alias("P_NAME"),
+        F.when(F.col("p_size") == 8, F.lit(None)).otherwise(F.lower("p_brand")).alias("p_brand"),
+    )
+    return clean.repair_rows(damaged, profile.build_profile(part))
+
+
 @query("b12_repair_rows_dropna", f"SELECT * FROM ({B12_SQL}) WHERE p_brand IS NOT NULL AND p_type IS NOT NULL AND p_size IS NOT NULL")
 def _(spark, folder):
     damaged, built = _damaged(spark, folder)

@@ -90,6 +90,7 @@ def _report_rows(spark, folder):
     )
 
 
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
@@ -215,9 +216,9 @@ def _(spark, folder):
     )
 
 
-@query("n7_perplexity_curves", """SELECT step, round(avg(value) FILTER (method = 'view'), 6) AS "view", round(avg(value) FILTER (method = 'click'), 6) AS click FROM
+@query("n7_perplexity_curves", """SELECT step, """ + ", ".join(f"round(avg(value) FILTER (method = '{m}'), 6) AS \"{m}\"" for m in EVENT_TYPES) + """ FROM
  (SELECT event_id % 2000 AS step, event_type AS method, value FROM events) WHERE step % 100 = 0 GROUP BY step""")
 def _(spark, folder):
     logs = load(spark, folder, "events").select((F.col("event_id") % 2000).alias("step"), F.col("event_type").alias("method"), "value")
-    table = reports.perplexity_curves(logs, "step", ["view", "click"], "value")
-    return table.select("step", r("view", 6).alias("view"), r("click", 6).alias("click"))
+    table = reports.perplexity_curves(logs, "step", EVENT_TYPES, "value")
+    return table.select("step", *[r(m, 6).alias(m) for m in EVENT_TYPES])

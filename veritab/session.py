@@ -38,11 +38,17 @@ def tune(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's `spark.checkpoint.dir`; fall back to a scratch folder only when unset."""
+    """Use the cluster's `spark.checkpoint.dir`; a local session without one gets a scratch folder.
+
+    Off local mode a folder of the driver's machine would be lost to the executors, so
+    a missing setting is an error there.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+    if not configured and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="veritab-checkpoint-"))
 
 
