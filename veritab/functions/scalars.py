@@ -158,8 +158,9 @@ def seeded_hash(seed: int, *columns: Column) -> Column:
 
 
 def seeded_uniform(seed: int, *columns: Column) -> Column:
-    """Uniform number in [0, 1) tied to the given key columns."""
-    return F.shiftrightunsigned(seeded_hash(seed, *columns), 11).cast("double") * F.lit(2.0**-53)
+    """Uniform number in [0, 1) tied to the given key columns: 52 bits of the MD5 of `seed:key:...`, which any engine can repeat."""
+    text = F.concat_ws(":", F.lit(str(int(seed))), *[c.cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") * F.lit(2.0**-52)
 
 
 def seeded_normal(seed: int, *columns: Column) -> Column:

@@ -60,6 +60,11 @@ LINE_PAIR = """(SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'real' ELSE 'fake' END
  CAST(l_linenumber AS VARCHAR) AS l_linenumber FROM lineitem)"""
 
 
+def uniform_sql(seed: int, key: str) -> str:
+    """The draw of `scalars.seeded_uniform` in SQL."""
+    return f"(('0x' || substring(md5(concat('{seed}:', {key})), 1, 13))::BIGINT / 4503599627370496::DOUBLE)"
+
+
 class Registry:
     """Collects the queries of one area with their SQL."""
 

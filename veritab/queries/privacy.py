@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from veritab.operators import overlap, privacy
-from veritab.queries.common import Registry, big, load, r
+from veritab.queries.common import Registry, big, load, r, uniform_sql
 
 area = Registry()
 query, QUERIES, SQL = area.query, area.queries, area.sql
@@ -74,10 +74,19 @@ def _(spark, folder):
     return scaled.select("c_custkey", r("c_acctbal", 8).alias("c_acctbal"))
 
 
-@query("p1_min_max_scale_noisy")
+def laplace_sql(scale: str, place: int) -> str:
+    u = f"({uniform_sql(1, repr(str(place)))} - 0.5)"
+    return f"(-({scale}) * sign({u}) * ln(1 - 2 * abs({u})))"
+
+
+CLAMPED = "greatest(-1000, least(10000, c_acctbal))"
+
+
+@query("p1_min_max_scale_noisy", f"""SELECT c_custkey, round(({CLAMPED} - lo) / (hi - lo), 6) AS c_acctbal FROM customer,
+ (SELECT min({CLAMPED}) + {laplace_sql('11000 / 4.0', 0)} AS lo, max({CLAMPED}) + {laplace_sql('11000 / 4.0', 1)} AS hi FROM customer)""")
 def _(spark, folder):
     scaled = privacy.private_min_max_scale(load(spark, folder, "customer"), {"c_acctbal": (-1000, 10000)}, 8.0, seed=1)
-    return scaled.select("c_custkey", "c_acctbal")
+    return scaled.select("c_custkey", r("c_acctbal", 6).alias("c_acctbal"))
 
 
 @query("p2_standardize", "SELECT c_custkey, round((c_acctbal - m) / s, 6) AS c_acctbal FROM customer, (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s FROM customer)")
@@ -86,9 +95,11 @@ def _(spark, folder):
     return scaled.select("c_custkey", r("c_acctbal", 6).alias("c_acctbal"))
 
 
-@query("p2_standardize_noisy")
+@query("p2_standardize_noisy", f"""SELECT c_custkey, round(({CLAMPED} - m) / s, 6) AS c_acctbal FROM customer, (SELECT avg({CLAMPED}) + {laplace_sql('11000.0 / count(*) / 0.5', 0)} AS m,
+ stddev_pop({CLAMPED}) + {laplace_sql('11000.0 / sqrt(count(*)) / 0.5', 1)} AS s FROM customer)""")
 def _(spark, folder):
-    return privacy.private_standardize(load(spark, folder, "customer"), {"c_acctbal": (-1000, 10000)}, 1.0, seed=1).select("c_custkey", "c_acctbal")
+    scaled = privacy.private_standardize(load(spark, folder, "customer"), {"c_acctbal": (-1000, 10000)}, 1.0, seed=1)
+    return scaled.select("c_custkey", r("c_acctbal", 6).alias("c_acctbal"))
 
 
 @query("p6_memorised_rows", """SELECT count(*) AS score FROM (SELECT l_quantity, l_discount, l_tax, l_linenumber FROM lineitem WHERE l_returnflag = 'R'

@@ -8,7 +8,7 @@ from veritab.functions.scalars import named
 from veritab.operators import kway, profile, ranks, synth
 from veritab.operators.clean import split_complete
 from veritab.operators.sides import ColumnTypes
-from veritab.queries.common import Registry, big, load, order_pair, r
+from veritab.queries.common import Registry, big, load, order_pair, r, uniform_sql
 
 area = Registry()
 query, QUERIES, SQL = area.query, area.queries, area.sql
@@ -25,11 +25,21 @@ def _model(spark, folder):
     return lines, synth.fit_slots(lines, profile.build_profile(lines))
 
 
-@query("k1_uniform_pseudo")
+# a column with more than a twentieth of zeros is profiled by its other values
+K1_SQL = f"""WITH s AS (SELECT count(*) AS n, CASE WHEN avg((c_nationkey = 0)::INT) > 0.05 THEN min(c_nationkey) FILTER (c_nationkey <> 0) ELSE min(c_nationkey) END AS lo,
+ max(c_nationkey) AS hi, min(c_acctbal) AS al, max(c_acctbal) AS ah FROM customer),
+v AS (SELECT list(c_mktsegment ORDER BY k DESC, c_mktsegment) AS words FROM (SELECT c_mktsegment, count(*) AS k FROM customer GROUP BY 1)),
+i AS (SELECT unnest(range(2 * n)) AS id, * FROM s, v)
+SELECT id AS {synth.ID}, CAST(id // n AS BIGINT) AS set_id, CAST(floor({uniform_sql(1009, 'id')} * (hi - lo + 1)) + lo AS BIGINT) AS c_nationkey,
+ round(al + {uniform_sql(1010, 'id')} * (ah - al), 6) AS c_acctbal, words[1 + floor({uniform_sql(1011, 'id')} * len(words))::INT] AS c_mktsegment FROM i"""
+
+
+@query("k1_uniform_pseudo", K1_SQL)
 def _(spark, folder):
     """Two uniform sets, each as large as the profiled table."""
     customer = load(spark, folder, "customer").select("c_nationkey", "c_acctbal", "c_mktsegment")
-    return synth.uniform_pseudo(spark, profile.build_profile(customer), customer.count(), sets=2, seed=1)
+    drawn = synth.uniform_pseudo(spark, profile.build_profile(customer), customer.count(), sets=2, seed=1)
+    return drawn.select(synth.ID, big("set_id").alias("set_id"), "c_nationkey", r("c_acctbal", 6).alias("c_acctbal"), "c_mktsegment")
 
 
 @query("k3_inject_dependencies")
@@ -61,7 +71,14 @@ def _(spark, folder):
     return ruled.select("p_partkey", r("p_retailprice", 4).alias("p_retailprice"))
 
 
-@query("k4_weighted_category")
+def category_sql(table: str, column: str, seed: int, key: str) -> str:
+    """Each key of a table with a value of a column drawn by its share, values in order of their counts."""
+    return f"""(SELECT k, v FROM (SELECT {key} AS k, {uniform_sql(seed, key)} AS u FROM {table}) JOIN
+ (SELECT v, sum(n) OVER w / sum(n) OVER () AS high, (sum(n) OVER w - n) / sum(n) OVER () AS low, row_number() OVER w = count(*) OVER () AS last
+  FROM (SELECT {column} AS v, count(*)::DOUBLE AS n FROM {table} GROUP BY 1) WINDOW w AS (ORDER BY n DESC, v ROWS UNBOUNDED PRECEDING)) ON u >= low AND (u < high OR last))"""
+
+
+@query("k4_weighted_category", f"SELECT k AS p_partkey, v AS brand FROM {category_sql('part', 'p_brand', 2, 'p_partkey')}")
 def _(spark, folder):
     """A brand per part, drawn with the brands' shares."""
     part = load(spark, folder, "part")
