@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from veritab.operators import profile, rowtext
 from veritab.operators.sides import ColumnTypes
-from veritab.queries.common import Registry, big, load, r
+from veritab.queries.common import Registry, big, load, r, uniform_sql
+from veritab.queries.synthesis import category_sql, empirical_sql
 
 area = Registry()
 query, QUERIES, SQL = area.query, area.queries, area.sql
@@ -106,7 +107,11 @@ def _(spark, folder):
     return rowtext.start_prompts(part, "categorical", COLUMNS, "apval", start="p_brand", value=F.col("p_brand"))
 
 
-@query("t5_prompts_random")
+T5_BRANDS = "(SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN p_brand ELSE 'Missing' END AS b FROM part)"
+
+
+@query("t5_prompts_random", f"""SELECT k AS id, concat('p_brand is ', v, ', ', ['p_name', 'p_brand', 'p_size'][1 + floor({uniform_sql(5, 'k')} * 3)::INT], ' is') AS prompt
+ FROM {category_sql(T5_BRANDS, 'b', 5, 'p_partkey')}""")
 def _(spark, folder):
     """A drawn category followed by a drawn opening column."""
     from veritab.operators.synth import weighted_category
@@ -118,7 +123,7 @@ def _(spark, folder):
     )
 
 
-@query("t5_prompts_continuous")
+@query("t5_prompts_continuous", f"SELECT k AS id, concat('p_size is ', v::DOUBLE, ',') AS prompt FROM {empirical_sql('part', 'p_size', 'part', 'p_partkey', 9)}")
 def _(spark, folder):
     """A drawn observed number opens each prompt."""
     from veritab.operators.synth import empirical_sample

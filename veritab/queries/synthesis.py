@@ -86,7 +86,13 @@ def _(spark, folder):
     return part.select("p_partkey", synth.weighted_category(built.of("p_brand"), 2, [F.col("p_partkey")]).alias("brand"))
 
 
-@query("k5_empirical_sample")
+def empirical_sql(table: str, column: str, ids: str, key: str, seed: int) -> str:
+    """Each key with the value at a drawn rank of all values."""
+    return f"""(SELECT k, v FROM (SELECT {key} AS k, CAST(floor({uniform_sql(seed, key)} * (SELECT count({column}) FROM {table})) AS BIGINT) AS rk FROM {ids})
+ JOIN (SELECT {column} AS v, row_number() OVER (ORDER BY {column}) - 1 AS rk FROM {table} WHERE {column} IS NOT NULL) USING (rk))"""
+
+
+@query("k5_empirical_sample", f"SELECT k AS c_custkey, v AS price FROM {empirical_sql('orders', 'o_totalprice', 'customer', 'c_custkey', 2)}")
 def _(spark, folder):
     """An observed price per customer, drawn with its frequency."""
     customers = load(spark, folder, "customer").select("c_custkey")
