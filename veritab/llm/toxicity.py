@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -83,14 +84,33 @@ class Odds:
         return np.where((a + b > 0)[:, None], both / 2, 0).astype(np.float32)
 
 
-def character_scores(table: np.ndarray, grams: list[list[int]]) -> np.ndarray:
+class Ragged:
+    """Lists of numbers of different lengths in one flat array."""
+
+    def __init__(self) -> None:
+        self.flat, self.ends = array("i"), array("q")
+
+    def append(self, numbers: list[int]) -> None:
+        self.flat.extend(numbers)
+        self.ends.append(len(self.flat))
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat numbers, first places and lengths."""
+        ends = np.frombuffer(self.ends, dtype=np.int64) if self.ends else np.zeros(0, dtype=np.int64)
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
+        return np.frombuffer(self.flat, dtype=np.int32) if self.flat else np.zeros(0, dtype=np.int32), starts, ends - starts
+
+
+def character_scores(table: np.ndarray, grams: Ragged, at_once: int = 1 << 16) -> np.ndarray:
     """Largest and mean score of the n-grams of each word."""
-    if not grams:
-        return np.zeros((0, 2), dtype=np.float32)
-    sizes = np.array([len(g) for g in grams])
-    values = table[np.concatenate([np.asarray(g) for g in grams])]
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return np.stack([np.maximum.reduceat(values, starts), np.add.reduceat(values, starts) / sizes], axis=1)
+    flat, starts, sizes = grams.arrays()
+    found = np.zeros((len(starts), 2), dtype=np.float32)
+    for i in range(0, len(starts), at_once):
+        own, n = starts[i : i + at_once], sizes[i : i + at_once]
+        values = table[flat[own[0] : own[-1] + n[-1]]]
+        found[i : i + at_once, 0] = np.maximum.reduceat(values, own - own[0])
+        found[i : i + at_once, 1] = np.add.reduceat(values, own - own[0]) / n
+    return found
 
 
 INPUT = 4 + 3 * LEARNED
@@ -212,8 +232,11 @@ class Model:
     def gates(self, words: list[bytes]) -> np.ndarray:
         """The input of both directions for each word."""
         learned = np.array([vector_buckets(w) for w in words]).reshape(-1, 3)
+        grams = Ragged()
+        for word in words:
+            grams.append(ngram_buckets(word))
         x = np.concatenate(
-            [self.words[[word_bucket(w) for w in words]], character_scores(self.grams, [ngram_buckets(w) for w in words]), *[self.p["vectors"][k][learned[:, k]] for k in range(3)]],
+            [self.words[[word_bucket(w) for w in words]], character_scores(self.grams, grams), *[self.p["vectors"][k][learned[:, k]] for k in range(3)]],
             axis=1,
         )
         return (x @ self.inputs + self.bias).astype(np.float32)
@@ -291,29 +314,35 @@ def cut(ids: np.ndarray) -> np.ndarray:
 
 def train(sample: list[tuple[bytes, int]], seed: int = 6, steps: int = 160, batch: int = 256, rate: float = 0.02) -> Model:
     """A model from texts and labels of both classes."""
-    split = [(tokens(text), label) for text, label in sample]
     known: dict[bytes, int] = {}
-    for words, _ in split:
-        for word in words:
-            known.setdefault(word, len(known) + 1)
-    grams = [ngram_buckets(w) for w in known]
-    buckets = np.array([(0, 0, 0), *map(vector_buckets, known)])
-    own_bucket = np.array([word_bucket(w) for w in known], dtype=np.int64)
-    n = Counter(label for _, label in split)
-    word_counts, gram_counts = ({label: np.zeros(BUCKETS, np.int32) for label in (0, 1)} for _ in range(2))
+    grams, own, learned = Ragged(), array("i"), array("i", (0, 0, 0))
     numbered = []
-    for words, label in split:
-        ids = np.array([known[w] for w in words], dtype=np.int64)
-        numbered.append((ids, label))
+    for text, label in sample:
+        words = tokens(text)
+        for word in dict.fromkeys(words):
+            if word not in known:
+                known[word] = len(known) + 1
+                grams.append(ngram_buckets(word))
+                own.append(word_bucket(word))
+                learned.extend(vector_buckets(word))
+        numbered.append((np.fromiter(map(known.__getitem__, words), np.int32, len(words)), label))
+    known.clear()
+    buckets = np.array(learned, dtype=np.int32).reshape(-1, 3)
+    own_bucket = np.array(own, dtype=np.int32)
+    flat, starts, sizes = grams.arrays()
+    n = Counter(label for _, label in numbered)
+    word_counts, gram_counts = ({label: np.zeros(BUCKETS, np.int32) for label in (0, 1)} for _ in range(2))
+    for ids, label in numbered:
         seen = np.unique(ids) - 1
         word_counts[label][np.unique(own_bucket[seen])] += 1
         if len(seen):
-            gram_counts[label][np.unique(np.concatenate([np.asarray(grams[i]) for i in seen]))] += 1
+            shift = np.repeat(starts[seen] - np.concatenate([[0], np.cumsum(sizes[seen])[:-1]]), sizes[seen])
+            gram_counts[label][np.unique(flat[shift + np.arange(len(shift))])] += 1
     word_odds, gram_odds = (Odds(c[1], c[0], n[1], n[0]) for c in (word_counts, gram_counts))
     features = {}
     for label in (0, 1):
         characters = character_scores(gram_odds.bounds(label)[:, 0], grams)
-        features[label] = np.concatenate([np.zeros((1, 4)), np.concatenate([word_odds.bounds(label)[own_bucket], characters], axis=1)]).astype(np.float32)
+        features[label] = np.concatenate([np.zeros((1, 4), np.float32), np.concatenate([word_odds.bounds(label)[own_bucket], characters], axis=1)])
     draw = np.random.default_rng(seed)
     rows, labels = [], []
     for ids, label in numbered:
@@ -363,7 +392,7 @@ def _scorer(model: Broadcast) -> Scorer:
     return _SCORERS[key]
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = 2500, longest: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = 2000, longest: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | float:
     """A model, or the share of label 1 if only one class is labelled; `learn` picks the rows of `labels`."""
     ready(docs.sparkSession)
     rows = sample(docs, labels, F.lit(True) if learn is None else learn, per_class, longest, id_col, text_col, label_col)
