@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 from pyspark.ml import Pipeline
@@ -24,6 +24,7 @@ from veritab.operators.clean import drop_infinite, drop_null_target
 from veritab.operators.features import fit_features, transform_features
 from veritab.operators.ranks import cut_by_hash, running_totals
 from veritab.operators.sides import ColumnTypes, text_of, types_by_dtype
+from veritab.session import freeze
 
 LABEL, FEATURES, WEIGHT = "__label", "__features", "__weight"
 CLASSIFIERS = ["logistic", "tree", "xgb", "mlp"]
@@ -246,8 +247,8 @@ def efficacy_test(
 def efficacy_models(real: DataFrame, fake: DataFrame, target: str, models: list[str], **options) -> DataFrame:
     """Several models on one prepared pair of feature tables."""
     ready = prepare(real, fake, target, options.get("types"), options.get("fit"))
-    ready.train.persist()
-    ready.test.persist()
+    # frozen, not cached: nothing has to be released after the lazy scores were read
+    ready = replace(ready, train=freeze(ready.train), test=freeze(ready.test))
     result = None
     for model in models:
         part = efficacy_test(real, fake, target, model, options.get("scorers"), ready=ready)

@@ -155,7 +155,8 @@ def inject_dependencies(
                     generator.shuffle(places)
                     df = df.withColumn("__pick", F.get(literal_array(places, "int"), F.col("__pick")))
             df = with_category(df.drop(target), target, "__pick", metadata, lists, shuffle_seed=None if source in metadata.numeric else salt)
-        df = df.select(*[named(c) for c in order])
+        # frozen after each rule: the next one reads the frame several times
+        df = freeze(df.select(*[named(c) for c in order]))
     return df
 
 
@@ -436,7 +437,7 @@ def stratified_split(df: DataFrame, keys: list[str], target: str, test_share: fl
     is a plain split.
     """
     label = F.coalesce(named(target).cast("string"), F.lit("\u0000"))
-    classes = df.groupBy(label.alias("__s0")).agg(F.count("*").alias("size"))
+    classes = freeze(df.groupBy(label.alias("__s0")).agg(F.count("*").alias("size")))
     total = classes.agg(F.sum("size")).first()[0] or 0
     test = math.ceil(round(test_share * total, 9))
     valid = math.ceil(round(valid_share * (total - test), 9))
@@ -449,10 +450,10 @@ def stratified_split(df: DataFrame, keys: list[str], target: str, test_share: fl
         ranked = running_totals(floors, ["__all"], ["__rest", "__s0"], ["__one"])
         return ranked.select(*table.columns, (F.col("__floor") + (F.col("running___one") <= short).cast("long")).alias(output))
 
-    sized = apportion(classes, "size", test, "__end_test")
+    sized = freeze(apportion(classes, "size", test, "__end_test"))
     sized = sized.withColumn("__left", F.col("size") - F.col("__end_test"))
     sized = apportion(sized, "__left", valid, "__valid")
-    ends = sized.select("__s0", "__end_test", (F.col("__end_test") + F.col("__valid")).alias("__end_val"), F.col("size").alias("__end_train"))
+    ends = freeze(sized).select("__s0", "__end_test", (F.col("__end_test") + F.col("__valid")).alias("__end_val"), F.col("size").alias("__end_train"))
     return cut_by_hash(df, keys, seed, lambda n: [], strata=[target], sizes=ends)
 
 

@@ -79,9 +79,13 @@ def ledger_rows(tables: Tables, scored: DataFrame, metric: str, bins: int | None
 
 
 def run_metric(
-    tables: Tables, metric: str, bins: int = 50, model: str | None = None, scorer: str | None = None, target: str | None = None, seed: int = 1000
+    tables: Tables, metric: str, bins: int = 50, model: str | None = None, scorer: str | list[str] | None = None, target: str | None = None,
+    seed: int = 1000, class_shares: bool = True,
 ) -> DataFrame:
-    """Ledger rows of one metric, always for test/train ("real") and test/synthetic ("fake")."""
+    """Ledger rows of one metric, always for test/train ("real") and test/synthetic ("fake").
+
+    `scorer` is one name, several, or None for all; a categorical target adds its class shares.
+    """
     if metric == "histogram_intersection":
         three = tables.tagged(test="test", train="train", fake="fake")
         return ledger_rows(tables, marginals.histogram_summary(three, tables.types, bins), metric, bins=bins)
@@ -99,7 +103,8 @@ def run_metric(
             else:
                 pair = tables.tagged(**{REAL: "test", FAKE: name})
                 if tables.keys:
-                    keyed = tables.test.withColumn(SIDE, F.lit(REAL)).unionByName(getattr(tables, name).withColumn(SIDE, F.lit(FAKE)))
+                    other = align_types(getattr(tables, name).select(*[F.col(f"`{c}`") for c in tables.test.columns]), tables.test)
+                    keyed = tables.test.withColumn(SIDE, F.lit(REAL)).unionByName(other.withColumn(SIDE, F.lit(FAKE)))
                     pair = equalize(keyed, tables.keys, seed).drop(*tables.keys)
                 score = associations.correlation_accuracy(pair, tables.types)
                 scorer_name = "accuracy"
@@ -111,9 +116,10 @@ def run_metric(
         test, parts = tables.without_keys("test"), []
         for tag, name in (("real", "train"), ("fake", "fake")):
             other = align_types(tables.without_keys(name), test)
-            scored = efficacy.efficacy_test(test, other, target, model, [scorer] if scorer else None, tables.types, fit=test.unionByName(other))
+            scorers = [scorer] if isinstance(scorer, str) else scorer
+            scored = efficacy.efficacy_test(test, other, target, model, scorers, tables.types, fit=test.unionByName(other))
             parts.append(scored.select(F.lit(tag).alias("tag"), "scorer", "score"))
-            if target in tables.types.categorical:
+            if class_shares and target in tables.types.categorical:
                 parts.append(aggregates.class_share_rows(other, target, tag).select("tag", "scorer", "score"))
         scored = parts[0]
         for part in parts[1:]:
@@ -135,7 +141,8 @@ def run_full_evaluation(
         parts = [run_metric(tables, "exact_duplicates"), run_metric(tables, "correlation_accuracy")]
         for b in bins:
             parts += [run_metric(tables, "histogram_intersection", bins=b), run_metric(tables, "pairwise_similarity", bins=b)]
-        parts += [run_metric(tables, "efficacy_test", model=m, scorer=s, target=target) for m in models for s in scorers]
+        # one fit for each model gives all scores; the class shares are the same for all models
+        parts += [run_metric(tables, "efficacy_test", model=m, scorer=list(scorers), target=target, class_shares=m == models[0]) for m in models]
         for part in parts:
             result = part if result is None else result.unionByName(part)
     if result is None:

@@ -49,8 +49,8 @@ def _(spark, folder):
 
 
 REPORT_SQL = """SELECT CASE WHEN o_orderstatus = 'F' THEN 'early' ELSE 'late' END AS dataset, o_orderpriority AS scorer,
- CASE WHEN o_orderstatus = 'F' THEN 50.0::DOUBLE END AS bins, round(avg(o_totalprice), 4) AS score, count(*) AS fake_size
-FROM orders GROUP BY ALL"""
+ CASE WHEN o_orderstatus = 'F' THEN 50.0::DOUBLE END AS bins, CASE WHEN o_orderpriority <> '5-LOW' THEN round(avg(o_totalprice), 4) END AS score, count(*) AS fake_size
+FROM orders GROUP BY dataset, bins, o_orderpriority"""
 
 
 @query("a4_read_reports", REPORT_SQL)
@@ -58,7 +58,7 @@ def _(spark, folder):
     base = scratch_folder(spark, "reports")
     orders = load(spark, folder, "orders")
     rows = orders.groupBy((F.col("o_orderstatus") == "F").alias("early"), "o_orderpriority").agg(
-        F.round(F.avg("o_totalprice"), 4).alias("score"), F.count("*").alias("fake_size")
+        F.when(F.col("o_orderpriority") != "5-LOW", F.round(F.avg("o_totalprice"), 4)).alias("score"), F.count("*").alias("fake_size")
     )
     shared = [F.lit("t.csv").alias("real_path"), F.lit("f.csv").alias("fake_path"), F.col("fake_size").alias("real_size"), "fake_size",
               "score", F.lit("histogram_intersection").alias("metric"), F.col("o_orderpriority").alias("scorer"), F.lit("fake").alias("tag")]

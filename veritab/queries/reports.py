@@ -69,7 +69,7 @@ def _(spark, folder):
     """All metrics of one synthetic table; the missing one is skipped."""
     t = _line_tables(spark, folder)
     return runner.run_full_evaluation(
-        spark, t.train, t.test, {"fake.csv": t.fake, "absent.csv": None}, "l_linestatus", models=("logistic",), scorers=("accuracy",)
+        spark, t.train, t.test, {"fake.csv": t.fake, "absent.csv": None}, "l_linestatus"
     )
 
 

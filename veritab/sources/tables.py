@@ -74,7 +74,7 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     Reports come with several headers (with and without `bins`), and CSV columns are
     positional; lines are therefore parsed by the header of their own file.  Headers
     are found in the data, and there are as many as layouts, not as files.
-    Lines without a readable score are skipped.
+    A score that is missing or no number is NULL; its line stays.
     """
     lines = spark.read.text(f"{folder}/report_*.csv").select(
         "value", report_name(F.col("_metadata.file_path")).alias("dataset"), F.col("_metadata.file_path").alias("path")
@@ -95,7 +95,7 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     for name, kind in numbers.items():
         if name in result.columns:
             result = result.withColumn(name, F.col(name).try_cast(kind))
-    return result.filter(F.col("score").isNotNull())
+    return result
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
