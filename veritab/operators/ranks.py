@@ -13,15 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veritab.functions.scalars import named, numeric_of, seeded_hash
+from veritab.functions.binning import with_edge_counts
+from veritab.functions.scalars import literal_array, named, numeric_of, seeded_hash
 from veritab.operators.sides import SIDE, melt
 from veritab.session import freeze
 
 ROWS_PER_TASK = 2_000_000
 HOT_SHARE = 1000
 BROADCAST_STRATA = 100_000
-BUILTIN_QUANTILE_CELLS = 200_000
-SPREAD_CELLS = 50_000_000
 
 
 def running_totals(
@@ -115,14 +114,26 @@ def top_values(counts: DataFrame, group: list[str], k: int, count: str = "n", va
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def exact_quantiles(
-    df: DataFrame, cells: dict[str, Column], pieces: int, builtin_cells: int = BUILTIN_QUANTILE_CELLS
-) -> dict[str, list[float]]:
-    """pieces+1 evenly spaced quantiles per column with linear interpolation, exact at any size.
+def _brackets(marks: list[float], shares: int) -> tuple[list[float], list[float]]:
+    """Disjoint closed intervals from the lower and upper marks of all shares, in order."""
+    lows, highs = [], []
+    for low, high in sorted(zip(marks[:shares], marks[shares:])):
+        if highs and low <= highs[-1]:
+            highs[-1] = max(high, highs[-1])
+        else:
+            lows.append(low)
+            highs.append(high)
+    return lows, highs
 
-    Up to `builtin_cells` values the built-in `percentile` serves.  Beyond, a value
-    table with prefix sums is searched for the ranks needed, so that no task holds
-    all distinct values of a column in memory.  Only (pieces+1) numbers per column reach the driver.
+
+def exact_quantiles(df: DataFrame, cells: dict[str, Column], pieces: int, accuracy: int = 10_000) -> dict[str, list[float]]:
+    """pieces+1 evenly spaced quantiles per column with linear interpolation, exact, one way at any size.
+
+    A mergeable sketch brackets every wanted rank; its rank error is at most 1/accuracy, and
+    the brackets are wider than that.  The second scan counts the values between the
+    brackets and keeps the values inside them, some 2 * (pieces + 1) * 4 / accuracy of the
+    rows, as (value, count).  Ranks inside a bracket then give the exact values.  Nothing
+    else is shuffled, and (pieces+1) numbers per column reach the driver.
     """
     if not cells:
         return {}
@@ -131,24 +142,39 @@ def exact_quantiles(
     narrow = df.select(*[cell.cast("double").alias(k) for k, cell in aliased.items()])
     sizes = narrow.agg(*[F.count(k).alias(k) for k in aliased]).first().asDict()
     shares = [i / pieces for i in range(pieces + 1)]
-    if sum(sizes.values()) <= builtin_cells:
-        row = narrow.agg(*[F.percentile(k, F.array(*[F.lit(s) for s in shares])).alias(k) for k in aliased]).first()
-        return {names[k]: list(row[k]) if row[k] is not None else [] for k in aliased}
 
-    if sum(sizes.values()) <= SPREAD_CELLS:  # few input files: a cheap exchange puts all cores to work
-        narrow = narrow.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    def marks(k: str) -> Column:
+        slack = 2 / accuracy + 3 / max(1, sizes[k])
+        wanted = [max(0.0, s - slack) for s in shares] + [min(1.0, s + slack) for s in shares]
+        return F.percentile_approx(k, F.array(*[F.lit(s) for s in wanted]), accuracy)
+
+    row = narrow.agg(*[marks(k).alias(k) for k in aliased]).first()
+    brackets = {k: _brackets(list(row[k]), len(shares)) for k in aliased if sizes[k]}
+    if not brackets:
+        return {names[k]: [] for k in aliased}
+    counted = with_edge_counts(narrow, {f"at_{k}": (F.col(k), lows, True) for k, (lows, _) in brackets.items()})
+
+    def place(k: str) -> Column:
+        """Bracket number 2j, or 2j + 1 for the gap after it; only values in a bracket are kept."""
+        j, x = F.col(f"at_{k}") - 1, F.col(k)
+        inside = (j >= 0) & (x <= F.get(literal_array(brackets[k][1]), F.greatest(j, F.lit(0))))
+        return F.struct(F.lit(k).alias("column"), (2 * j + F.when(inside, 0).otherwise(1)).cast("int").alias("place"), F.when(inside, x).alias("value"), x.isNotNull().alias("known"))
+
     counts = (
-        melt(narrow, {k: F.col(k) for k in aliased}, [])
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value").agg(F.count("*").alias("n"))
+        counted.select(F.explode(F.array(*[place(k) for k in brackets])).alias("m")).where("m.known")
+        .groupBy("m.column", "m.place", "m.value").agg(F.count("*").alias("n"))
     )
     counts = counts.persist()
-    table = running_totals(counts, ["column"], ["value"], ["n"], at_most=sum(sizes.values()))
+    ends: dict[str, int] = {k: 0 for k in brackets}
+    before = []
+    for found in counts.groupBy("column", "place").agg(F.sum("n").alias("n")).orderBy("column", "place").collect():  # a few rows for each share
+        before.append((found["column"], found["place"], ends[found["column"]]))
+        ends[found["column"]] += found["n"]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "column string, place int, before long"))  # as many rows
+    inside = W.partitionBy("column", "place").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    table = counts.where(F.col("value").isNotNull()).join(offsets, ["column", "place"]).withColumn("stop", F.col("before") + F.sum("n").over(inside))
     size = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(n))]), F.col("column"))
-    table = table.select(
-        "column", "value", (F.col("running_n") - F.col("n")).alias("start"), F.col("running_n").alias("stop"),
-        F.greatest(size - 1, F.lit(1)).cast("long").alias("span"),
-    )
+    table = table.select("column", "value", (F.col("stop") - F.col("n")).alias("start"), "stop", F.greatest(size - 1, F.lit(1)).cast("long").alias("span"))
 
     # the i whose rank floor(i*span/pieces)+shift falls among this value's ranks: low..high
     for shift in (0, 1):
