@@ -34,7 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from veritab.llm.common import map_batches, texts
+from veritab.llm.common import kept, map_batches, texts
 
 #: Unicode white space, as the word pattern means it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -43,7 +43,7 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
     r"\s", f"[{SPACE}]"
 ).replace(r"\S", f"[^{SPACE}]")
 #: Remembered pieces of a worker; only the speed depends on it.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 SHORT = 64
 #: Characters handled at a time; a text is cut at the first safe boundary after them.
 SLICE = 1 << 18
@@ -271,13 +271,9 @@ class Decoder:
         return self.machine.decode(b"", final=True)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder for each worker process."""
+    return kept("bpe", path, lambda: Encoder(path))
 
 
 def decode_parts(bytes_of: list[bytes], parts: Iterable[bytes]) -> str:
@@ -294,7 +290,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), work, f"`{id_col}` {kind}, ids binary")
+    return map_batches(docs.select(id_col, text_col), work, f"`{id_col}` {kind}, ids binary", keeps="bpe")
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -307,7 +303,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=[id_col, "text"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
-    return map_batches(tokens.select(id_col, ids_col), work, f"`{id_col}` {kind}, text string")
+    return map_batches(tokens.select(id_col, ids_col), work, f"`{id_col}` {kind}, text string", keeps="bpe")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,4 +319,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), work, f"`{id_col}` {kind}, ids binary, decoded string")
+    return map_batches(docs.select(id_col, text_col), work, f"`{id_col}` {kind}, ids binary, decoded string", keeps="bpe")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def ready(spark: SparkSession) -> None:
@@ -26,11 +27,32 @@ def ready(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}" if known else root
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`mapInArrow` with a function of one batch."""
+_KEPT: dict[str, tuple[object, object]] = {}
+
+
+def kept(kind: str, key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task; of one kind at a time, as workers serve all operators of a job."""
+    if kind not in _KEPT or _KEPT[kind][0] != key:
+        _KEPT.clear()
+        _KEPT[kind] = (key, make())
+    return _KEPT[kind][1]
+
+
+def release(kind: str | None = None) -> None:
+    """Forget what operators of other kinds have left in this worker process."""
+    others = [k for k in _KEPT if k != kind]
+    for other in others:
+        del _KEPT[other]
+    if others:
+        gc.collect()
+
+
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, keeps: str | None = None) -> DataFrame:
+    """`mapInArrow` with a function of one batch; `keeps` is the kind of what it keeps in the worker."""
     ready(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keeps)
         for batch in batches:
             if batch.num_rows:
                 yield from work(batch)

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.common import map_batches, ready, utf8, words_of
+from veritab.llm.common import map_batches, ready, release, utf8, words_of
 
 SHARD_WORDS = 1 << 20
 SLICE_BYTES = 1 << 20
@@ -365,6 +365,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_c
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data = utf8(batch.column(at))
             kept = batch.column(at).to_pylist()

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veritab.llm.common import map_batches, ready, texts
+from veritab.llm.common import map_batches, ready, release, texts
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -335,6 +335,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
+        release()
         for batch in batches:
             data = batch.column(at).to_pylist()
             columns = list(batch.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritab.llm.common import ready, utf8
+from veritab.llm.common import ready, release, utf8
 from veritab.llm.tokencounts import encoder
 
 SEGMENT = 1 << 21
@@ -157,6 +157,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release("pieces")
         shard = TaskContext.get().partitionId()
         segment, first, order, held = 0, 0, 0, 0
         parts: list[bytes] = []
@@ -222,6 +223,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             id_type = batch.schema.field("doc_ids").type.value_type
             for row in batch.to_pylist():

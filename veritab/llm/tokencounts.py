@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from veritab.llm.common import by_bytes, map_batches, utf8
+from veritab.llm.common import by_bytes, kept, map_batches, utf8
 
 #: Remembered pieces of a worker; only the speed depends on it.
 REMEMBERED = 600_000
@@ -107,14 +107,9 @@ class PieceEncoder:
             self.known.update((p, v) for p, v in learnt.items() if len(p) <= SHORT)
 
 
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
-
-
 def encoder(path: str, kind: str, keep, join) -> PieceEncoder:
     """One encoder for each worker process and use."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = PieceEncoder(path, keep, join)
-    return _ENCODERS[path, kind]
+    return kept("pieces", (path, kind), lambda: PieceEncoder(path, keep, join))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,4 +126,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
             names=[id_col, "n_bytes", "n_tokens", "over_limit"],
         )
 
-    return map_batches(docs.select(id_col, text_col), work, schema)
+    return map_batches(docs.select(id_col, text_col), work, schema, keeps="pieces")

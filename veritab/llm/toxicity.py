@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.common import map_batches, ready, utf8
+from veritab.llm.common import kept, map_batches, ready, release, utf8
 
 WINDOW, STRIDE = 64, 32
 HIDDEN, ATTENTION, LEARNED = 8, 8, 4
@@ -44,7 +44,7 @@ BUCKETS = 1 << 20
 VECTORS = 1 << 14
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Remembered words of a worker; only the speed depends on it.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -380,16 +380,13 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int, lo
     return [((text or "").encode("utf-8"), int(label)) for text, label in dict.fromkeys(map(tuple, found))]
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _scorer(model: Broadcast) -> Scorer:
     """One scorer for each worker and model."""
-    key = id(model.value)
-    if key not in _SCORERS or _SCORERS[key].model is not model.value:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model.value)
-    return _SCORERS[key]
+    scorer = kept("toxicity", id(model.value), lambda: Scorer(model.value))
+    if scorer.model is not model.value:  # another model at the place of an old one
+        release()
+        scorer = kept("toxicity", id(model.value), lambda: Scorer(model.value))
+    return scorer
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = 2000, longest: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | float:
@@ -414,7 +411,7 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), work, f"`{id_col}` {kind}, score double, predicted int")
+    return map_batches(docs.select(id_col, text_col), work, f"`{id_col}` {kind}, score double, predicted int", keeps="toxicity")
 
 
 def keep_clean(docs: DataFrame, model: Model | float, text_col: str = "text") -> DataFrame:
@@ -424,6 +421,7 @@ def keep_clean(docs: DataFrame, model: Model | float, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("toxicity")
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(_score(shared, utf8(batch.column(at))) < 0.5))
