@@ -32,7 +32,7 @@ from veritab.llm.common import map_batches, ready, release, utf8, words_of
 
 SHARD_WORDS = 1 << 20
 SLICE_BYTES = 1 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 #: Every this many positions, the row of a suffix remembers where it is.
 SAMPLE = 16
 
