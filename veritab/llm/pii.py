@@ -3,7 +3,7 @@
 Base spans come from the text as it is: emails, addresses of machines, card numbers
 and telephone numbers by fixed patterns, leftmost and non-overlapping per kind.
 
-Disguised ones come from a chain of transducers.  The first works on characters:
+Disguised ones come from a chain of transducers that every text passes.  The first works on characters:
 look-alike letters, digits of other scripts and full-width forms become ASCII, and
 invisible characters vanish.  The others work on words: bracketed or spelled at and
 dot signs, spelled digits, and letters that stand for digits inside numbers.  Every
@@ -156,25 +156,6 @@ _ADDRESS = re.compile(
     re.I,
 )
 _ADDRESS_PARTS = re.compile(rf"[ \t]+(?:({_AT})|({_DOT}))[ \t]+|[ \t]*@[ \t]*|[ \t]\.[ \t]|[A-Za-z0-9_%+-]+|\.", re.I)
-_OPEN = re.compile(r"[\[({<]\s{0,2}(?:at|dot|a|arroba|chez|period|point|punkt|punto|@|\.)\s{0,2}[\])}>]")
-_AT_SITE = re.compile(r" at {1,2}[a-z0-9-]+\.[a-z0-9]|\t(?:at|dot)[ \t]")
-_BETWEEN_DIGITS = re.compile(r"[0-9][ .-]?[OolI]+[ .-]?[0-9]")
-_HINTS = (
-    " dot ", " period ", " point ", " punkt ", " punto ", " arroba ", " chez ", " @", "@ ", "_at_", "_dot_", "-at-", "-dot-", "plus ", "plus-",
-)
-
-
-def disguised(text: str) -> bool:
-    """Whether a transducer could change the text; a few passes of plain searches."""
-    low = text.lower()
-    return (
-        any(hint in low for hint in _HINTS)
-        or not DIGITS.keys().isdisjoint(low.replace("-", " ").replace(",", " ").replace("/", " ").split())
-        or _OPEN.search(low) is not None
-        or _AT_SITE.search(low) is not None
-        or _BETWEEN_DIGITS.search(text) is not None
-        or _odd(text)
-    )
 
 
 class Mapped:
@@ -271,8 +252,6 @@ def _address(match: re.Match) -> list[tuple[str, int, int]] | None:
 
 def normalise(text: str) -> Mapped | None:
     """The undisguised text with its source spans; None when there is no disguise."""
-    if not disguised(text):
-        return None
     mapped = Mapped(text)
     mapped.characters()
     mapped.rewrite(_BRACKETED, _sign)
