@@ -1,18 +1,16 @@
-"""Queries of the ten operators over the whole driver tables, and their SQL where it exists."""
+"""Queries of the thirteen operators over the whole driver tables, and their SQL where it exists."""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm.common import ready
 from veritab.session import scratch_folder
 
-TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -34,7 +32,7 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def vocabulary(name: str) -> str:
     """The file of a public tokenizer; the same path on every machine."""
-    return os.path.join(TOKENIZERS, name)
+    return public_tokenizers.path(name)
 
 
 @query("op9_token_counts")
@@ -153,6 +151,40 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(load(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query(
+    "op11_filter_audit",
+    """WITH d AS (SELECT coalesce(d.lang, '') AS part, d.doc_id, coalesce(d.text, '') AS text,
+ regexp_extract_all(coalesce(d.text, ''), '[^\\x20\\x09-\\x0D]+') AS words, g.good, g.toxic
+ FROM documents d LEFT JOIN (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id) g USING (doc_id)),
+ m AS (SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+ 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+ doc_id > min(doc_id) OVER (PARTITION BY text)] AS f FROM d),
+ i AS (SELECT unnest(range(1, 6)) AS i),
+ o AS (SELECT [a.i, b.i, c.i, e.i, g.i] AS o FROM i a, i b, i c, i e, i g WHERE a.i NOT IN (b.i, c.i, e.i, g.i) AND b.i NOT IN (c.i, e.i, g.i) AND c.i NOT IN (e.i, g.i) AND e.i <> g.i),
+ s AS (SELECT o, array_to_string([substr('ABCDE', x::BIGINT, 1) for x in o], '') AS filter_order, step, o[step] AS own FROM o, (SELECT unnest(range(1, 6)) AS step)),
+ c AS (SELECT part, f, count(*) AS n, sum(good::INT) AS good, sum(toxic::INT) AS toxic FROM m GROUP BY ALL),
+ t AS (SELECT *, list_bool_or([f[x] for x in o[1:step - 1]]) IS TRUE AS earlier, f[own] AS failing, len([x for x in f if x]) = 1 AS single FROM s, c),
+ r AS (SELECT part, filter_order, step, own, sum(n * (NOT earlier AND NOT failing)::INT)::BIGINT AS kept, sum(n * (NOT earlier AND failing)::INT)::BIGINT AS removed,
+ sum(n * (earlier AND failing)::INT)::BIGINT AS redundant, sum(n * (failing AND single)::INT)::BIGINT AS unique_fails,
+ sum(good * (NOT earlier AND failing)::INT)::BIGINT AS good_lost, sum(toxic * (NOT earlier AND failing)::INT)::BIGINT AS toxic_lost FROM t GROUP BY ALL)
+ SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+ (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Five filters in all orders over all documents, by language."""
+    from veritab.llm.filteraudit import audit
+
+    return audit(load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
+@query("op13_chebyshev_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors whitened over up to 32 components."""
+    from veritab.llm.whitening import whiten
+
+    return whiten(load(spark, folder, "embeddings"))
+
+
 def damaged(stored: DataFrame) -> DataFrame:
     """A replica with faults: some records lost, some cut short, some with another byte."""
     rest = stored.where(F.coalesce(F.col("id") % 101 != 7, F.lit(True)))
