@@ -177,6 +177,14 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return audit(load(spark, folder, "documents"), load(spark, folder, "labels"))
 
 
+@query("op12_ngram_join")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all documents by the Jaccard similarity of their five-word shingles."""
+    from veritab.llm.jaccardjoin import similarity_components
+
+    return similarity_components(load(spark, folder, "documents"))
+
+
 @query("op13_chebyshev_whitening")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     """All vectors whitened over up to 32 components."""
