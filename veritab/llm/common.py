@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from veritab.session import scratch_folder
+
 BATCH_BYTES = "4m"
 
 
@@ -27,6 +29,17 @@ def ready(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}" if known else root
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as a table in the shared folder and read back.
+
+    Unlike a checkpoint, the table carries no constraints of the plan that made it; in a
+    loop of joins those multiply, and planning takes longer each round.
+    """
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 _KEPT: dict[str, tuple[object, object]] = {}
 
 

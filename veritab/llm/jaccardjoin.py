@@ -203,7 +203,9 @@ def prefixes(nodes: DataFrame, near: tuple[int, int], most: int = MOST, verify:
     def cost(need: int) -> Column:
         taken = F.greatest(F.lit(0).cast("long"), F.least(length(F.lit(need), near) - own, F.size("tokens").cast("long"))).cast("int")
         met = F.aggregate(F.slice("tokens", 1, taken), F.lit(0.0), lambda total, t: total + t["df"])
-        return F.struct((met * (1 + verify / need)).alias("cost"), F.lit(need).alias("need"))
+        # no pair can be asked to share more shingles than the threshold makes it share
+        asked = F.when(_least(F.col("n"), near) >= need, met * (1 + verify / need)).otherwise(float("inf"))
+        return F.struct(asked.alias("cost"), F.lit(need).alias("need"))
 
     chosen = nodes.select("node", "n", own.alias("own"), "tokens", F.array_min(F.array(*[cost(need) for need in range(1, most + 1)]))["need"].alias("need"))
     places = chosen.select("*", F.posexplode("tokens").alias("at", "t")).withColumn("place", F.col("own") + F.col("at"))
