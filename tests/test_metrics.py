@@ -88,7 +88,7 @@ def test_positional_pairs_across_chunks(spark):
     rng = np.random.default_rng(1)
     real, fake = rng.integers(0, 9, 200), rng.integers(0, 200, 200)
     pair = pair_of(spark, [(float(v),) for v in real], [(float(v),) for v in fake], "x double")
-    parts = ranks.positional_pairs(pair, ["x"], lambda c: F.col(c), "double", rows_per_chunk=17)
+    parts = ranks.positional_pairs(pair, ["x"], lambda c: F.col(c), "double")
     got = {}
     for r in parts.collect():
         got[r["real"], r["fake"]] = got.get((r["real"], r["fake"]), 0) + r["n"]

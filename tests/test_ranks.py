@@ -68,3 +68,32 @@ def test_closure_at_edges(spark):
     assert got == {0.0: 0, 1.0: 0, 2.0: 1, 3.0: 1, 4.0: 2, -1.0: -1, 5.0: -1, None: -1}
     cut = {r["x"]: r["c"] for r in df.select("x", right_closed_bin(F.col("x"), 0.0, 4.0, 5).alias("c")).collect()}
     assert cut == {0.0: 0, 1.0: 0, 2.0: 1, 3.0: 2, 4.0: 3, -1.0: None, 5.0: None, None: None}
+
+
+def test_carried_over_borders(spark):
+    """The last known value per group, where groups and runs without a value span several parts."""
+    rows = [(g, i, f"{g}{i}" if i % 97 == 3 else None) for g in "ab" for i in range(400)]
+    found = ranks.carried(spark.createDataFrame(rows, "g string, i int, v string").repartition(7), ["g"], ["i"], ["v"]).collect()
+    last = {}
+    expected = {(g, i): last.setdefault(g, v) if v is None and g in last else last.update({g: v}) or v for g, i, v in sorted(rows, key=lambda r: r[:2])}
+    assert {(r.g, r.i): r.v for r in found} == expected and len(found) == 800
+
+
+def test_hot_value_pairs_and_draws(spark):
+    """One value with nine tenths of the rows, on one side only: weights, and parts that stay even."""
+    from veritab.operators import synth
+    from veritab.operators.sides import tag_sides
+
+    real = spark.range(5000).select(F.when(F.col("id") < 4500, 7.0).otherwise(F.col("id").cast("double")).alias("x"))
+    fake = spark.range(5000).select((F.col("id") % 11).cast("double").alias("x"))
+    pairs = ranks.positional_pairs(tag_sides(real, fake), ["x"], lambda c: F.col(c), "double").collect()
+    left, right = sorted(r.x for r in real.collect()), sorted(r.x for r in fake.collect())
+    expected = {}
+    for key in zip(left, right):
+        expected[key] = expected.get(key, 0) + 1
+    assert {(r.real, r.fake): r.n for r in pairs} == expected
+    ids = spark.range(3000)
+    drawn = synth.empirical_sample(real, "x", ids, ["id"], seed=3)
+    u = {r.id: r.u for r in ids.select("id", synth.seeded_uniform(3, F.col("id")).alias("u")).collect()}
+    assert {r.id: r.value for r in drawn.collect()} == {i: left[int(x * 5000)] for i, x in u.items()}
+    assert synth.empirical_sample(real.limit(0), "x", ids, ["id"]).count() == 0

@@ -309,14 +309,34 @@ def equalize(pair: DataFrame, keys: list[str], seed: int = 1000) -> DataFrame:
     ).drop("__keep")
 
 
-def positional_pairs(pair: DataFrame, columns: list[str], value_of: Callable[[str], Column], type_name: str,
-                     rows_per_chunk: int = 100_000) -> DataFrame:
+def carried(events: DataFrame, group: list[str], order: list[str], take: list[str]) -> DataFrame:
+    """Fill every column of `take` with its last non-NULL value at or before the row, in order within the group.
+
+    The rows are range-partitioned by group and order, so that neither a group nor a run
+    of equal positions has to fit a task as long as `order` ends with a column that tells
+    them apart.  Each part fills its own rows; what a part inherits is one row a part.
+    """
+    ranged = freeze(events.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()))
+    inside = W.partitionBy(*group, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    ends = ranged.groupBy(*group, "__part").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"__end_{c}") for c in take]
+    )
+    inherited = ends.select(*group, "__part", *[F.last(f"__end_{c}", ignorenulls=True).over(before).alias(f"__start_{c}") for c in take])
+    local = ranged.select("*", *[F.last(c, ignorenulls=True).over(inside).alias(f"__local_{c}") for c in take])
+    joined = local.join(inherited, [*group, "__part"])
+    return joined.select(*[
+        F.coalesce(f"__local_{c}", f"__start_{c}").alias(c) if c in take else F.col(c) for c in events.columns
+    ])
+
+
+def positional_pairs(pair: DataFrame, columns: list[str], value_of: Callable[[str], Column], type_name: str) -> DataFrame:
     """I-th smallest real value next to the i-th smallest fake value, as weighted pairs.
 
-    Each distinct value covers an interval of ranks.  Intervals are cut at chunk
-    borders, the borders of both sides are merged inside a chunk, and each
-    resulting segment (column, real, fake, n) stands for n row pairs.
-    Both sides must be equally large.
+    Each distinct value covers an interval of ranks.  The interval starts of both sides
+    are merged, the interval that is open on each side is carried on, and a segment
+    (column, real, fake, n) up to the nearer end stands for n row pairs, however many.
+    Ranks that only one side has pair with nothing.
     """
     counts = (
         melt(pair, {c: value_of(c).cast(type_name) for c in columns}, [F.col(SIDE)])
@@ -325,27 +345,13 @@ def positional_pairs(pair: DataFrame, columns: list[str], value_of: Callable[[st
     )
     bound = pair.count() * len(columns)
     spans = running_totals(counts, ["column", SIDE], ["value"], ["n"], at_most=bound).select(
-        "column", SIDE, "value", (F.col("running_n") - F.col("n")).alias("start"), F.col("running_n").alias("stop")
-    )
-    chunk = F.lit(rows_per_chunk).cast("long")
-    pieces = spans.select(
-        "*", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("stop") - 1) / chunk))).alias("chunk")
-    ).select(
-        "column", SIDE, "value", "chunk",
-        F.greatest("start", F.col("chunk") * chunk).alias("start"),
-        F.least("stop", (F.col("chunk") + 1) * chunk).alias("stop"),
-    )
-    borders = pieces.groupBy("column", "chunk", "start").agg(
-        F.max(F.when(F.col(SIDE) == "real", F.col("value"))).alias("real"),
-        F.max(F.when(F.col(SIDE) == "fake", F.col("value"))).alias("fake"),
-        F.max("stop").alias("stop"),
+        "column", SIDE, (F.col("running_n") - F.col("n")).alias("start"), F.struct("value", F.col("running_n").alias("stop")).alias("span")
     )
-    order = W.partitionBy("column", "chunk").orderBy("start")
-    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    tail = W.partitionBy("column", "chunk")
-    return borders.select(
-        "column",
-        F.last("real", ignorenulls=True).over(upto).alias("real"),
-        F.last("fake", ignorenulls=True).over(upto).alias("fake"),
-        (F.coalesce(F.lead("start").over(order), F.max("stop").over(tail)) - F.col("start")).alias("n"),
-    ).filter(F.col("real").isNotNull() & F.col("fake").isNotNull())
+    borders = spans.groupBy("column", "start").agg(*[
+        F.max(F.when(F.col(SIDE) == side, F.col("span"))).alias(side) for side in ("real", "fake")
+    ])
+    open_spans = carried(borders, ["column"], ["start"], ["real", "fake"])
+    return open_spans.select(
+        "column", F.col("real.value").alias("real"), F.col("fake.value").alias("fake"),
+        (F.least("real.stop", "fake.stop") - F.col("start")).alias("n"),
+    ).filter(F.col("real").isNotNull() & F.col("fake").isNotNull() & (F.col("n") > 0))

@@ -16,7 +16,7 @@ from veritab.functions.scalars import (
 )
 from veritab.operators.encode import IGNORE, bounds_of, decode_category, decode_numeric, encode_labels
 from veritab.operators.profile import UNKNOWN, ColumnProfile, SchemaMetadata, TableProfile
-from veritab.operators.ranks import cut_by_hash, exact_quantiles, percent_rank01, running_totals
+from veritab.operators.ranks import carried, cut_by_hash, exact_quantiles, percent_rank01, running_totals
 from veritab.operators.sides import text_of
 from veritab.session import freeze
 
@@ -189,6 +189,11 @@ def with_category(df: DataFrame, column: str, code: str, metadata: SchemaMetadat
 
 
 # -------------------------------------------------------------- value draws K4-K5
+def edges_passed(edges: Column, value: Column) -> Column:
+    """How many of the edges are at most the value, which is computed once and not for every edge."""
+    return F.get(F.transform(F.array(value), lambda v: F.size(F.filter(edges, lambda e: e <= v))), F.lit(0))
+
+
 def weighted_category(info: ColumnProfile, seed: int, keys: list[Column], weights: dict[str, float] | None = None) -> Column:
     """K4: a category drawn with its stored or the given weights, tied to the keys."""
     words = list(weights) if weights is not None else info.vocabulary
@@ -197,28 +202,43 @@ def weighted_category(info: ColumnProfile, seed: int, keys: list[Column], weight
     for share in shares[:-1]:
         running += share / total
         edges.append(running)
-    u = seeded_uniform(seed, *keys)
-    place = F.size(F.filter(literal_array(edges), lambda e: e <= u)) if edges else F.lit(0)
+    place = edges_passed(literal_array(edges), seeded_uniform(seed, *keys)) if edges else F.lit(0)
     return F.get(literal_array(words, "string"), place)
 
 
-def empirical_sample(df: DataFrame, column: str, ids: DataFrame, keys: list[str], seed: int = 0, output: str = "value", chunk: int = 64) -> DataFrame:
+def draw_by_share(draws: DataFrame, spans: DataFrame, group: list[str], output: str) -> DataFrame:
+    """The value of the interval that holds each row's `__u`, NULL for a group without intervals.
+
+    `spans` has (group, `__from`, value) with the start of every interval in [0, 1).
+    Draws and interval starts are merged in one order; the last start is carried on, so
+    an interval may hold any number of draws and a group any number of intervals.
+    """
+    keep = [c for c in draws.columns if c != "__u"]
+    kind = spans.schema["value"].dataType
+    row = F.struct(*[named(c) for c in keep])
+    events = spans.select(
+        *group, F.col("__from").alias("__at"), F.lit(0).cast("long").alias("__tie"), F.struct("value").alias("__span"), F.lit(None).cast(draws.select(row).schema[0].dataType).alias("__row")
+    ).unionByName(draws.select(
+        # never 0, so that the interval that starts at a draw comes before it
+        *group, F.col("__u").alias("__at"), (F.xxhash64(*[named(c) for c in keep]).bitwiseOR(F.lit(1)).bitwiseAND(F.lit(2**63 - 1))).alias("__tie"), F.lit(None).cast(f"struct<value:{kind.simpleString()}>").alias("__span"), row.alias("__row")
+    ))
+    filled = carried(events, group, ["__at", "__tie"], ["__span"]).filter(F.col("__row").isNotNull())
+    return filled.select("__row.*", F.col("__span.value").alias(output))
+
+
+def empirical_sample(df: DataFrame, column: str, ids: DataFrame, keys: list[str], seed: int = 0, output: str = "value") -> DataFrame:
     """K5: for every row of `ids` an observed number, drawn with its frequency.
 
-    A drawn rank is looked up in the rank intervals of the distinct values; both sides
-    meet on short rank chunks, so a row sees at most `chunk` intervals and every join
-    key has about equally many rows.
+    A drawn rank is looked up in the rank intervals of the distinct values by one merge
+    of both; without observed numbers there are no rows.
     """
     counts = df.select(numeric_of(df, column).alias("value")).filter(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    spans = running_totals(counts.withColumn("__all", F.lit(1)), ["__all"], ["value"], ["n"]).select(
-        F.col("value").alias(output), (F.col("running_n") - F.col("n")).alias("__start"), F.col("running_n").alias("__stop")
-    )
-    spans = spans.withColumn("__chunk", F.explode(F.sequence(F.floor(F.col("__start") / chunk), F.floor((F.col("__stop") - 1) / chunk))))
-    drawn = ids.withColumn("__rank", F.floor(seeded_uniform(seed, *[named(k) for k in keys]) * F.lit(total)).cast("bigint"))
-    drawn = drawn.withColumn("__chunk", F.floor(F.col("__rank") / chunk))
-    joined = drawn.join(spans, "__chunk").filter((F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__stop")))
-    return joined.select(*[named(c) for c in ids.columns], output)
+    one = F.lit(1).alias("__all")
+    spans = running_totals(counts.select("*", one), ["__all"], ["value"], ["n"]).select("__all", "value", (F.col("running_n") - F.col("n")).alias("__from"))
+    ranks = F.floor(seeded_uniform(seed, *[named(k) for k in keys]) * F.lit(total)).cast("bigint")
+    drawn = draw_by_share(ids.select("*", one, ranks.alias("__u")), spans, ["__all"], "__drawn").filter(F.col("__drawn").isNotNull())
+    return drawn.select(*[named(c) for c in ids.columns], F.col("__drawn").alias(output))
 
 
 # ------------------------------------------------------- fitted frequencies K6-K7
@@ -342,7 +362,7 @@ def draw_slot(df: DataFrame, model: SlotModel, index: int, column: str, seed: in
         table = conditional_table(df.sparkSession, model, column, temperature, "__shares")
         joined = df.join(F.broadcast(table), F.col(f"__s{names.index(parent)}") == F.col("__parent"), "left")
         shares = F.coalesce("__shares", base)
-    drawn = joined.withColumn(output, F.size(F.filter(shares, lambda e: e <= u)))
+    drawn = joined.withColumn(output, edges_passed(shares, u))
     return drawn.drop("__parent", "__shares")
 
 
