@@ -1,8 +1,8 @@
 """Operator 12: similarity join of shingle sets by adaptive multi-match prefixes.
 
-Texts with the same words are one node.  The shingles of all nodes are counted in one
+Texts with the same words are one node.  The shingles of all nodes meet in one
 shuffle; those of a single node can be in no intersection, so only the others travel on
-(a shingle that is frequent inside a batch is spread over salts before it is counted).
+(a shingle that is frequent inside a batch is spread over salts on the way).
 A node's shingles are ordered by rising document frequency.  If two sets meet the
 threshold, the first  n - ceil(required share of n) + l  shingles of each hold l common
 ones; the smaller set needs the share 2t / (1 + t), the larger the share t.  Every node
@@ -23,7 +23,8 @@ nothing; texts with fewer words than a shingle have one, of all words; upper and
 case of ASCII and kinds of blanks are equal; rows that repeat an id each give a row; rows
 with a NULL id take part in linking and never name a component, which is NULL if it holds
 no other id; other columns are ignored; an empty table gives an empty result.  Shingles
-are told apart by 64 bits, texts by 128.
+are told apart by 48 bits, texts by 128 (names of 64 bits, made again with another seed
+if two texts share one).
 """
 
 from __future__ import annotations
@@ -33,13 +34,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.common import map_batches, ready, release, utf8
+from veritab.llm.common import map_batches, ready, release, stored, utf8
 from veritab.llm.graph import components
 from veritab.llm.skew import heavy_keys, salted_join
-from veritab.session import freeze, scratch_folder
+from veritab.session import freeze
 
 WIDTH = 5
 #: Linked at this similarity or more, as a fraction.
@@ -48,6 +49,8 @@ NEAR = (4, 5)
 MOST, VERIFY = 4, 8
 #: A shingle that so many documents of a batch hold is spread over salts.
 FREQUENT, SALTS = 16, 256
+#: Two sets of 500 shingles share one by mistake with a probability of 1e-9.
+TOKEN_BITS = 48
 #: Words and texts that a worker remembers.
 KEPT = 200_000
 _COEFFICIENTS = np.random.default_rng(12).integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
@@ -71,7 +74,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(words: list[bytes], hashes: dict[bytes, int], width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct hashes of the shingles of a text, as signed numbers."""
+    """The sorted distinct hashes of the shingles of a text."""
     if not words:
         return np.zeros(0, np.int64)
     each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -79,35 +82,43 @@ def shingles(words: list[bytes], hashes: dict[bytes, int], width: int = WIDTH) -
     total = np.full(len(words) - size + 1, size, np.uint64)
     for i in range(size):
         total += each[i : len(words) - size + 1 + i] * _COEFFICIENTS[i]
-    return np.unique(_mixed(total).view(np.int64))
+    return np.unique(_mixed(total) >> np.uint64(64 - TOKEN_BITS)).view(np.int64)
 
 
-def _key(words: list[bytes]) -> tuple[int, int]:
-    a, b = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64).tolist()
-    return a, b
+def _name(words: list[bytes], seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words), seed) - (1 << 63)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, ka, kb, n) of every row: the name of its words and the number of its shingles."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
+    """(id, name, other, n) of every row: two names of its words and the number of its shingles."""
 
     def work(batch: pa.RecordBatch):
         hashes, rows = _Hashes(), []
         for text in utf8(batch.column(1)):
             words = text.lower().split()
-            rows.append((*_key(words), len(shingles(words, hashes, width))))
+            rows.append((_name(words, seed), _name(words, seed + (1 << 32)), len(shingles(words, hashes, width))))
         columns = [pa.array(x, pa.int64()) for x in (zip(*rows) if rows else ((), (), ()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "ka", "kb", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "name", "other", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col)), work, f"id {kind}, ka long, kb long, n long")
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col)), work, f"id {kind}, name long, other long, n long")
 
 
-def postings(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(token, salt, ka, kb, n) for every shingle of every text that this task has not met yet.
+def named_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, int]:
+    """(id, name, n) with the seed of the names, chosen so that no two texts share one."""
+    for seed in range(100):
+        rows = freeze(sketches(docs, id_col, text_col, width, seed))
+        if rows.groupBy("name").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low != high").isEmpty():
+            return rows.select("id", "name", "n"), seed
+    raise RuntimeError("texts share a name under every seed")
 
-    Salt 0 holds the shingles that are rare in their batch; the others carry a salt by
-    text and leave a row without a text at salt 0, so that their other rows there count
-    as frequent too.
+
+def postings(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
+    """(token, salt, name) for every shingle of every text that this task has not met yet.
+
+    Salt 0 holds the shingles that are rare in their batch.  The others carry a salt by
+    text, and leave a row without a name at salt 0, so that their other rows there count
+    as shared as well.
     """
     ready(docs.sparkSession)
 
@@ -115,58 +126,64 @@ def postings(docs: DataFrame, text_col: str, width: int) -> DataFrame:
         release()
         hashes, met = _Hashes(), set()
         for batch in batches:
-            keys, sets = [], []
+            names, sets = [], []
             for text in utf8(batch.column(0)):
                 words = text.lower().split()
-                key = _key(words)
-                if words and key not in met:
+                name = _name(words, seed)
+                if words and name not in met:
                     if len(met) >= KEPT:
                         met.clear()
-                    met.add(key)
-                    keys.append(key)
+                    met.add(name)
+                    names.append(name)
                     sets.append(shingles(words, hashes, width))
-            if not keys:
+            if not names:
                 continue
-            token, sizes = np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
-            named = np.repeat(np.array(keys, np.int64), sizes, axis=0)
-            each, counts = np.unique(token, return_counts=True)
-            frequent = each[counts >= FREQUENT]
-            salt = np.where(np.isin(token, frequent), named[:, 0] % SALTS + 1, 0)
-            mark = pa.nulls(len(frequent), pa.int64())
-
-            def column(values: np.ndarray, tail: pa.Array) -> pa.Array:
-                return pa.concat_arrays([pa.array(values, tail.type), tail])
-
+            token, named = np.concatenate(sets), np.repeat(np.array(names, np.int64), [len(s) for s in sets])
+            order = np.sort(token)
+            ends = order[FREQUENT - 1 :]
+            frequent = np.unique(ends[ends == order[: len(ends)]])
+            salt = np.where(np.isin(token, frequent), named % SALTS + 1, 0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    column(token, pa.array(frequent, pa.int64())), column(salt, pa.array(np.zeros(len(frequent), np.int32))),
-                    column(named[:, 0], mark), column(named[:, 1], mark), column(np.repeat(sizes, sizes), mark),
+                    pa.array(np.concatenate([token, frequent])), pa.array(np.concatenate([salt, np.zeros(len(frequent), np.int64)]).astype(np.int32)),
+                    pa.concat_arrays([pa.array(named), pa.nulls(len(frequent), pa.int64())]),
                 ],
-                names=["token", "salt", "ka", "kb", "n"],
+                names=["token", "salt", "name"],
             )
 
-    return docs.select(text_col).mapInArrow(run, "token long, salt int, ka long, kb long, n long")
+    return docs.select(text_col).mapInArrow(run, "token long, salt int, name long")
 
 
-def shared_tokens(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(token, ka, kb, n, df) of the shingles that more than one text has."""
-    rows = postings(docs, text_col, width).repartition("token", "salt")
-    group = Window.partitionBy("token", "salt")
-    before = group.orderBy("ka", "kb")
-    fresh = F.col("ka").isNotNull() & ~(F.col("ka").eqNullSafe(F.lag("ka").over(before)) & F.col("kb").eqNullSafe(F.lag("kb").over(before)))
-    counted = (
-        rows.select("*", fresh.alias("fresh"))
-        .select("*", F.sum(F.col("fresh").cast("int")).over(group).alias("df"), (F.max(F.col("ka").isNull()).over(group) | (F.col("salt") > 0)).alias("frequent"))
-        .where("fresh AND (df > 1 OR frequent)")
-    )
-    folder = scratch_folder(docs.sparkSession, "shingles")
-    counted.select("token", "ka", "kb", "n", "df", "frequent").write.parquet(folder)
-    found = docs.sparkSession.read.parquet(folder)
-    spread = freeze(found.where("frequent").select("token", "ka", "kb", "n").distinct())
-    counts = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    return found.where("NOT frequent").select("token", "ka", "kb", "n", "df").unionByName(
-        salted_join(spread, counts, ["token"]).select("token", "ka", "kb", "n", "df")
-    )
+def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, name) of the shingles of two texts or more, from rows sorted by token, salt and name, NULL names first.
+
+    Works on a stream: a row waits until the next one shows whether its shingle is shared.
+    """
+    release()
+    held = np.zeros((0, 4), np.int64)  # the last row so far, and whether it has left already
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        blank = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+        columns = (batch.column(0), batch.column(1), batch.column(2).fill_null(0))
+        more = np.stack([*(c.to_numpy().astype(np.int64) for c in columns), np.where(blank, 2, 0)], axis=1)
+        rows = np.concatenate([held, more])
+        # a row without a name differs from any other; equal rows are one
+        fresh = np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1) | (rows[:-1, 3] == 2)])
+        rows = rows[fresh]
+        same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
+        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (rows[:, 1] > 0)
+        out = rows[shared & (rows[:, 3] == 0)]
+        held = rows[-1:].copy()
+        if shared[-1] and held[0, 3] == 0:
+            held[0, 3] = 1
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 2])], names=["token", "name"])
+
+
+def shared_tokens(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
+    """(token, name) of the shingles that more than one text has; a frequent one may come twice."""
+    rows = postings(docs, text_col, width, seed).repartition("token", "salt").sortWithinPartitions("token", "salt", "name")
+    return stored(rows.mapInArrow(keep_shared, "token long, name long"), "shingles")
 
 
 def _least(n: Column, share: tuple[int, int]) -> Column:
@@ -174,17 +191,17 @@ def _least(n: Column, share: tuple[int, int]) -> Column:
     return F.ceil(n * share[0] / share[1])
 
 
-def eligible(tokens: DataFrame, near: tuple[int, int]) -> DataFrame:
-    """(ka, kb, n, tokens) of texts that share enough shingles with others to be linked, by rising frequency."""
-    sets = tokens.groupBy("ka", "kb").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+def eligible(rows: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """(name, n, tokens) of texts that share enough shingles with others to be linked, from (name, n, t)."""
+    sets = rows.groupBy("name", "n").agg(F.sort_array(F.collect_set("t")).alias("tokens"))
     return sets.where(near[1] * F.size("tokens") >= near[0] * F.col("n"))
 
 
 def recount(sets: DataFrame) -> DataFrame:
-    """(token, ka, kb, n, df) with the frequency among `sets` only, of shingles that still are shared."""
-    rows = freeze(sets.select("ka", "kb", "n", F.explode("tokens.token").alias("token")))
+    """(name, n, t) with `t` of frequency and shingle, among `sets` only, of shingles that still are shared."""
+    rows = stored(sets.select("name", "n", F.explode("tokens").alias("token")), "eligible")
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    return salted_join(rows, counts, ["token"]).select("token", "ka", "kb", "n", "df")
+    return salted_join(rows, counts, ["token"]).select("name", "n", F.struct("df", "token").alias("t"))
 
 
 def prefixes(nodes: DataFrame, near: tuple[int, int], most: int = MOST, verify: int = VERIFY) -> DataFrame:
@@ -268,9 +285,10 @@ def crossing_pairs(index: DataFrame, near: tuple[int, int]) -> DataFrame:
 
 def similarity_components(docs: DataFrame, near: tuple[int, int] = NEAR, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): the smallest id reachable through links, for every row."""
-    rows = freeze(sketches(docs, id_col, text_col, width))
-    kinds = rows.groupBy("ka", "kb").agg(F.min("id").alias("id"))
-    nodes = eligible(shared_tokens(docs, text_col, width), near)
+    rows, seed = named_rows(docs, id_col, text_col, width)
+    kinds = rows.groupBy("name", "n").agg(F.min("id").alias("id"))
+    tokens = shared_tokens(docs, text_col, width, seed).join(kinds.select("name", "n"), "name")
+    nodes = eligible(tokens.select("name", "n", F.col("token").alias("t")), near)
     # what is shared with texts that cannot be linked does not count
     sets = eligible(recount(nodes), near)
     nodes = freeze(sets.select(F.monotonically_increasing_id().alias("node"), "*"))
@@ -280,11 +298,11 @@ def similarity_components(docs: DataFrame, near: tuple[int, int] = NEAR, width:
     placed = freeze(index.join(tops, "node", "left").withColumn("top", F.coalesce("top", "node")))
     links = freeze(links.unionByName(verified(crossing_pairs(placed, near), nodes, near)))
     tops = components(links).select(F.col("v").alias("node"), "root")
-    named = nodes.select("node", "ka", "kb").join(tops, "node").join(kinds, ["ka", "kb"])
+    named = nodes.select("node", "name").join(tops, "node").join(kinds, "name")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    linked = named.join(least, "root").select("ka", "kb", "component_id")
-    found = kinds.join(linked, ["ka", "kb"], "left").select("ka", "kb", F.coalesce("component_id", "id").alias("component_id"))
-    joined = salted_join(rows, found, ["ka", "kb"], by=F.monotonically_increasing_id())
+    linked = named.join(least, "root").select("name", "component_id")
+    found = kinds.join(linked, "name", "left").select("name", F.coalesce("component_id", "id").alias("component_id"))
+    joined = salted_join(rows, found, ["name"], by=F.monotonically_increasing_id())
     return joined.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
