@@ -7,19 +7,17 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from itertools import combinations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
+    DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import RobustScaler, VectorAssembler
+from pyspark.ml.feature import RobustScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.scalars import named, numeric_of
+from veritab.operators import boosting
 from veritab.operators.clean import drop_infinite, drop_null_target
 from veritab.operators.features import fit_features, transform_features
 from veritab.operators.ranks import cut_by_hash, running_totals
@@ -94,7 +92,7 @@ def balanced(train: DataFrame) -> DataFrame:
 
 
 def estimator(model: str, task: str, classes: int, width: int, seed: int = 1000, rows: float = math.inf):
-    """L2/L3.  `xgb` is Spark's boosted trees; the perceptron regressor is boosted trees, too.
+    """L2/L3.  `xgb` is fitted by `boosting`; the perceptron regressor is Spark's boosted trees.
 
     The logistic model has an L2 penalty of 1 beside the summed loss of `rows` weighted rows.
     """
@@ -104,9 +102,6 @@ def estimator(model: str, task: str, classes: int, width: int, seed: int = 1000,
             return LogisticRegression(**common, weightCol=WEIGHT, maxIter=100, regParam=1.0 / rows, standardization=False)
         if model == "tree":
             return DecisionTreeClassifier(**common, weightCol=WEIGHT, maxDepth=15, seed=seed)
-        if model == "xgb":
-            boosted = GBTClassifier(**common, maxIter=20, maxDepth=5, stepSize=0.3, seed=seed)
-            return boosted if classes <= 2 else OneVsRest(classifier=boosted, featuresCol=FEATURES, labelCol=LABEL, parallelism=2)
         if model == "mlp":
             return MultilayerPerceptronClassifier(**common, layers=[width, 100, max(classes, 2)], maxIter=100, seed=seed)
         raise ValueError(f"unknown classifier {model!r}; choose from {CLASSIFIERS}")
@@ -119,6 +114,19 @@ def estimator(model: str, task: str, classes: int, width: int, seed: int = 1000,
     raise ValueError(f"unknown regressor {model!r}; choose from {REGRESSORS}")
 
 
+def _boosted(ready: Prepared, train: DataFrame) -> DataFrame:
+    """L2: boosted trees of 100 rounds and depth 6, without class weights."""
+    def features(table: DataFrame) -> tuple[DataFrame, list[Column]]:
+        return table.select(LABEL, vector_to_array(FEATURES).alias("__x")), [F.get("__x", F.lit(i)) for i in range(ready.width)]
+
+    classes = max(ready.classes, 2)
+    rows, columns = features(train)
+    model = boosting.fit(rows, boosting.cells(rows, columns, F.col(LABEL)), classes, boosting.Settings())
+    train.unpersist()
+    rows, columns = features(ready.test)
+    return boosting.predict(rows, columns, [LABEL], model, classes).withColumnRenamed(LABEL, "label")
+
+
 def fit_predict(ready: Prepared, model: str, seed: int = 1000) -> DataFrame:
     """L1: predictions for the real rows: (label, prediction, probability array or NULL).
 
@@ -133,6 +141,8 @@ def fit_predict(ready: Prepared, model: str, seed: int = 1000) -> DataFrame:
                 F.array(*[F.lit(1.0 if i == int(only) else 0.0) for i in range(max(ready.classes, 1))]).alias("probability"),
             )
         train = balanced(ready.train.filter(F.col(LABEL) >= 0)).persist()
+        if model == "xgb":
+            return _boosted(ready, train)
     else:
         train = ready.train.persist()
     rows = float(train.agg(F.sum(WEIGHT)).first()[0]) if model == "logistic" and ready.task == "classification" else math.inf
@@ -285,42 +295,28 @@ def with_folds(df: DataFrame, keys: list[str], label: str, folds: int, seed: int
 
 def grid_search(
     codes_syn: DataFrame, codes_test: DataFrame, features: list[str], label: str, keys: list[str], seed: int = 0,
-    grid: dict[str, list] | None = None, folds: int = 5, parallelism: int = 4,
+    grid: dict[str, list] | None = None, folds: int = 5, most_rows: int = boosting.MOST_ROWS,
 ) -> dict:
     """Boosted trees over encoded features, tuned by stratified cross-validation on the candidate rows.
 
-    Rows with a negative label leave both sides.  Fewer than two classes give NaN and a note.
+    All settings and folds are fitted side by side from the cells of `boosting`.  Two classes
+    are tuned by AUC, more by accuracy.  Rows with a negative label leave both sides.  Fewer
+    than two classes give NaN and a note.
     """
     train, test = (t.filter(F.col(label) >= 0) for t in (codes_syn, codes_test))
     classes = [row[0] for row in train.select(label).distinct().collect()]
     if len(classes) < 2:
         return {"acc": float("nan"), "auc": float("nan"), "note": "one class only"}
     size = int(max(classes)) + 1
-    assembler = VectorAssembler(inputCols=features, outputCol=FEATURES)
-
-    def shaped(table: DataFrame, *keep: str) -> DataFrame:
-        return assembler.transform(table).select(*keep, FEATURES, F.col(label).cast("double").alias(LABEL))
-
-    ready = shaped(with_folds(train, keys, label, folds, seed), "__fold").persist()
-    if size == 2:
-        model = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, seed=seed, maxBins=64)
-        evaluator = BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderROC")
-        search = grid or FULL_GRID
-    else:  # Spark's boosting is binary; a forest keeps one multiclass model
-        model = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, seed=seed, maxBins=64)
-        evaluator = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy")
-        search = {"numTrees": (grid or FULL_GRID)["maxIter"], "maxDepth": (grid or FULL_GRID)["maxDepth"]}
-    builder = ParamGridBuilder()
-    for name, values in search.items():
-        builder = builder.addGrid(model.getParam(name), values)
-    tuned = CrossValidator(
-        estimator=model, estimatorParamMaps=builder.build(), evaluator=evaluator, numFolds=folds, foldCol="__fold", parallelism=parallelism
-    ).fit(ready)
-    ready.unpersist()
-    best = tuned.bestModel
-    scored = best.transform(shaped(test)).select(
-        F.col(LABEL).alias("label"), "prediction", vector_to_array("probability").alias("probability")
-    ).persist()
+    names = [named(f) for f in features]
+    block = boosting.cells(with_folds(train, keys, label, folds, seed).select(*names, named(label), "__fold"), names, named(label), F.col("__fold"), most_rows)
+    search = grid or FULL_GRID
+    scores = freeze(boosting.cross_validate(train, block, size, search["maxIter"], search["maxDepth"], search["stepSize"], folds))
+    # the best mean over the folds; of equal ones the first in the order of the grid
+    ranked = scores.groupBy("rounds", "depth", "rate").agg(F.avg(F.when(~F.isnan("score"), F.col("score"))).alias("mean")).collect()
+    best = max(ranked, key=lambda r: (-math.inf if r["mean"] is None else round(r["mean"], 12), -r["rate"], -r["depth"], -r["rounds"]))
+    model = boosting.fit(train, block, size, boosting.Settings(best["rounds"], best["depth"], best["rate"]))
+    scored = boosting.predict(test.withColumn("label", named(label).cast("double")), names, ["label"], model, size).persist()
     accuracy = scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
     if size == 2:
         rows = scored.select(F.get("probability", F.lit(1)).alias("score"), F.col("label").cast("int").alias("positive"))
@@ -331,5 +327,5 @@ def grid_search(
     nan = float("nan")
     return {
         "acc": nan if accuracy is None else accuracy, "auc": nan if auc is None or auc["auc"] is None else auc["auc"],
-        "best_params": {name: best.getOrDefault(name) for name in search if best.hasParam(name)},
+        "best_params": {"maxIter": best["rounds"], "maxDepth": best["depth"], "stepSize": best["rate"]},
     }

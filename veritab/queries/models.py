@@ -107,7 +107,7 @@ def _(spark, folder):
 @query("l6_all_targets")
 def _(spark, folder):
     real, fake = _labelled(spark, folder)
-    return efficacy.all_targets_test(real.drop("source"), fake.drop("source"), ["tree"], ["linear"])
+    return efficacy.all_targets_test(real, fake, efficacy.CLASSIFIERS, efficacy.REGRESSORS)
 
 
 @query("l7_grid_search")
@@ -119,7 +119,7 @@ def _(spark, folder):
     known = keep_known_labels(codes, rows, "quality")
     odd = F.col("doc_id") % 2 == 1
     result = efficacy.grid_search(
-        known.filter(odd), known.filter(~odd), ["n_chars", "lang", "source"], "label_id", ["doc_id"], grid={"maxIter": [5], "maxDepth": [2, 3], "stepSize": [0.1]}, folds=3
+        known.filter(odd), known.filter(~odd), ["n_chars", "lang", "source"], "label_id", ["doc_id"]
     )
     return spark.createDataFrame([(float(result["acc"]), float(result["auc"]))], "acc double, auc double")
 
@@ -129,4 +129,4 @@ def _(spark, folder):
     lines = load(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", F.col("o_orderstatus").alias("target"), F.month("o_orderdate").alias("month"))
     third = F.col("o_orderkey") % 3
     fit, test, fake = (lines.filter(third == i) for i in range(3))
-    return evaluate(fit, test, fake, "target", "o_orderkey", ks=(1, 2, 3), grid={"maxIter": [5], "maxDepth": [3], "stepSize": [0.1]}, folds=2)
+    return evaluate(fit, test, fake, "target", "o_orderkey")

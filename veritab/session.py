@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -37,6 +38,14 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(key, DEFAULTS[key])
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of a local run import this package; on a cluster it travels with `--py-files`."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}" if known else root
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's `spark.checkpoint.dir`; a local session without one gets a scratch folder.
 
