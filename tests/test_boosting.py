@@ -91,11 +91,14 @@ def test_cells_count_all_rows(coded):
 
 
 def test_search_picks_the_best_setting(coded):
-    grid = {"maxIter": [1, 20], "maxDepth": [1, 4], "stepSize": [0.3]}
-    result = efficacy.grid_search(coded, coded, ["a", "b"], "y", ["id"], grid=grid)
-    assert result["acc"] == 1.0 and result["auc"] == 1.0 and result["best_params"]["maxIter"] == 20
-    binary = coded.withColumn("y", (F.col("y") > 0).cast("int"))
-    assert efficacy.grid_search(binary, binary, ["a"], "y", ["id"], grid=grid)["auc"] == 1.0
+    """Either-or of two features needs two levels; equal scores go to the smallest model."""
+    grid = {"maxIter": [1, 5], "maxDepth": [1, 4], "stepSize": [0.3]}
+    crossed = coded.withColumn("y", ((F.col("a") < 3) != (F.col("b") < 2)).cast("int"))
+    result = efficacy.grid_search(crossed, crossed, ["a", "b"], "y", ["id"], grid=grid)
+    assert (result["acc"], result["auc"], result["best_params"]) == (1.0, 1.0, {"maxIter": 1, "maxDepth": 4, "stepSize": 0.3})
+    three = crossed.withColumn("y", F.col("y") + 2 * (F.col("a") == 8).cast("int") - F.col("y") * (F.col("a") == 8).cast("int"))
+    result = efficacy.grid_search(three, three, ["a", "b"], "y", ["id"], grid=grid)
+    assert result["acc"] == 1.0 and result["best_params"]["maxDepth"] == 4
     assert np.isnan(efficacy.grid_search(coded.filter("y = 1"), coded, ["a"], "y", ["id"], grid=grid)["acc"])
 
 
