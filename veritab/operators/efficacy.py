@@ -11,12 +11,12 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier,
 )
 from pyspark.ml.feature import RobustScaler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.functions.scalars import named, numeric_of
+from veritab.functions.scalars import literal_array, named, numeric_of
 from veritab.operators import boosting
 from veritab.operators.clean import drop_infinite, drop_null_target
 from veritab.operators.features import fit_features, transform_features
@@ -76,9 +76,15 @@ def prepare(real: DataFrame, fake: DataFrame, target: str, types: ColumnTypes |
     width = sum(size for c, size, _ in space.layout() if c != target)
     if scale and not train.isEmpty():
         scaler = RobustScaler(inputCol=FEATURES, outputCol="__scaled", withCentering=True, withScaling=True).fit(train)
-        train, test = (
-            scaler.transform(t).select(F.col("__scaled").alias(FEATURES), LABEL) for t in (train, test)
-        )
+        middle, spread = (literal_array(v.toArray().tolist()) for v in (scaler.median, scaler.range))
+
+        def scaled(table: DataFrame) -> DataFrame:
+            # a feature whose quartiles are equal, as a rare category's, is centred only; Spark would make it constant
+            parts = F.arrays_zip(vector_to_array(FEATURES).alias("x"), middle.alias("m"), spread.alias("s"))
+            values = F.transform(parts, lambda p: (p["x"] - p["m"]) / F.when(p["s"] > 0, p["s"]).otherwise(1.0))
+            return table.select(array_to_vector(values).alias(FEATURES), LABEL)
+
+        train, test = scaled(train), scaled(test)
     classes = len(space.labels(target)) if task == "classification" else 0
     return Prepared(train, test, classes, width, task)
 
