@@ -105,3 +105,19 @@ def test_features(spark, table):
     assert features.value_id(space, "education", "Masters") == {"column_id": 2, "discrete_column_id": 0, "value_id": 2}
     with pytest.raises(ValueError):
         features.value_id(space, "education", "Alien")
+
+
+def test_values_beyond_the_head(spark):
+    """Every value of a wide column has an id and comes back; lower case is the second try."""
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "Hot").when(F.col("id") % 100 == 1, None).otherwise(F.concat(F.lit("V"), F.col("id") % 400)).alias("c"))
+    built = profile.build_profile(rows.select("c"))
+    info = built.of("c")
+    assert info.tail and len(info.vocabulary) == profile.HEAD + 1 and info.size == 1 + rows.na.fill("Missing").select("c").distinct().count()
+    coded = encode.encode_labels(rows, built, keep=["id"])
+    back = {r.id: r.c for r in encode.decode_labels(coded, built, keep=["id"]).collect()}
+    assert back == {r.id: r.c or "Missing" for r in rows.collect()}
+    other = spark.createDataFrame([(1, "hOT"), (2, "v7"), (3, "nothing"), (4, None)], "id long, c string")
+    found = {r.id: r.c for r in encode.decode_labels(encode.encode_labels(other, built, keep=["id"]), built, keep=["id"]).collect()}
+    assert found == {1: "Hot", 2: "V7", 3: "[UNK]", 4: "Missing"}
+    capped = profile.build_profile(rows.select("c"), top_k=2).of("c")
+    assert not capped.tail and len(capped.vocabulary) <= 4

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veritab.functions.binning import is_uniform_grid, with_edge_counts
 from veritab.functions.scalars import clip, literal_array, literal_map, lookup, named, numeric_of
-from veritab.operators.profile import MISSING, ColumnProfile, TableProfile, log_form
+from veritab.operators.profile import MISSING, UNKNOWN, ColumnProfile, TableProfile, log_form
+from veritab.operators.ranks import attach_by_value
 
 # Filler of unused label slots and the column type ids.
 IGNORE = -100
@@ -61,17 +62,39 @@ def category_id(text: Column, info: ColumnProfile) -> Column:
     return F.when(text.isNull(), F.lit(info.missing_id)).otherwise(found)
 
 
+def with_category_id(df: DataFrame, text: Column, profile: TableProfile, info: ColumnProfile, output: str) -> DataFrame:
+    """`category_id` over all values of a column that has more than the driver knows.
+
+    Frequent values are broadcast and the others joined; texts that have no value of
+    their spelling are looked up in lower case, of which the last value counts.
+    """
+    codes = profile.codes(info.name)
+    lowered = codes.groupBy(F.lower("value").alias("__low")).agg(F.max("id").alias("__low_id"), F.sum("n").alias("n"))
+    rows = df.withColumn("__text", F.coalesce(text, F.lit(MISSING)))
+    exact = attach_by_value(rows, codes.select("value", F.col("id").alias("__exact"), "n"), "__text", "n", profile.rows, ["__exact"])
+    known = exact.withColumn("__rest", F.when(F.col("__exact").isNull() & text.isNotNull(), F.lower("__text")))
+    # texts that are known need no second look: they travel under themselves, which meets nothing there
+    spread = known.withColumn("__rest_key", F.when(F.col("__rest").isNotNull(), F.concat(F.lit("l"), "__rest")).otherwise(F.concat(F.lit("x"), F.xxhash64(*df.columns).cast("string"))))
+    second = lowered.select(F.concat(F.lit("l"), "__low").alias("__low"), "__low_id", "n").withColumnRenamed("__low", "value")
+    found = attach_by_value(spread, second, "__rest_key", "n", profile.rows, ["__low_id"], "value")
+    return found.select(*[named(c) for c in df.columns], F.coalesce("__exact", "__low_id", F.lit(0)).alias(output))
+
+
 def encode_labels(df: DataFrame, profile: TableProfile, output: str = "labels", keep: list[str] | None = None) -> DataFrame:
     """One label struct per column, in column order, as an array.
 
     Works in several projections, so that a cell's bin is computed once and used for
     its residual as well.
     """
-    kept = [named(c) for c in (keep if keep is not None else df.columns)]
+    keep = list(keep if keep is not None else df.columns)
+    kept = [named(c) for c in keep]
     infos = list(profile.columns.values())
     first, second = [], []
     for i, info in enumerate(infos):
-        if info.kind == "categorical":
+        if info.tail:
+            df = with_category_id(df, named(info.name).cast("string"), profile, info, f"__wide{i}")
+            first.append(F.col(f"__wide{i}").alias(f"__c{i}"))
+        elif info.kind == "categorical":
             first.append(category_id(named(info.name).cast("string"), info).alias(f"__c{i}"))
         else:
             value = numeric_of(df, info.name)
@@ -101,7 +124,7 @@ def encode_labels(df: DataFrame, profile: TableProfile, output: str = "labels",
                 IGNORE, 0.0, IGNORE, present.cast("double"), F.when(present, index).otherwise(IGNORE),
                 F.when(present, residual).otherwise(0.0), type_id,
             ))
-    return step.select(*[named(c) for c in (keep if keep is not None else df.columns)], F.array(*second).alias(output))
+    return step.select(*kept, F.array(*second).alias(output))
 
 
 def decode_numeric(index: Column, residual: Column, info: ColumnProfile) -> Column:
@@ -125,7 +148,11 @@ def decode_labels(df: DataFrame, profile: TableProfile, labels: str = "labels",
     values = []
     for i, info in enumerate(profile.columns.values()):
         label = F.get(F.col(labels), F.lit(i))
-        if info.kind == "categorical":
+        if info.tail:
+            words = profile.codes(info.name).select(F.col("id").alias("value"), F.col("value").alias(f"__word{i}"), "n")
+            df = attach_by_value(df.withColumn("__id", label["cat_id"]), words, "__id", "n", profile.rows, [f"__word{i}"]).drop("__id")
+            value = F.coalesce(f"__word{i}", F.lit(UNKNOWN))
+        elif info.kind == "categorical":
             value = decode_category(label["cat_id"], info)
         elif info.kind == "numerical":
             value = decode_numeric(label["num_bin"], label["num_res"], info)

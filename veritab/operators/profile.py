@@ -11,13 +11,14 @@ from pyspark.sql import types as T
 
 from veritab.functions.scalars import named, numeric_of
 from veritab.operators.aggregates import sample_skewness
-from veritab.operators.ranks import exact_quantiles, top_values
+from veritab.operators.ranks import exact_quantiles, running_totals, top_values
 from veritab.operators.sides import ColumnTypes, melt, text_of, types_by_dtype, types_by_parsing
+from veritab.session import freeze
 
 UNKNOWN = "[UNK]"
 MISSING = "Missing"
 # Profile limits.
-TOP_CATEGORIES = 50
+HEAD = 50
 EDGE_PIECES = 100
 MIXED_THRESHOLD = 0.05
 SKEW_LIMIT = 1.0
@@ -27,7 +28,11 @@ SHIFT = 1e-6
 
 @dataclass
 class ColumnProfile:
-    """What is known of one column; bounded by TOP_CATEGORIES and EDGE_PIECES."""
+    """What the driver knows of one column; bounded by HEAD (or the caller's `top_k`) and EDGE_PIECES.
+
+    `tail` says that a category column has more values than `vocabulary`; the others
+    follow it in the same order in `TableProfile.codes`.
+    """
 
     name: str
     kind: str
@@ -44,6 +49,8 @@ class ColumnProfile:
     norm_max: float = 1.0
     edges: list[float] = field(default_factory=list)
     zero_share: float = 0.0
+    tail: bool = False
+    size: int = 0
 
     @property
     def ids(self) -> dict[str, int]:
@@ -64,6 +71,17 @@ class TableProfile:
 
     columns: dict[str, ColumnProfile]
     values: DataFrame | None = None
+    rows: int = 0
+    _codes: DataFrame | None = None
+
+    def codes(self, column: str) -> DataFrame:
+        """(value, id, n) of all values of a column: 1, 2, ... by falling count, then by value; 0 is the unknown token."""
+        if self._codes is None:
+            numbered = self.values.filter(F.col("value") != UNKNOWN).select("*", (-F.col("n")).alias("__order"), F.lit(1).alias("__one"))
+            self._codes = freeze(running_totals(numbered, ["column"], ["__order", "value"], ["__one"]).select(
+                "column", "value", F.col("running___one").cast("int").alias("id"), "n"
+            ))
+        return self._codes.filter(F.col("column") == self.of(column).name).select("value", "id", "n")
 
     def of(self, name: str) -> ColumnProfile:
         return self.columns[name.lower()]
@@ -78,9 +96,13 @@ def log_form(value: Column, info: ColumnProfile) -> Column:
 
 
 def build_profile(
-    df: DataFrame, types: ColumnTypes | None = None, mixed_threshold: float = MIXED_THRESHOLD, top_k: int = TOP_CATEGORIES
+    df: DataFrame, types: ColumnTypes | None = None, mixed_threshold: float = MIXED_THRESHOLD, top_k: int | None = None
 ) -> TableProfile:
-    """One pass for the moments, one for the edges, one grouped pass for the vocabularies."""
+    """One pass for the moments, one for the edges, one grouped pass for the vocabularies.
+
+    Categories keep all their values.  With `top_k` only that many do, and the rest is
+    the unknown token.
+    """
     types = types or types_by_dtype(df)
     infos: dict[str, ColumnProfile] = {}
     wide: list[Column] = [F.count("*").alias("rows")]
@@ -151,22 +173,25 @@ def build_profile(
         counts = melt(df, {c: text_of(c, MISSING) for c in types.categorical}, []).groupBy("column", "value").agg(
             F.count("*").alias("n")
         )
+        counts = freeze(counts)
+        sizes = {r["column"]: r["count"] for r in counts.filter(F.col("value") != UNKNOWN).groupBy("column").count().collect()}
         best: dict[str, list[tuple[str, int]]] = {c: [] for c in types.categorical}
-        for r in top_values(counts, ["column"], top_k).orderBy("column", "rank").collect():
+        for r in top_values(counts, ["column"], (HEAD if top_k is None else top_k) + 1).orderBy("column", "rank").collect():
             best[r["column"]].append((r["value"], r["n"]))
         for i, c in enumerate(types.categorical):
-            chosen = best[c]
-            if row[f"missing{i}"] and MISSING not in [v for v, _ in chosen]:
+            chosen = [(v, n) for v, n in best[c] if v != UNKNOWN][: HEAD if top_k is None else top_k]
+            tail = top_k is None and sizes.get(c, 0) > len(chosen)
+            if not tail and row[f"missing{i}"] and MISSING not in [v for v, _ in chosen]:
                 chosen = [*chosen, (MISSING, row[f"missing{i}"])]
-            chosen = [(v, n) for v, n in chosen if v != UNKNOWN]
             mass = [n / rows for _, n in chosen]
             weights = [max(0.0, 1.0 - sum(mass)), *mass]
             total = sum(weights)
             infos[c.lower()] = ColumnProfile(
                 c, "categorical", vocabulary=[UNKNOWN, *[v for v, _ in chosen]],
                 weights=[w / total for w in weights] if total > 0 else weights,
+                tail=tail, size=1 + (sizes[c] if tail else len(chosen)),
             )
-    return TableProfile({c.lower(): infos[c.lower()] for c in df.columns if c.lower() in infos}, counts)
+    return TableProfile({c.lower(): infos[c.lower()] for c in df.columns if c.lower() in infos}, counts, rows)
 
 
 PROFILE_SCHEMA = (

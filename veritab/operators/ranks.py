@@ -60,19 +60,22 @@ def running_totals(
     )
 
 
-def attach_by_value(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, take: list[str]) -> DataFrame:
+def attach_by_value(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, take: list[str], table_key: str | None = None) -> DataFrame:
     """Left join of `rows` to a per-value `table` that knows each value's row count.
 
+    `table_key` is the key's name in the table, its `value` or else `key` by default.
+
     Values holding at least total/HOT_SHARE rows number at most HOT_SHARE: those
     are broadcast.  Their rows then travel under a salt instead of their value, so
     no task of the shuffle join receives more than a small share of the rows.
     """
     floor = max(1, total // HOT_SHARE)
+    value = table_key or ("value" if "value" in table.columns else key)
     hot = table.filter(F.col(count) >= floor).select(
-        F.col(key).alias("__hot_key"), *[F.col(c).alias(f"__hot_{c}") for c in take]
+        F.col(value).alias("__hot_key"), *[F.col(c).alias(f"__hot_{c}") for c in take]
     )
     cold = table.filter(F.col(count) < floor).select(
-        F.col(key).alias("__cold_key"), F.lit(0).alias("__cold_salt"), *[F.col(c).alias(f"__cold_{c}") for c in take]
+        F.col(value).alias("__cold_key"), F.lit(0).alias("__cold_salt"), *[F.col(c).alias(f"__cold_{c}") for c in take]
     )
     flagged = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left").withColumn(
         "__salt",

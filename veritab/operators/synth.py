@@ -34,7 +34,13 @@ def uniform_pseudo(spark: SparkSession, profile: TableProfile, n: int, sets: int
     values = []
     for i, info in enumerate(profile.columns.values()):
         u = seeded_uniform(seed * 1009 + i, F.col(ID))
-        if info.kind == "categorical":
+        if info.tail:
+            # places are drawn evenly, so no key of the join is hot
+            codes = profile.codes(info.name).select(F.col("id").alias("__id"), F.col("value").alias(f"__word{i}"))
+            first = 0 if include_unknown else 1
+            rows = rows.withColumn("__id", (F.floor(u * (info.size - first)) + first).cast("int")).join(codes, "__id", "left").drop("__id")
+            value = F.coalesce(f"__word{i}", F.lit(UNKNOWN))
+        elif info.kind == "categorical":
             words = info.vocabulary if include_unknown else [v for v in info.vocabulary if v != UNKNOWN]
             value = F.get(literal_array(words, "string"), F.floor(u * len(words)).cast("int"))
         elif info.integer:
@@ -196,6 +202,8 @@ def edges_passed(edges: Column, value: Column) -> Column:
 
 def weighted_category(info: ColumnProfile, seed: int, keys: list[Column], weights: dict[str, float] | None = None) -> Column:
     """K4: a category drawn with its stored or the given weights, tied to the keys."""
+    if weights is None and info.tail:
+        raise ValueError(f"{info.name} has {info.size - 1} values: draw it with sample_from_profile")
     words = list(weights) if weights is not None else info.vocabulary
     shares = [weights[w] for w in words] if weights is not None else info.weights
     total, running, edges = sum(shares), 0.0, []
@@ -253,7 +261,7 @@ def slot_of(label: Column, info: ColumnProfile) -> Column:
 
 def slot_count(info: ColumnProfile) -> int:
     if info.kind == "categorical":
-        return len(info.vocabulary)
+        return info.size or len(info.vocabulary)
     bins = len(info.edges) - 1
     return bins + 1 if info.kind == "mixed" else bins
 
@@ -273,13 +281,21 @@ def slot_value(slot: Column, residual: Column, info: ColumnProfile) -> Column:
 class SlotModel:
     """Frequencies of slots, alone and given the slot of the parent column.
 
-    Bounded by the profile: at most 101 slots per column and 101 x 101 per pair.
+    Lists on the driver are bounded by the profile: at most 101 slots per column and
+    101 x 101 per pair.  Columns that have more values than the profile lists, or whose
+    parents do, are drawn from the table `counted` (c, p, s, n) instead.
     """
 
     profile: TableProfile
     parents: dict[str, str | None]
     marginal: dict[str, list[float]]
     conditional: dict[str, dict[int, list[float]]]
+    counted: DataFrame | None = None
+
+    def listed(self, column: str) -> bool:
+        """Whether the shares of a column, given its parent, are lists on the driver."""
+        parent = self.parents[column]
+        return not (self.profile.columns[column].tail or parent is not None and self.profile.columns[parent].tail)
 
 
 def slots(df: DataFrame, profile: TableProfile, keep: list[str] | None = None) -> DataFrame:
@@ -307,13 +323,17 @@ def fit_slots(df: DataFrame, profile: TableProfile, parents: dict[str, str | Non
         for i, c in enumerate(names)
     ]
     counted = slots(df, profile).select(F.explode(F.array(*entries)).alias("e")).groupBy("e.c", "e.p", "e.s").agg(F.count("*").alias("n"))
-    marginal = {c: [0.0] * slot_count(profile.columns[c]) for c in names}
-    conditional: dict[str, dict[int, list[float]]] = {c: {} for c in names}
-    for row in counted.collect():  # columns x 101 x 101 rows at most
+    counted = freeze(counted)
+    narrow = [c for c in names if not profile.columns[c].tail]
+    marginal = {c: [0.0] * slot_count(profile.columns[c]) for c in narrow}
+    conditional: dict[str, dict[int, list[float]]] = {c: {} for c in narrow}
+    model = SlotModel(profile, parents, marginal, conditional, counted)
+    listed = [place[c] for c in names if model.listed(c)]
+    for row in counted.filter(F.col("c").isin(listed)).collect():  # columns x 101 x 101 rows at most
         c = names[row["c"]]
         marginal[c][row["s"]] += row["n"]
         conditional[c].setdefault(row["p"], [0.0] * slot_count(profile.columns[c]))[row["s"]] += row["n"]
-    return SlotModel(profile, parents, marginal, conditional)
+    return model
 
 
 def sharpened(counts: list[float], temperature: float) -> list[float]:
@@ -329,20 +349,68 @@ def sharpened(counts: list[float], temperature: float) -> list[float]:
     return shares
 
 
+def share_spans(model: SlotModel, column: str, temperature: float, marginal: bool) -> DataFrame:
+    """(__group, __from, value) of a column's slots: where each starts in [0, 1), for every parent slot or alone.
+
+    The value of a slot whose column has more values than the profile lists carries its
+    text with it.
+    """
+    info, place = model.profile.columns[column], list(model.profile.columns).index(column)
+    rows = model.counted.filter(F.col("c") == place)
+    group = F.lit(0) if marginal else F.col("p")
+    sums = rows.groupBy(group.alias("__group"), "s").agg(F.sum("n").alias("n"))
+    totals = sums.groupBy("__group").agg(F.sum("n").alias("__total"))
+    weight = F.col("n") if temperature == 1 else F.exp(F.log(F.col("n") / F.col("__total")) / temperature)
+    weighed = sums.join(totals, "__group").select("__group", "s", weight.alias("w"))
+    running = running_totals(weighed, ["__group"], ["s"], ["w"])
+    whole = weighed.groupBy("__group").agg(F.sum("w").alias("__all"))
+    spans = running.join(whole, "__group").select("__group", "s", ((F.col("running_w") - F.col("w")) / F.col("__all")).alias("__from"))
+    if not info.tail:
+        return spans.select("__group", "__from", F.struct("s", F.lit(None).cast("string").alias("word")).alias("value"))
+    words = model.profile.codes(info.name).select(F.col("id").alias("s"), F.col("value").alias("word"))
+    return spans.join(words, "s", "left").select("__group", "__from", F.struct("s", "word").alias("value"))
+
+
+def draw_from_table(df: DataFrame, model: SlotModel, column: str, parent_slot: Column | None, u: Column, temperature: float, output: str) -> DataFrame:
+    """Adds `output`, a slot and its text, by merging the rows with the intervals of their parent's slot; an unseen one uses the marginal."""
+    rows = df.select("*", u.alias("__u"), F.lit(0).alias("__group"))
+    if parent_slot is not None:
+        given = df.select("*", u.alias("__u"), F.coalesce(parent_slot, F.lit(-1)).alias("__group"))
+        drawn = freeze(draw_by_share(given, share_spans(model, column, temperature, False), ["__group"], output))
+        found = drawn.filter(F.col(output).isNotNull()).select(*df.columns, output)
+        rest = drawn.filter(F.col(output).isNull()).select(*df.columns, u.alias("__u"), F.lit(0).alias("__group"))
+        if rest.isEmpty():
+            return found
+        return found.unionByName(draw_by_share(rest, share_spans(model, column, temperature, True), ["__group"], output).select(*df.columns, output))
+    return draw_by_share(rows, share_spans(model, column, temperature, True), ["__group"], output).select(*df.columns, output)
+
+
 def sample_from_profile(ids: DataFrame, model: SlotModel, seed: int = 0, temperature: float = 1.0, key: str = ID) -> DataFrame:
     """K6: every column drawn on its own from its fitted slot frequencies."""
     infos = list(model.profile.columns.values())
+    tables = [i for i, c in enumerate(model.profile.columns) if not model.listed(c)]
+    rows = ids
+    for i in tables:
+        rows = draw_from_table(rows, model, list(model.profile.columns)[i], None, seeded_uniform(seed * 2003 + i, named(key)), temperature, f"__t{i}")
     searches = {
         f"__s{i}": (seeded_uniform(seed * 2003 + i, named(key)), sharpened(model.marginal[c], temperature)[:-1], True)
-        for i, c in enumerate(model.profile.columns)
+        for i, c in enumerate(model.profile.columns) if i not in tables
     }
-    drawn = with_edge_counts(ids, searches)
+    drawn = with_edge_counts(rows, searches)
     residual = [seeded_uniform(seed * 2003 + 1000 + i, named(key)) for i in range(len(infos))]
     return drawn.select(
-        *[named(c) for c in ids.columns], *[slot_value(F.col(f"__s{i}"), residual[i], info).alias(info.name) for i, info in enumerate(infos)]
+        *[named(c) for c in ids.columns],
+        *[drawn_value(i, info, residual[i], i in tables).alias(info.name) for i, info in enumerate(infos)],
     )
 
 
+def drawn_value(i: int, info: ColumnProfile, residual: Column, from_table: bool) -> Column:
+    """The value of a drawn slot, listed (`__s<i>`) or from a table (`__t<i>`)."""
+    if info.tail:
+        return F.col(f"__t{i}.word")
+    return slot_value(F.col(f"__t{i}.s") if from_table else F.col(f"__s{i}"), residual, info)
+
+
 def conditional_table(spark: SparkSession, model: SlotModel, column: str, temperature: float, output: str) -> DataFrame:
     """Parent slot -> cumulative shares; at most 101 rows."""
     rows = [(p, sharpened(counts, temperature)[:-1]) for p, counts in model.conditional[column].items()]
@@ -350,9 +418,16 @@ def conditional_table(spark: SparkSession, model: SlotModel, column: str, temper
 
 
 def draw_slot(df: DataFrame, model: SlotModel, index: int, column: str, seed: int, key: str, temperature: float, output: str) -> DataFrame:
-    """K7 step: draw the slot of a column given its parent's slot; an unseen parent slot uses the marginal."""
+    """K7 step: draw the slot of a column given its parent's slot; an unseen parent slot uses the marginal.
+
+    The slot of a column that is drawn from a table is `<output>`, its text `__t<index>`.
+    """
     parent = model.parents[column]
     u = seeded_uniform(seed * 2003 + index, named(key))
+    if not model.listed(column):
+        slot = None if parent is None else F.col(f"__s{list(model.profile.columns).index(parent)}")
+        drawn = draw_from_table(df.drop(f"__t{index}"), model, column, slot, u, temperature, f"__t{index}")
+        return drawn.withColumn(output, F.col(f"__t{index}.s"))
     base = literal_array(sharpened(model.marginal[column], temperature)[:-1])
     if parent is None:
         shares = base
@@ -375,7 +450,7 @@ def sequential_generate(ids: DataFrame, model: SlotModel, seed: int = 0, tempera
     return rows.select(
         *[named(c) for c in ids.columns],
         *[
-            slot_value(F.col(f"__s{i}"), seeded_uniform(seed * 2003 + 1000 + i, named(key)), info).alias(info.name)
+            drawn_value(i, info, seeded_uniform(seed * 2003 + 1000 + i, named(key)), info.tail).alias(info.name)
             for i, info in enumerate(infos)
         ],
     )
@@ -439,7 +514,7 @@ def impute_rows(
             step = seed * 101 + attempt * 13
             rows = draw_slot(rows, model, i, c, step, key, temperature, "__drawn")
             hole = named(info.name).isNull()
-            value = slot_value(F.col("__drawn"), seeded_uniform(step * 2003 + 1000 + i, named(key)), info)
+            value = F.col(f"__t{i}.word") if info.tail else slot_value(F.col("__drawn"), seeded_uniform(step * 2003 + 1000 + i, named(key)), info)
             rows = rows.withColumn(f"__s{i}", F.when(hole, F.col("__drawn")).otherwise(F.col(f"__s{i}")))
             rows = rows.withColumn(info.name, F.coalesce(named(info.name), value.cast(df.schema[info.name].dataType))).drop("__drawn")
         rows = freeze(rows.select(*[named(c) for c in df.columns]))

@@ -119,6 +119,17 @@ I8_SQL = " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(*) AS "rows", CAST(0 AS BIGINT) AS changed FROM lineitem""" for c in ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag"])
 
 
+@query("i7_labels_of_many_values", """WITH c AS (SELECT cust, n, row_number() OVER (ORDER BY n DESC, cust) AS id FROM (SELECT coalesce(o_custkey::VARCHAR, 'Missing') AS cust, count(*) AS n FROM orders GROUP BY 1))
+SELECT o_orderkey, id AS cat_id, cust AS back FROM orders JOIN c ON cust = coalesce(o_custkey::VARCHAR, 'Missing')""")
+def _(spark, folder):
+    """All customers are categories; the ids and what they decode to."""
+    orders = load(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("cust"))
+    built = profile.build_profile(orders.select("cust"))
+    coded = encode.encode_labels(orders, built, keep=["o_orderkey"])
+    back = encode.decode_labels(coded, built, keep=["o_orderkey", "labels"])
+    return back.select("o_orderkey", big(F.get("labels", F.lit(0))["cat_id"]).alias("cat_id"), F.col("cust").alias("back"))
+
+
 @query("i8_decode_labels", I8_SQL)
 def _(spark, folder):
     """Decoding the labels of a row gives the row back, to a part in 10^6 of the range."""

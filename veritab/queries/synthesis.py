@@ -125,6 +125,55 @@ def _(spark, folder):
     return marginals.histogram_intersection(tag_sides(lines, made))
 
 
+# all customers of orders are categories: numbered by falling count, laid end to end, and looked up by the draw
+WIDE = """WITH o AS (SELECT o_custkey::VARCHAR AS cust, o_orderpriority AS prio, o_orderkey AS k FROM orders),
+ c AS (SELECT cust, n, row_number() OVER (ORDER BY n DESC, cust) AS id FROM (SELECT cust, count(*) AS n FROM o GROUP BY cust)),
+ w AS (SELECT prio, row_number() OVER (ORDER BY n DESC, prio) AS pid FROM (SELECT prio, count(*) AS n FROM o GROUP BY prio)),
+ t AS (SELECT count(*) AS total FROM o),
+ cs AS (SELECT cust, id, (sum(n) OVER (ORDER BY id) - n) / total::DOUBLE AS lo, (sum(n) OVER (ORDER BY id)) / total::DOUBLE AS hi FROM c, t),
+ i AS (SELECT unnest(range((SELECT total FROM t))) AS id)"""
+K6_WIDE_SQL = f"""{WIDE}, ps AS (SELECT prio, (sum(n) OVER (ORDER BY pid) - n) / total::DOUBLE AS lo, sum(n) OVER (ORDER BY pid) / total::DOUBLE AS hi
+ FROM (SELECT prio, pid, count(*) AS n FROM o JOIN w USING (prio) GROUP BY ALL), t)
+SELECT i.id AS {synth.ID}, cs.cust, ps.prio FROM i JOIN cs ON {uniform_sql(2003, 'i.id')} >= cs.lo AND {uniform_sql(2003, 'i.id')} < cs.hi
+ JOIN ps ON {uniform_sql(2004, 'i.id')} >= ps.lo AND {uniform_sql(2004, 'i.id')} < ps.hi"""
+K7_WIDE_SQL = f"""{WIDE}, ps AS (SELECT cust, prio, (sum(n) OVER x - n) / (sum(n) OVER (PARTITION BY cust))::DOUBLE AS lo, sum(n) OVER x / (sum(n) OVER (PARTITION BY cust))::DOUBLE AS hi
+ FROM (SELECT cust, prio, pid, count(*) AS n FROM o JOIN w USING (prio) GROUP BY ALL) WINDOW x AS (PARTITION BY cust ORDER BY pid))
+SELECT i.id AS {synth.ID}, cs.cust, ps.prio FROM i JOIN cs ON {uniform_sql(2003, 'i.id')} >= cs.lo AND {uniform_sql(2003, 'i.id')} < cs.hi
+ JOIN ps ON ps.cust = cs.cust AND {uniform_sql(2004, 'i.id')} >= ps.lo AND {uniform_sql(2004, 'i.id')} < ps.hi"""
+
+
+def _wide(spark, folder):
+    """Orders by customer, a column with very many values, and priority."""
+    orders = load(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias("cust"), F.col("o_orderpriority").alias("prio"))
+    ids = spark.range(orders.count()).withColumnRenamed("id", synth.ID)
+    return orders, ids, synth.fit_slots(orders, profile.build_profile(orders))
+
+
+@query("k6_sample_many_values", K6_WIDE_SQL)
+def _(spark, folder):
+    _orders, ids, model = _wide(spark, folder)
+    return synth.sample_from_profile(ids, model, seed=1)
+
+
+@query("k7_generate_many_values", K7_WIDE_SQL)
+def _(spark, folder):
+    """The priority given the customer, who is drawn from all customers."""
+    _orders, ids, model = _wide(spark, folder)
+    return synth.sequential_generate(ids, model, seed=1)
+
+
+@query("k9_impute_many_values", f"""{WIDE}, b AS (SELECT CASE WHEN k % 3 <> 0 THEN cust END AS cust, prio, k FROM o),
+ d AS (SELECT k, c.cust FROM (SELECT k, {uniform_sql(101 * 2003, 'k')} AS u FROM b WHERE cust IS NULL) JOIN cs c ON u >= c.lo AND u < c.hi)
+SELECT k, coalesce(b.cust, d.cust) AS cust, prio FROM b LEFT JOIN d USING (k)""")
+def _(spark, folder):
+    """Lost customers drawn anew from all of them."""
+    orders, _ids, model = _wide(spark, folder)
+    rows = load(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey").cast("string")).alias("cust"), F.col("o_orderpriority").alias("prio")
+    )
+    return synth.impute_rows(rows, model, "k", seed=1)[0]
+
+
 @query("k8_generate_until", "SELECT count(*) AS accepted, count(*) AS wanted FROM customer")
 def _(spark, folder):
     """As many accepted rows as there are customers."""
