@@ -51,21 +51,11 @@ MOST, VERIFY = 4, 8
 FREQUENT, SALTS = 16, 256
 #: Two sets of 500 shingles share one by mistake with a probability of 1e-9.
 TOKEN_BITS = 48
-#: Words and texts that a worker remembers.
+#: Texts that a task remembers.
 KEPT = 200_000
 _COEFFICIENTS = np.random.default_rng(12).integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
 
 
-class _Hashes(dict):
-    """Hashes of words, computed when first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits without visible pattern."""
     for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
@@ -73,16 +63,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(words: list[bytes], hashes: dict[bytes, int], width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct hashes of the shingles of a text."""
+def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of a text, made from the hashes of its words."""
     if not words:
         return np.zeros(0, np.int64)
-    each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    each = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
     size = min(width, len(words))
     total = np.full(len(words) - size + 1, size, np.uint64)
     for i in range(size):
         total += each[i : len(words) - size + 1 + i] * _COEFFICIENTS[i]
-    return np.unique(_mixed(total) >> np.uint64(64 - TOKEN_BITS)).view(np.int64)
+    found = np.sort(_mixed(total) >> np.uint64(64 - TOKEN_BITS)).view(np.int64)
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def _name(words: list[bytes], seed: int) -> int:
@@ -93,10 +84,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int)
     """(id, name, other, n) of every row: two names of its words and the number of its shingles."""
 
     def work(batch: pa.RecordBatch):
-        hashes, rows = _Hashes(), []
+        rows = []
         for text in utf8(batch.column(1)):
             words = text.lower().split()
-            rows.append((_name(words, seed), _name(words, seed + (1 << 32)), len(shingles(words, hashes, width))))
+            rows.append((_name(words, seed), _name(words, seed + (1 << 32)), len(shingles(words, width))))
         columns = [pa.array(x, pa.int64()) for x in (zip(*rows) if rows else ((), (), ()))]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "name", "other", "n"])
 
@@ -124,7 +115,7 @@ def postings(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        hashes, met = _Hashes(), set()
+        met = set()
         for batch in batches:
             names, sets = [], []
             for text in utf8(batch.column(0)):
@@ -135,7 +126,7 @@ def postings(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame
                         met.clear()
                     met.add(name)
                     names.append(name)
-                    sets.append(shingles(words, hashes, width))
+                    sets.append(shingles(words, width))
             if not names:
                 continue
             token, named = np.concatenate(sets), np.repeat(np.array(names, np.int64), [len(s) for s in sets])
@@ -155,34 +146,37 @@ def postings(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame
 
 
 def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, name) of the shingles of two texts or more, from rows sorted by token, salt and name, NULL names first.
+    """(token, name) of the shingles of two texts or more, from (token, salt, name) rows sorted by shingle.
 
-    Works on a stream: a row waits until the next one shows whether its shingle is shared.
+    Works on a stream: of the last shingle of a batch one row is carried on, and whether
+    that shingle is shared already.  A name may come twice.
     """
     release()
-    held = np.zeros((0, 4), np.int64)  # the last row so far, and whether it has left already
+    token, name, known = np.zeros(0, np.int64), np.zeros(0, np.int64), False
     for batch in batches:
         if not batch.num_rows:
             continue
-        blank = batch.column(2).is_null().to_numpy(zero_copy_only=False)
-        columns = (batch.column(0), batch.column(1), batch.column(2).fill_null(0))
-        more = np.stack([*(c.to_numpy().astype(np.int64) for c in columns), np.where(blank, 2, 0)], axis=1)
-        rows = np.concatenate([held, more])
-        # a row without a name differs from any other; equal rows are one
-        fresh = np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1) | (rows[:-1, 3] == 2)])
-        rows = rows[fresh]
-        same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
-        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (rows[:, 1] > 0)
-        out = rows[shared & (rows[:, 3] == 0)]
-        held = rows[-1:].copy()
-        if shared[-1] and held[0, 3] == 0:
-            held[0, 3] = 1
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 2])], names=["token", "name"])
+        salted = batch.column(1).to_numpy() > 0
+        more, names, blank = batch.column(0).to_numpy(), batch.column(2).fill_null(0).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
+        frequent = (more[salted], names[salted])
+        carried = len(token)
+        token, name = np.concatenate([token, more[~salted]]), np.concatenate([name, names[~salted]])
+        blank = np.concatenate([np.full(carried, known), blank[~salted]])  # shared whatever else there is
+        if len(token):
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            shared = (np.minimum.reduceat(name, starts) != np.maximum.reduceat(name, starts)) | np.logical_or.reduceat(blank, starts)
+            out = np.repeat(shared, np.diff(np.append(starts, len(token)))) & ~blank
+            found = (token[out], name[out])
+            # a row that waited in vain leaves with its own shingle's next rows; what is left of the last shingle waits
+            token, name, known = token[-1:], name[starts[-1] : starts[-1] + 1], bool(shared[-1])
+        else:
+            found = (token, name)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(frequent, found, strict=True)], names=["token", "name"])
 
 
 def shared_tokens(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
-    """(token, name) of the shingles that more than one text has; a frequent one may come twice."""
-    rows = postings(docs, text_col, width, seed).repartition("token", "salt").sortWithinPartitions("token", "salt", "name")
+    """(token, name) of the shingles that more than one text has, some of them more than once."""
+    rows = postings(docs, text_col, width, seed).repartition("token", "salt").sortWithinPartitions("token")
     return stored(rows.mapInArrow(keep_shared, "token long, name long"), "shingles")
 
 

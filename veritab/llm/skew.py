@@ -9,14 +9,14 @@ SALTS = 64
 #: A key is heavy from this share of the rows on, so there are at most as many heavy keys as its inverse.
 HEAVY = 1 / 1000
 #: Tables of fewer rows than this have no heavy keys worth a salt.
-LIGHT = 100_000
+LIGHT = 1_000_000
 
 
 def heavy_keys(rows: DataFrame, on: list[str], salts: int = SALTS) -> DataFrame:
-    """The keys with at least `HEAVY` of the rows, none of a NULL key: at most 1000 rows."""
+    """The keys with at least `HEAVY` of the rows, none of a NULL key: at most 1000 rows.  Heavier keys have more salts."""
     counts = rows.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_rows"))
     total = rows.agg(F.greatest(F.count("*"), F.lit(LIGHT)).alias("_all"))  # one row
-    return counts.join(F.broadcast(total), F.col("_rows") >= F.col("_all") * HEAVY).select(*on, F.lit(salts).alias("_salts"))
+    return counts.join(F.broadcast(total), F.col("_rows") >= F.col("_all") * HEAVY).select(*on, F.least(F.lit(salts), F.ceil(2 * F.col("_rows") / (F.col("_all") * HEAVY))).cast("int").alias("_salts"))
 
 
 def salted_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS, heavy: DataFrame | None = None, by: Column | None = None) -> DataFrame:
