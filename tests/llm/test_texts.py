@@ -57,11 +57,11 @@ def test_transducer_equals_library(documents):
 
 def test_transducer_keeps_little(monkeypatch):
     own = bpe.Encoder(vocabulary("byte_bpe_50k.json"))
-    machine, most = bpe.Transducer(own.merges, own.reach), 0
+    machine, most = bpe.Transducer(own.merges, own.machine.reach), 0
     for _ in range(300):
         list(machine.feed(b"ationing" * 20))
         most = max(most, len(machine.buffer))
-    assert most <= 6 * own.reach
+    assert most <= 6 * own.machine.reach
 
 
 def test_slices_change_nothing(monkeypatch):
@@ -330,3 +330,27 @@ def test_plain_prose_has_no_disguise(text):
 @pytest.mark.parametrize("text", ["1" * 100000, "a" * 100000 + "@", "1 " * 50000, "+1" + " " * 50000, "one " * 20000, "a." * 50000 + " at b", "1o" * 50000])
 def test_long_runs_take_linear_time(text):
     pii.masked(text)
+
+
+def test_words_merged_together():
+    """The merges of many words side by side are those of each alone."""
+    draw = random.Random(4)
+    merges = bpe.Encoder(vocabulary("byte_bpe_50k.json")).merges
+    words = [bytes(draw.choice(b"abcdefghi \xc3\xa9\xe4aaathe") for _ in range(draw.randint(0, 60))) for _ in range(1500)]
+    words += [b"a" * n for n in range(90)] + [b"", b" the", b" the"]
+    assert merges.merge_many(words) == [bpe.packed(merges.merge(w)) for w in words]
+    assert merges.merge_many([]) == [] and merges.merge_many([b"", b""]) == [b"", b""]
+
+
+def test_learnt_batches_equal_the_library(monkeypatch):
+    """Caches that overflow and pieces of every kind, against the library."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 300)
+    path, draw = vocabulary("byte_bpe_50k.json"), random.Random(5)
+    pieces = ["don't", "x", "", "\n", "a\n", "\tb", "\u00e9t\u00e9", "\uac00", "x\u0301", "12", "a1,", "<|endoftext|>", "<|end", "\u3000", "we'll", "..."]
+    data = [" ".join(draw.choice(pieces) if draw.random() < 0.5 else "".join(draw.choices("abcdeXY\u00df", k=draw.randint(1, 12))) for _ in range(draw.randint(0, 60))) for _ in range(400)]
+    both, found = bpe.Encoder(path), []
+    for i in range(0, len(data), 40):
+        both.learn(data[i : i + 40])
+        found += [np.frombuffer(b"".join(both.encode(t)), "<u4").tolist() for t in data[i : i + 40]]
+    library = Tokenizer.from_file(path)
+    assert found == [e.ids for e in library.encode_batch(data, add_special_tokens=False)]

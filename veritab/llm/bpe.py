@@ -12,8 +12,9 @@ Decoding joins the bytes of each id and feeds them to an incremental UTF-8 machi
 which holds back at most three bytes and replaces what is malformed.
 
 Texts are cut at safe boundaries first: a character that is no white space followed
-by white space always ends a word of the vocabulary's pattern.  Pieces between single
-blanks are remembered by each worker.  Special strings inside a text give their id.
+by white space always ends a word of the vocabulary's pattern.  The new pieces between
+single blanks of a batch run through the transducer together, a merge of each at a time,
+and are remembered by the worker; a word that fits the buffer is stable when it ends.  Special strings inside a text give their id.
 
 Defined results: NULL and empty text have no ids and decode to the empty text;
 repeated rows and ids give one row each; a NULL id is kept; other columns are
@@ -49,6 +50,17 @@ SHORT = 64
 SLICE = 1 << 18
 
 
+#: Larger than any rank.
+NO_RULE = np.iinfo(np.int64).max
+_SLOT_BITS = 18
+
+
+def _slot(keys: np.ndarray, table: int) -> np.ndarray:
+    """Place of a pair of ids in a hash table."""
+    mixed = keys.view(np.uint64) * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[table % 2] + 2 * table)
+    return (mixed >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
+
+
 def byte_letters() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -82,6 +94,9 @@ class Merges:
             left, right = pair if not isinstance(pair, str) else pair.split(" ")
             self.rules.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
 
+        self.byte_ids = np.array(self.id_of_byte, np.int64)
+        self.tables, self.made = self.pair_table()
+
     def lookahead(self) -> int:
         """Bytes right of a position that decide whether a merge crosses it.
 
@@ -115,21 +130,84 @@ class Merges:
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one buffer: always the pair of smallest rank, the leftmost of equals."""
-        ids = [self.id_of_byte[b] for b in data]
+        ids = list(map(self.id_of_byte.__getitem__, data))
         if len(ids) > 40:
             return self._merge_long(ids)
         get = self.rules.get
-        while len(ids) > 1:
-            best, at = None, -1
-            for i, pair in enumerate(zip(ids, ids[1:])):
-                rule = get(pair)
-                if rule is not None and (best is None or rule[0] < best[0]):
-                    best, at = rule, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        rules = list(map(get, zip(ids, ids[1:])))
+        while best := min(filter(None, rules), default=None):  # ranks differ, so the least rule is the first in rank
+            at = rules.index(best)
+            ids[at : at + 2] = best[1:]
+            rules[at : at + 2] = [get((best[1], ids[at + 1]))] if at + 1 < len(ids) else ()
+            if at:
+                rules[at - 1] = get((ids[at - 1], best[1]))
         return ids
 
+    def pair_table(self) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Rules as hash tables of pairs, tried one after the other, and the id that each rank makes."""
+        ranked = sorted((rank, left << 32 | right, both) for (left, right), (rank, both) in self.rules.items())
+        made = np.zeros(ranked[-1][0] + 1 if ranked else 1, np.int64)
+        made[[r for r, _, _ in ranked]] = [b for _, _, b in ranked]
+        keys, ranks = np.array([k for _, k, _ in ranked], np.int64), np.array([r for r, _, _ in ranked], np.int64)
+        tables = []
+        while len(keys):
+            at = _slot(keys, len(tables))
+            _, first = np.unique(at, return_index=True)
+            table_keys, table_ranks = np.full(1 << _SLOT_BITS, -1), np.full(1 << _SLOT_BITS, NO_RULE)
+            table_keys[at[first]], table_ranks[at[first]] = keys[first], ranks[first]
+            tables.append((table_keys, table_ranks))
+            left = np.ones(len(keys), bool)
+            left[first] = False
+            keys, ranks = keys[left], ranks[left]
+        return tables, made
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the rule of each pair, `NO_RULE` where there is none."""
+        key = left << np.int64(32) | right
+        found = np.full(len(key), NO_RULE)
+        for i, (keys, ranks) in enumerate(self.tables):
+            at = _slot(key, i)
+            np.copyto(found, ranks[at], where=keys[at] == key)
+        return found
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """`merge` of every word, as packed ids: all words take their next merge together."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        name = np.repeat(np.arange(len(words)), sizes)
+        rank = np.append(self.ranks_of(ids[:-1], ids[1:]), NO_RULE) if len(ids) else np.zeros(0, np.int64)
+        rank[np.cumsum(sizes)[sizes > 0] - 1] = NO_RULE  # the last byte of a word has no pair
+        done_ids, done_names = [], []
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+            lengths = np.diff(np.append(starts, len(ids)))
+            least = np.minimum.reduceat(rank, starts)
+            over = np.repeat(least == NO_RULE, lengths)
+            done_ids.append(ids[over])
+            done_names.append(name[over])
+            least = np.repeat(least, lengths)[~over]
+            ids, name, rank = ids[~over], name[~over], rank[~over]
+            hits = np.flatnonzero(rank == least)
+            hits = hits[np.concatenate([[True], name[hits[1:]] != name[hits[:-1]]])] if len(hits) else hits  # the leftmost of equals
+            ids[hits] = self.made[rank[hits]]
+            rank[hits] = rank[hits + 1]  # a pair now starts where the right part's pair did
+            keep = np.ones(len(ids), bool)
+            keep[hits + 1] = False
+            place = (np.cumsum(keep) - 1)[hits]
+            ids, name, rank = ids[keep], name[keep], rank[keep]
+            inner = place[(place + 1 < len(ids))]
+            inner = inner[name[inner] == name[np.minimum(inner + 1, len(ids) - 1)]]
+            rank[inner] = self.ranks_of(ids[inner], ids[inner + 1])
+            before = place[place > 0] - 1
+            before = before[name[before] == name[before + 1]]
+            rank[before] = self.ranks_of(ids[before], ids[before + 1])
+        if not done_ids:
+            return [b""] * len(words)
+        names, packed = np.concatenate(done_names), np.concatenate(done_ids).astype("<u4")
+        order = np.argsort(names, kind="stable")
+        data, ends = packed[order].tobytes(), (4 * np.cumsum(np.bincount(names, minlength=len(words)))).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         get, n = self.rules.get, len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
@@ -158,6 +236,18 @@ class Transducer:
         self.merges, self.reach, self.room = merges, reach, 4 * reach
         self.buffer = b""
 
+    def run(self, data: bytes) -> list[int]:
+        """Ids of one whole word; one that fits the buffer is stable as soon as it ends."""
+        if len(data) <= self.room:
+            return self.merges.merge(data)
+        return [*self.feed(data), *self.finish()]
+
+    def run_many(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of many words; those that fit the buffer go step by step together."""
+        short = [w for w in words if len(w) <= self.room]
+        found = iter(self.merges.merge_many(short))
+        return [next(found) if len(w) <= self.room else packed(self.run(w)) for w in words]
+
     def feed(self, data: bytes) -> Iterator[int]:
         for start in range(0, len(data), self.room):
             self.buffer += data[start : start + self.room]
@@ -179,12 +269,16 @@ class Transducer:
         self.buffer = b""
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str) -> None:
         self.merges = Merges(path)
-        self.reach = self.merges.lookahead()
+        self.machine = Transducer(self.merges, self.merges.lookahead())
         self.words = regex.compile(WORDS)
         self.units = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.ends_in_space = regex.compile(f"[{SPACE}]\\Z")
@@ -196,13 +290,7 @@ class Encoder:
     def word(self, word: str) -> bytes:
         found = self.parts.get(word)
         if found is None:
-            data = word.encode("utf-8")
-            if len(data) <= self.reach:
-                ids = self.merges.merge(data)
-            else:
-                machine = Transducer(self.merges, self.reach)
-                ids = [*machine.feed(data), *machine.finish()]
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            found = packed(self.machine.run(word.encode("utf-8")))
             if len(word) <= SHORT:
                 if len(self.parts) >= REMEMBERED:
                     self.parts.clear()
@@ -229,6 +317,23 @@ class Encoder:
             start = at.start()
         yield text[start:]
 
+    def learn(self, batch: list[str]) -> None:
+        """Run the new words between blanks of some texts through the transducer together."""
+        for cache in (self.known, self.parts):
+            if len(cache) > REMEMBERED // 2:
+                cache.clear()
+        pieces = set().union(*(text.split(" ") for text in batch)).difference(self.known)
+        # letters of the older scripts are one word of the pattern with the blank before them
+        plain = [p for p in pieces if len(p) <= SHORT and p.isalpha() and (p.isascii() or max(p) < "\u0250")]
+        self.known.update(zip(plain, self.machine.run_many([b" " + p.encode("utf-8") for p in plain]), strict=True))
+        # the others are cut by the pattern; those that hold special strings or end in white space are left to `encode`
+        cuts = {
+            p: self.words.findall(" " + p) for p in pieces.difference(plain) if p and len(p) <= SHORT and "<|" not in p and not self.ends_in_space.search(p)
+        }
+        words = list(set().union(*cuts.values()).difference(self.parts))
+        self.parts.update(zip(words, self.machine.run_many([w.encode("utf-8") for w in words]), strict=True))
+        self.known.update((p, b"".join(map(self.word, found))) for p, found in cuts.items())
+
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids of the slices of a text."""
         for part in self.slices(text):
@@ -285,8 +390,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(id, ids): the ids of every whole text, four little-endian bytes each."""
 
     def work(batch: pa.RecordBatch):
-        encode_text = encoder(path).encode
-        ids = [b"".join(encode_text(text)) for text in texts(batch.column(1))]
+        both, data = encoder(path), texts(batch.column(1))
+        both.learn(data)
+        ids = [b"".join(both.encode(text)) for text in data]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -310,8 +416,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(id, ids, decoded): both transducers in one pass over the rows."""
 
     def work(batch: pa.RecordBatch):
-        both = encoder(path)
-        encoded = [list(both.encode(text)) for text in texts(batch.column(1))]
+        both, data = encoder(path), texts(batch.column(1))
+        both.learn(data)
+        encoded = [list(both.encode(text)) for text in data]
         decoded = [decode_parts(both.merges.bytes_of, parts) for parts in encoded]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([b"".join(parts) for parts in encoded], pa.binary()), pa.array(decoded, pa.string())],
