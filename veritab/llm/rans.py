@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +153,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_col: str
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pack(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

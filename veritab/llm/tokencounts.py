@@ -83,6 +83,9 @@ class PieceEncoder:
     def learn(self, pieces: set[bytes]) -> dict[bytes, object]:
         found, rest = {}, []
         for piece in pieces:
+            if len(piece) <= SHORT and piece.isalpha():  # ASCII letters are one word of the pattern
+                found[piece] = self.part(piece.decode("ascii").lower())
+                continue
             text = piece.decode("utf-8")
             if len(piece) <= SHORT and "<|" not in text and PLAIN.fullmatch(text):
                 found[piece] = self.join(map(self.part, self.pattern.findall(text.lower())))
