@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.binning import open_ended_search, quantile_search, right_closed_bin, right_closed_index, with_edge_counts
-from veritab.functions.scalars import literal_map, lookup, missing_text, named, numeric_of
+from veritab.functions.scalars import literal_array, literal_map, lookup, missing_text, named, numeric_of
 from veritab.operators.marginals import fit_ranges
 from veritab.operators.ranks import exact_quantiles, running_totals
 from veritab.operators.sides import FAKE, REAL, SIDE, ColumnTypes, data_columns, melt, on_side, text_of, types_by_dtype, types_by_parsing
+from veritab.session import freeze
 
-SUBSETS_PER_SCAN = 32
+SUBSETS_PER_SCAN = 64
 LITERAL_VOCABULARY = 1000
 DROPPED_TEXT, DROPPED_CODE = "\u0000drop", -9
 
@@ -46,7 +47,7 @@ def choose_subsets(columns: list[str], k: int, limit: int | None = None, seed: i
 
 
 # ---------------------------------------------------------------- joint counts
-def joint_counts(codes: DataFrame, subsets: list[tuple[str, ...]], weight: str | None = None) -> DataFrame:
+def joint_counts(codes: DataFrame, subsets: list[tuple[str, ...]]) -> DataFrame:
     """D3: (subset, n_real, n_fake) per distinct code tuple of each column subset.
 
     Codes must not be NULL.  A batch of subsets is one GROUPING SETS pass.
@@ -56,10 +57,7 @@ def joint_counts(codes: DataFrame, subsets: list[tuple[str, ...]], weight: str |
     for start in range(0, len(subsets), SUBSETS_PER_SCAN):
         batch = subsets[start:start + SUBSETS_PER_SCAN]
         used = [c for c in names if any(c in subset for subset in batch)]
-        if weight is None:
-            real, fake = F.count_if(on_side(REAL)), F.count_if(on_side(FAKE))
-        else:
-            real, fake = F.sum(f"{weight}_{REAL}"), F.sum(f"{weight}_{FAKE}")
+        real, fake = F.count_if(on_side(REAL)), F.count_if(on_side(FAKE))
         grouped = codes.groupingSets(
             [[named(c) for c in subset] for subset in batch], *[named(c) for c in used]
         ).agg(F.grouping_id().alias("gid"), real.alias("n_real"), fake.alias("n_fake"))
@@ -75,23 +73,53 @@ def joint_counts(codes: DataFrame, subsets: list[tuple[str, ...]], weight: str |
     return result
 
 
-def collapse(codes: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct code tuples with their count per side, the input of all subset passes."""
-    return codes.groupBy(*[named(c) for c in columns]).agg(
-        F.count_if(on_side(REAL)).alias("w_real"), F.count_if(on_side(FAKE)).alias("w_fake")
-    )
+def lattice_counts(codes: DataFrame, subsets: list[tuple[str, ...]]) -> DataFrame:
+    """`joint_counts` of all subsets with the rows read for the largest ones only.
+
+    Subsets that no other one contains are counted from the rows.  Any other is rolled
+    up from the cells of a counted subset that contains it, the one with the fewest, a
+    size at a time; each size is stored, so that no cell is counted twice.
+    """
+    members = [frozenset(subset) for subset in subsets]
+    top = [i for i, own in enumerate(members) if not any(own < other for other in members)]
+    names = sorted({c for subset in subsets for c in subset})
+
+    def stored(table: DataFrame) -> DataFrame:
+        return freeze(table.select("subset", *[named(c) if c in table.columns else F.lit(None).cast(codes.schema[c].dataType).alias(c) for c in names], "n_real", "n_fake"))
+
+    ids = literal_map(dict(enumerate(top)), "int", "int")
+    tables = [stored(joint_counts(codes, [subsets[i] for i in top]).withColumn("subset", F.element_at(ids, F.col("subset"))))]
+    cells = dict.fromkeys(top, 0)
+    rest = sorted(set(range(len(subsets))) - set(top), key=lambda i: -len(members[i]))
+    for size in sorted({len(members[i]) for i in rest}, reverse=True):
+        cells |= {r["subset"]: r["count"] for r in tables[-1].groupBy("subset").count().collect()}  # one row a subset
+        children: dict[int, list[int]] = {}
+        for i in rest:
+            if len(members[i]) == size:
+                children.setdefault(min((p for p in cells if members[i] < members[p]), key=lambda p: (cells[p], p)), []).append(i)
+        counted = tables[0]
+        for table in tables[1:]:
+            counted = counted.unionByName(table)
+        lists = F.map_from_arrays(literal_array(children, "int"), F.array(*[literal_array(c, "int") for c in children.values()]))
+        source = counted.filter(F.col("subset").isin(list(children))).withColumn("__child", F.explode(F.element_at(lists, F.col("subset"))))
+        made = [i for own in children.values() for i in own]
+        kept = [F.when(F.col("__child").isin([i for i in made if c in members[i]]), named(c)).alias(c) if any(c in members[i] for i in made) else F.lit(None).cast(codes.schema[c].dataType).alias(c) for c in names]
+        rolled = source.select(F.col("__child").alias("subset"), *kept, "n_real", "n_fake").groupBy("subset", *[named(c) for c in names])
+        tables.append(stored(rolled.agg(F.sum("n_real").alias("n_real"), F.sum("n_fake").alias("n_fake"))))
+    result = tables[0]
+    for table in tables[1:]:
+        result = result.unionByName(table)
+    return result
 
 
-def subset_distances(codes: DataFrame, subsets: list[tuple[str, ...]], drop_code: bool = False,
-                     pre_collapse: bool = True) -> DataFrame:
+def subset_distances(codes: DataFrame, subsets: list[tuple[str, ...]], drop_code: bool = False) -> DataFrame:
     """Total variation distance per subset: (subset, k, columns, tvd).
 
     With `drop_code`, tuples holding a dropped code leave both the counts and the totals
     of their subset.
     """
     columns = sorted({c for subset in subsets for c in subset})
-    base, weight = (collapse(codes, columns), "w") if pre_collapse else (codes, None)
-    counts = joint_counts(base, subsets, weight)
+    counts = lattice_counts(codes, subsets)
     if drop_code:
         kinds = dict(counts.dtypes)
         marked = F.lit(False)
