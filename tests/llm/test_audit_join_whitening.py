@@ -122,6 +122,7 @@ def edited(draw, words, share):
 def test_join_equals_brute_force(spark, monkeypatch, frequent):
     monkeypatch.setattr(jaccardjoin, "FREQUENT", frequent)
     monkeypatch.setattr(skew, "LIGHT", 100)
+    monkeypatch.setattr(jaccardjoin, "BUCKET", 3000)
     draw, texts = random.Random(12), {}
     for _ in range(30):
         base = [f"w{draw.randrange(3000)}" for _ in range(draw.choice([8, 60, 400]))]
@@ -275,19 +276,23 @@ def test_deviations_beyond_a_long():
 
 @pytest.mark.parametrize("size", [1, 2, 3, 50])
 def test_shared_shingles_across_batches(size):
+    """Buckets that span batches, rows without a name, and negative buckets."""
     import pyarrow as pa
 
     draw = random.Random(size)
-    rows = [(draw.randrange(12), draw.choice([0, 0, 3]), draw.choice([None, 0, 0, 1, 2, 5])) for _ in range(60)]
-    rows = sorted([r for r in rows if r[2] is not None or r[1] == 0], key=lambda r: r[0])
+    rows = sorted(((draw.choice([-3, -1, 0, 0, 1, 4]), draw.choice([None, 0, 1, 2, 5]), draw.sample(range(2**40, 2**40 + 9), draw.randint(1, 3))) for _ in range(60)), key=lambda r: r[0])
+    rows = [(b, n, [t * 5 + b % 5 for t in ts]) for b, n, ts in rows if n is not None or b >= 0]
     batches = [
-        pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.int64())], names=["token", "salt", "name"])
+        pa.RecordBatch.from_arrays([
+            pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int64()),
+            pa.array([b"".join(t.to_bytes(6, "little") for t in r[2]) for r in part], pa.binary()),
+        ], names=["bucket", "name", "tokens"])
         for part in (rows[i : i + size] for i in range(0, len(rows), size))
     ]
     found = {(r["token"], r["name"]) for b in jaccardjoin.keep_shared(iter(batches)) for r in b.to_pylist()}
-    rare = {}
-    for token, salt, name in rows:
-        if salt == 0:
-            rare.setdefault(token, set()).add(name)
-    expected = {(t, n) for t, names in rare.items() for n in names if n is not None and len(names) > 1}
-    assert found == expected | {(t, n) for t, s, n in rows if s > 0}
+    met = {}
+    for bucket, name, tokens in rows:
+        for t in tokens if bucket >= 0 else ():
+            met.setdefault((bucket, t), set()).add(name)
+    expected = {(t, n) for (_, t), names in met.items() for n in names if n is not None and len(names) > 1}
+    assert found == expected | {(t, n) for b, n, tokens in rows if b < 0 for t in tokens}

@@ -2,7 +2,7 @@
 
 Texts with the same words are one node.  The shingles of all nodes meet in one
 shuffle; those of a single node can be in no intersection, so only the others travel on
-(a shingle that is frequent inside a batch is spread over salts on the way).
+(packed by buckets; a shingle that is frequent inside a batch is spread over salts).
 A node's shingles are ordered by rising document frequency.  If two sets meet the
 threshold, the first  n - ceil(required share of n) + l  shingles of each hold l common
 ones; the smaller set needs the share 2t / (1 + t), the larger the share t.  Every node
@@ -50,7 +50,9 @@ MOST, VERIFY = 4, 8
 #: A shingle that so many documents of a batch hold is spread over salts.
 FREQUENT, SALTS = 16, 256
 #: Two sets of 500 shingles share one by mistake with a probability of 1e-9.
-TOKEN_BITS = 48
+TOKEN_BYTES = 6
+#: Shingles of a bucket, on average; a task holds one bucket at a time.
+BUCKET = 1 << 21
 #: Texts that a task remembers.
 KEPT = 200_000
 _COEFFICIENTS = np.random.default_rng(12).integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
@@ -72,7 +74,7 @@ def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     total = np.full(len(words) - size + 1, size, np.uint64)
     for i in range(size):
         total += each[i : len(words) - size + 1 + i] * _COEFFICIENTS[i]
-    found = np.sort(_mixed(total) >> np.uint64(64 - TOKEN_BITS)).view(np.int64)
+    found = np.sort(_mixed(total) >> np.uint64(64 - 8 * TOKEN_BYTES)).view(np.int64)
     return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
@@ -104,12 +106,12 @@ def named_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple
     raise RuntimeError("texts share a name under every seed")
 
 
-def postings(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
-    """(token, salt, name) for every shingle of every text that this task has not met yet.
+def postings(docs: DataFrame, text_col: str, width: int, seed: int, buckets: int) -> DataFrame:
+    """(bucket, name, tokens) of every text that this task has not met yet: its shingles of a bucket, six bytes each.
 
-    Salt 0 holds the shingles that are rare in their batch.  The others carry a salt by
-    text, and leave a row without a name at salt 0, so that their other rows there count
-    as shared as well.
+    Shingles that are frequent in a batch are shared for certain.  They go to negative
+    buckets by text, and a row without a name tells their own bucket, so that their
+    other rows there count as shared as well.
     """
     ready(docs.sparkSession)
 
@@ -129,55 +131,84 @@ def postings(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame
                     sets.append(shingles(words, width))
             if not names:
                 continue
-            token, named = np.concatenate(sets), np.repeat(np.array(names, np.int64), [len(s) for s in sets])
+            token, text_of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             order = np.sort(token)
             ends = order[FREQUENT - 1 :]
             frequent = np.unique(ends[ends == order[: len(ends)]])
-            salt = np.where(np.isin(token, frequent), named % SALTS + 1, 0)
+            named = np.array(names, np.int64)
+            bucket = np.where(np.isin(token, frequent), -1 - named[text_of] % SALTS, token % buckets)
+            token, bucket = np.concatenate([token, frequent]), np.concatenate([bucket, frequent % buckets])
+            text_of = np.concatenate([text_of, np.full(len(frequent), len(names))])
+            order = np.lexsort((text_of, bucket))
+            token, bucket, text_of = token[order], bucket[order], text_of[order]
+            starts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (text_of[1:] != text_of[:-1])]))
+            offsets = (np.append(starts, len(token)) * TOKEN_BYTES).astype(np.int32)
+            packed = token.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
+            owner = text_of[starts]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([token, frequent])), pa.array(np.concatenate([salt, np.zeros(len(frequent), np.int64)]).astype(np.int32)),
-                    pa.concat_arrays([pa.array(named), pa.nulls(len(frequent), pa.int64())]),
+                    pa.array(bucket[starts].astype(np.int32)), pa.array(np.append(named, 0)[owner], mask=owner == len(names)),
+                    pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]),
                 ],
-                names=["token", "salt", "name"],
+                names=["bucket", "name", "tokens"],
             )
 
-    return docs.select(text_col).mapInArrow(run, "token long, salt int, name long")
+    return docs.select(text_col).mapInArrow(run, "bucket int, name long, tokens binary")
+
+
+def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all rows after one another, and how many each row has."""
+    rows = column.to_pylist()
+    wide = np.zeros((sum(map(len, rows)) // TOKEN_BYTES, 8), np.uint8)
+    wide[:, :TOKEN_BYTES] = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, TOKEN_BYTES)
+    return wide.reshape(-1).view("<i8"), np.fromiter(map(len, rows), np.int64, len(rows)) // TOKEN_BYTES
 
 
 def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, name) of the shingles of two texts or more, from (token, salt, name) rows sorted by shingle.
+    """(token, name) of the shingles of two texts or more, from (bucket, name, tokens) rows sorted by bucket.
 
-    Works on a stream: of the last shingle of a batch one row is carried on, and whether
-    that shingle is shared already.  A name may come twice.
+    Holds one bucket at a time.  A name may come twice.
     """
     release()
-    token, name, known = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    names = ["token", "name"]
+
+    def shared(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        token, name, blank = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(token)
+        token, name, blank = token[order], name[order], blank[order]
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        several = (np.minimum.reduceat(name, starts) != np.maximum.reduceat(name, starts)) | np.logical_or.reduceat(blank, starts)
+        out = np.repeat(several, np.diff(np.append(starts, len(token)))) & ~blank
+        return pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(name[out])], names=names)
+
+    held, at = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        salted = batch.column(1).to_numpy() > 0
-        more, names, blank = batch.column(0).to_numpy(), batch.column(2).fill_null(0).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
-        frequent = (more[salted], names[salted])
-        carried = len(token)
-        token, name = np.concatenate([token, more[~salted]]), np.concatenate([name, names[~salted]])
-        blank = np.concatenate([np.full(carried, known), blank[~salted]])  # shared whatever else there is
-        if len(token):
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            shared = (np.minimum.reduceat(name, starts) != np.maximum.reduceat(name, starts)) | np.logical_or.reduceat(blank, starts)
-            out = np.repeat(shared, np.diff(np.append(starts, len(token)))) & ~blank
-            found = (token[out], name[out])
-            # a row that waited in vain leaves with its own shingle's next rows; what is left of the last shingle waits
-            token, name, known = token[-1:], name[starts[-1] : starts[-1] + 1], bool(shared[-1])
-        else:
-            found = (token, name)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(frequent, found, strict=True)], names=["token", "name"])
-
-
-def shared_tokens(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
-    """(token, name) of the shingles that more than one text has, some of them more than once."""
-    rows = postings(docs, text_col, width, seed).repartition("token", "salt").sortWithinPartitions("token")
-    return stored(rows.mapInArrow(keep_shared, "token long, name long"), "shingles")
+        token, sizes = _unpack(batch.column(2))
+        bucket = np.repeat(batch.column(0).to_numpy(), sizes)
+        name, blank = np.repeat(batch.column(1).fill_null(0).to_numpy(), sizes), np.repeat(batch.column(1).is_null().to_numpy(zero_copy_only=False), sizes)
+        sure = bucket < 0
+        if sure.any():
+            yield pa.RecordBatch.from_arrays([pa.array(token[sure]), pa.array(name[sure])], names=names)
+            bucket, token, name, blank = bucket[~sure], token[~sure], name[~sure], blank[~sure]
+        if not len(bucket):
+            continue
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+            if bucket[a] != at and held:
+                yield shared(held)
+                held = []
+            at = bucket[a]
+            held.append((token[a:b], name[a:b], blank[a:b]))
+    if held:
+        yield shared(held)
+
+
+def shared_tokens(docs: DataFrame, text_col: str, width: int, seed: int, total: int) -> DataFrame:
+    """(token, name) of the shingles that more than one text has, some of them more than once; `total` bounds their number."""
+    rows = postings(docs, text_col, width, seed, 1 + total // BUCKET)
+    return stored(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(keep_shared, "token long, name long"), "shingles")
 
 
 def _least(n: Column, share: tuple[int, int]) -> Column:
@@ -281,7 +312,8 @@ def similarity_components(docs: DataFrame, near: tuple[int, int] = NEAR, width:
     """(id, n_shingles, component_id): the smallest id reachable through links, for every row."""
     rows, seed = named_rows(docs, id_col, text_col, width)
     kinds = rows.groupBy("name", "n").agg(F.min("id").alias("id"))
-    tokens = shared_tokens(docs, text_col, width, seed).join(kinds.select("name", "n"), "name")
+    total = kinds.agg(F.sum("n")).first()[0] or 0
+    tokens = shared_tokens(docs, text_col, width, seed, total).join(kinds.select("name", "n"), "name")
     nodes = eligible(tokens.select("name", "n", F.col("token").alias("t")), near)
     # what is shared with texts that cannot be linked does not count
     sets = eligible(recount(nodes), near)
