@@ -114,14 +114,15 @@ def test_stage_on_odd_rows(spark, docs, folder, index):
         assert {r.text for r in rows if r.doc_id == 3} == {None}
     if name == "simhash_near_dedup":
         kept = [r.doc_id for r in rows]
-        assert 2 not in kept and {1, 3, 6, 7, 8, 9, 10} <= set(kept) and not {4, 5} & set(kept) and kept.count(None) == 2
+        assert sorted(kept, key=str) == sorted([1, 3, 6, 7, 8, 9, 10, None], key=str)  # the row without an id whose text is another's stays, the empty one goes
     if name == "pii":
         assert "mail me at [EMAIL] or [PHONE]" in {r.text for r in rows}
 
 
 def test_pipeline_equals_its_stages(spark):
     """Each stage against a plain version of what it decides, on its own input."""
-    from test_texts import plain_components, plain_fingerprint, plain_hits
+    from test_near_copies import plain_roots
+    from test_texts import plain_hits
 
     where = "/root/testdata/sf0.001"
     stages = dict(pipeline().STAGES)
@@ -131,8 +132,7 @@ def test_pipeline_equals_its_stages(spark):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in scores.where("score < 0.5").collect()}
     rows = {r.doc_id: r.text or "" for r in clean.collect()}
     single = stages["simhash_near_dedup"](spark, clean, where).cache()
-    components = plain_components([(i, plain_fingerprint(t)) for i, t in rows.items()])
-    assert {r.doc_id for r in single.collect()} == set(components.values())
+    assert {r.doc_id for r in single.collect()} == set(plain_roots(rows)[0].values())  # five words, 0.8
     cut = stages["benchmark_decontamination"](spark, single, where).cache()
     items = [(r.item_id, r.text or "") for r in spark.read.parquet(f"{where}/benchmark.parquet").collect()]
     before, after = ({r.doc_id: r.text for r in t.collect()} for t in (single, cut))

@@ -3,10 +3,8 @@
 import itertools
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
-from veritab.llm import shingles
 
 
 def plain_set(text):
@@ -36,24 +34,6 @@ def edited(draw, words, share):
     return [f"new{draw.random()}" if draw.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("crowd", [16, 3])
-def test_components_equal_brute_force(spark, monkeypatch, crowd):
-    monkeypatch.setattr(shingles, "CROWD", crowd)
-    draw, texts = random.Random(8), {}
-    for _ in range(40):
-        base = [f"w{draw.randrange(3000)}" for _ in range(draw.choice([8, 60, 400]))]
-        for share in (0, 0, 0.01, 0.02, 0.03, 0.1):
-            texts[len(texts)] = " ".join(edited(draw, base, share))
-    common = [f"c{i}" for i in range(300)]
-    for k in range(60):
-        texts[len(texts)] = " ".join(edited(draw, common, 0.004) + [f"own{k}"])
-    texts |= {9000: "", 9001: " \n", 9002: None, 9003: "Two words", 9004: "two  WORDS"}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    expected, pairs = plain_roots(texts)
-    assert len(pairs) > 100
-    assert {r.doc_id: r.component_id for r in shingles.near_copies(docs).collect()} == expected
-
-
 def test_stage_drops_edited_copies(spark):
     """A copy with one word in fifty changed lies far outside two bits of a fingerprint, and has to go."""
     import corpus_pipeline
@@ -71,3 +51,31 @@ def test_stage_equals_brute_force(spark):
     expected, _ = plain_roots({r.doc_id: r.text for r in docs.collect()})
     kept = corpus_pipeline.drop_copies(spark, docs, "").select(F.col("doc_id")).collect()
     assert {r.doc_id for r in kept} == set(expected.values())
+
+
+def test_templates_lose_no_link(spark):
+    """Texts of one template with few words of their own: every group found, one row of each stays."""
+    from veritab.llm import jaccardjoin
+
+    draw = random.Random(21)
+    common = [f"c{i}" for i in range(40)]
+    texts = {}
+    for k in range(700):
+        # seventy groups over the template, some of their members too far from the others
+        own = [f"g{k % 70}x{i}" for i in range(9)] + [f"o{draw.random()}" for _ in range(draw.choice([0, 1, 3, 8, 16]))]
+        texts[k] = " ".join(common + own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    expected, pairs = plain_roots(texts)
+    assert len(pairs) > 1000 and 70 <= len(set(expected.values())) < 600
+    assert {r.doc_id for r in jaccardjoin.keep_first(docs).collect()} == set(expected.values())
+
+
+def test_rows_that_repeat_and_rows_without_an_id(spark):
+    from veritab.llm import jaccardjoin
+
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(None, long), (None, long), (7, long + " x"), (7, long + " x"), (None, "only here now"), (None, "Only  here now"), (3, "a b c d e f"), (3, "other words of the same id")]
+    docs = spark.createDataFrame([(i, t, k, "n") for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int, name string")
+    found = jaccardjoin.keep_first(docs)
+    assert found.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text.lower().replace("  ", " ")) for r in found.collect()) == sorted([("7", long + " x"), ("None", "only here now"), ("3", "a b c d e f"), ("3", "other words of the same id")])

@@ -255,7 +255,7 @@ def test_links_reach_what_brute_force_reaches(spark, monkeypatch, crowd):
                 word ^= 1 << draw.randrange(64 if group % 2 else 20)
             words.append((len(words), word))
     words += [(len(words) + k, draw.getrandbits(64)) for k in range(200)]
-    table = spark.createDataFrame([(i, simhash._signed(w)) for i, w in words], "id long, word long")
+    table = spark.createDataFrame([(i, simhash.signed(w)) for i, w in words], "id long, word long")
     nodes = table.groupBy("word").agg(F.min("id").alias("id")).select("word", F.struct(F.lit(False).alias("unnamed"), "id", "word").alias("node"))
     roots = components(simhash.links(nodes))
     found = nodes.join(roots, nodes["node"] == roots["v"], "left").select("word", F.coalesce("root.id", "node.id").alias("c"))

@@ -29,14 +29,16 @@ if two texts share one).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from veritab.llm import simhash
 from veritab.llm.common import map_batches, ready, release, stored, utf8
 from veritab.llm.graph import components
 from veritab.llm.skew import heavy_keys, salted_join
@@ -82,27 +84,26 @@ def _name(words: list[bytes], seed: int) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words), seed) - (1 << 63)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
-    """(id, name, other, n) of every row: two names of its words and the number of its shingles."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, mark: Callable[[bytes], int] | None = None) -> DataFrame:
+    """(id, name, other, n, mark) of every row: two names of its words, the number of its shingles and what `mark` gives of its text."""
 
     def work(batch: pa.RecordBatch):
         rows = []
         for text in utf8(batch.column(1)):
             words = text.lower().split()
-            rows.append((_name(words, seed), _name(words, seed + (1 << 32)), len(shingles(words, width))))
-        columns = [pa.array(x, pa.int64()) for x in (zip(*rows) if rows else ((), (), ()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "name", "other", "n"])
+            rows.append((_name(words, seed), _name(words, seed + (1 << 32)), len(shingles(words, width)), mark(text) if mark else 0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]], names=["id", "name", "other", "n", "mark"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col)), work, f"id {kind}, name long, other long, n long")
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col)), work, f"id {kind}, name long, other long, n long, mark long")
 
 
-def named_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, int]:
-    """(id, name, n) with the seed of the names, chosen so that no two texts share one."""
+def named_rows(docs: DataFrame, id_col: str, text_col: str, width: int, mark: Callable[[bytes], int] | None = None) -> tuple[DataFrame, int]:
+    """(id, name, n, mark) with the seed of the names, chosen so that no two texts share one."""
     for seed in range(100):
-        rows = freeze(sketches(docs, id_col, text_col, width, seed))
+        rows = freeze(sketches(docs, id_col, text_col, width, seed, mark))
         if rows.groupBy("name").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low != high").isEmpty():
-            return rows.select("id", "name", "n"), seed
+            return rows.select("id", "name", "n", "mark"), seed
     raise RuntimeError("texts share a name under every seed")
 
 
@@ -308,9 +309,9 @@ def crossing_pairs(index: DataFrame, near: tuple[int, int]) -> DataFrame:
     return _pairs(met.where("x_top != y_top AND (x_top = x_main OR x_node < y_node)"), near)
 
 
-def similarity_components(docs: DataFrame, near: tuple[int, int] = NEAR, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id): the smallest id reachable through links, for every row."""
-    rows, seed = named_rows(docs, id_col, text_col, width)
+def _grouped(docs: DataFrame, near: tuple[int, int], width: int, id_col: str, text_col: str, mark: Callable[[bytes], int] | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (id, name, n, mark), the components of linked names (name, root), and the seed of the names."""
+    rows, seed = named_rows(docs, id_col, text_col, width, mark)
     kinds = rows.groupBy("name", "n").agg(F.min("id").alias("id"))
     total = kinds.agg(F.sum("n")).first()[0] or 0
     tokens = shared_tokens(docs, text_col, width, seed, total).join(kinds.select("name", "n"), "name")
@@ -324,7 +325,14 @@ def similarity_components(docs: DataFrame, near: tuple[int, int] = NEAR, width:
     placed = freeze(index.join(tops, "node", "left").withColumn("top", F.coalesce("top", "node")))
     links = freeze(links.unionByName(verified(crossing_pairs(placed, near), nodes, near)))
     tops = components(links).select(F.col("v").alias("node"), "root")
-    named = nodes.select("node", "name").join(tops, "node").join(kinds, "name")
+    return rows, nodes.select("node", "name").join(tops, "node").select("name", "root"), seed
+
+
+def similarity_components(docs: DataFrame, near: tuple[int, int] = NEAR, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id): the smallest id reachable through links, for every row."""
+    rows, linked, _ = _grouped(docs, near, width, id_col, text_col)
+    kinds = rows.groupBy("name").agg(F.min("id").alias("id"))
+    named = linked.join(kinds, "name")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     linked = named.join(least, "root").select("name", "component_id")
     found = kinds.join(linked, "name", "left").select("name", F.coalesce("component_id", "id").alias("component_id"))
@@ -332,3 +340,47 @@ def similarity_components(docs: DataFrame, near: tuple[int, int] = NEAR, width:
     return joined.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
+
+
+def keep_first(docs: DataFrame, near: tuple[int, int] = NEAR, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay if one row of every group of near copies does: that with the smallest id.
+
+    Texts are linked by operator 8, with fingerprints of shingles of this width and its
+    pivot tables, and by the similarity itself, which no two bits of a fingerprint reach.
+    Rows without an id stay only where no row of their group has one.  Texts without
+    words are one group.  Of rows that repeat both id and words one stays.
+    """
+    ready(docs.sparkSession)
+    rows, linked, seed = _grouped(docs, near, width, id_col, text_col, lambda text: simhash.signed(simhash.fingerprint(text, width, 42)))
+    prints = stored(rows.groupBy(F.col("mark").alias("word")).agg(F.min("name").alias("name")).select("word", "name", F.struct("name", "word").alias("node")), "prints")
+    hubs = linked.groupBy("root").agg(F.min("name").alias("b"))
+    edges = (
+        linked.join(hubs, "root").select(F.col("name").alias("a"), "b")
+        .union(simhash.links(prints).select("a.name", "b.name"))
+        .union(rows.select("name", F.col("mark").alias("word")).distinct().join(prints.select("word", F.col("name").alias("b")), "word").select("name", "b"))
+    )
+    linked = components(edges.where("a != b")).select(F.col("v").alias("name"), "root")
+    kinds = rows.groupBy("name", "id").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "name", "rows")).alias("first")
+    winners = (
+        kinds.join(linked, "name", "left")
+        .groupBy(F.when(F.col("root").isNull(), F.col("name")).alias("alone"), "root").agg(first)
+        .select(F.col("first.id").alias("_id"), F.col("first.name").alias("_name"), (F.col("first.rows") > 1).alias("_again"))
+    )
+    winners = freeze(winners)
+    columns = docs.columns
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            names = [_name(text.lower().split(), seed) for text in utf8(batch.column(text_col))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], names=[*columns, "_name"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_name", T.LongType())])
+    kept = docs.mapInArrow(name, schema).alias("d").join(winners.alias("w"), F.expr(f"d._name = w._name AND d.`{id_col}` <=> w._id")).select("d.*", "_again")
+    single = kept.where("NOT _again").select(*columns)
+    if winners.where("_again").isEmpty():
+        return single
+    packed = F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row")
+    again = kept.where("_again").groupBy("_name").agg(packed)  # a name wins with one id at most
+    return single.unionByName(again.select("row.*"))

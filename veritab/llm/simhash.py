@@ -40,7 +40,7 @@ CROWD = 64
 PATTERNS = 8
 
 
-def _signed(word: int) -> int:
+def signed(word: int) -> int:
     return word - (1 << 64) if word >> 63 else word
 
 
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
     """(id, word): the SimHash of every whole text as a signed long."""
 
     def work(batch: pa.RecordBatch):
-        words = [_signed(fingerprint(text, width, seed)) for text in utf8(batch.column(1))]
+        words = [signed(fingerprint(text, width, seed)) for text in utf8(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64())], names=[id_col, "word"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
 
 def distance_table(word: Column) -> Column:
     """Hamming distances to all reference fingerprints."""
-    return F.array(*[F.bit_count(word.bitwiseXOR(F.lit(_signed(r)))).cast("byte") for r in references()])
+    return F.array(*[F.bit_count(word.bitwiseXOR(F.lit(signed(r)))).cast("byte") for r in references()])
 
 
 def _keys(table: Column) -> Column:
@@ -104,7 +104,7 @@ def links(nodes: DataFrame) -> DataFrame:
     apart = F.array_max(F.zip_with("left", "right", lambda x, y: F.abs(x - y)))
     near = F.bit_count(F.col("a.word").bitwiseXOR(F.col("b.word"))) <= MAX_BITS
     pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (apart <= MAX_BITS) & near).select("a", "b")
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << i)) for i in range(64)])
     meeting = (
         shared.where(F.col("members") > CROWD)
         .select("node")
