@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import fmindex, pii, shingles, toxicity
+from veritab.llm import fmindex, jaccardjoin, pii, toxicity
 from veritab.llm.queries import bpe_digests, load, remainder
 from veritab.session import scratch_folder
 
@@ -29,13 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of texts that share four fifths of their five-word shingles.
-
-    Rows that repeat an id are one document; rows without an id stay.
-    """
-    found = shingles.near_copies(docs)
-    copies = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("kept")).where(~F.col("kept"))
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies: of equal words, or linked by a five-word Jaccard similarity of 0.8 or more."""
+    return jaccardjoin.keep_first(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
