@@ -19,9 +19,11 @@ length of the text.
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,12 +151,10 @@ _PARTS = re.compile(rf"plus|{_D}|{_DOT}|{_DASH}|[0-9]+|[+().-]| ", re.I)
 _PLUS = re.compile(r"(?<![A-Za-z0-9])plus[ -]{1,2}(?=[0-9])", re.I)
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])[ \t]{{1,2}}(?:{_DOT}|\.)[ \t]{{1,2}}(?=[0-9])", re.I)
 _LETTER_DIGITS = re.compile(r"(?<![A-Za-z0-9])[0-9OolI](?:[ .-]?[0-9OolI])++(?![A-Za-z])")
-_ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:[ \t]{{1,2}}(?:{_DOT})[ \t]{{1,2}}[A-Za-z0-9_%+-]++)*"
-    rf"(?:[ \t]{{1,2}}(?:{_AT})[ \t]{{1,2}}|[ \t]{{0,2}}@[ \t]{{0,2}})"
-    rf"[A-Za-z0-9-]++(?:(?:[ \t]{{1,2}}(?:{_DOT})[ \t]{{1,2}}|[ \t]\.[ \t]|\.)[A-Za-z0-9-]++)+",
-    re.I,
-)
+_AT_SIGN = re.compile(rf"[ \t]{{1,2}}(?:{_AT})(?=[ \t])|[ \t]{{0,2}}@", re.I)
+_ADDRESS_WORD = re.compile(r"[A-Za-z0-9._%+-]+")
+_DOT_WORD = re.compile(_DOT, re.I)
+_SPELLED_DOMAIN = re.compile(rf"[ \t]{{0,2}}[A-Za-z0-9-]++(?:(?:[ \t]{{1,2}}(?:{_DOT})[ \t]{{1,2}}|[ \t]\.[ \t]|\.)[A-Za-z0-9-]++)+", re.I)
 _ADDRESS_PARTS = re.compile(rf"[ \t]+(?:({_AT})|({_DOT}))[ \t]+|[ \t]*@[ \t]*|[ \t]\.[ \t]|[A-Za-z0-9_%+-]+|\.", re.I)
 
 
@@ -176,19 +176,22 @@ class Mapped:
 
     def rewrite(self, pattern: re.Pattern, output: Callable[[re.Match], list[tuple[str, int, int]] | None]) -> None:
         """Replace matches by pieces, each with the part of the match that it came from."""
+        self.replace((match.start(), match.end(), output(match)) for match in pattern.finditer(self.text))
+
+    def replace(self, found: Iterable[tuple[int, int, list[tuple[str, int, int]] | None]]) -> None:
+        """Replace stretches (start, end), in order and apart from each other, by their pieces; None leaves one as it is."""
         pieces, starts, ends, last = [], [], [], 0
-        for match in pattern.finditer(self.text):
-            made = output(match)
+        for start, end, made in found:
             if made is None:
                 continue
-            pieces.append(self.text[last : match.start()])
-            starts.append(self.starts[last : match.start()])
-            ends.append(self.ends[last : match.start()])
+            pieces.append(self.text[last:start])
+            starts.append(self.starts[last:start])
+            ends.append(self.ends[last:start])
             for piece, a, b in made:
                 pieces.append(piece)
                 starts.append(np.full(len(piece), self.starts[a]))
                 ends.append(np.full(len(piece), self.ends[b - 1]))
-            last = match.end()
+            last = end
         if last:
             self.starts = np.concatenate([*starts, self.starts[last:]])
             self.ends = np.concatenate([*ends, self.ends[last:]])
@@ -231,12 +234,42 @@ def _letter_digits(match: re.Match) -> list[tuple[str, int, int]] | None:
     return [({"O": "0", "o": "0", "l": "1", "I": "1"}.get(c, c), i, i + 1) for i, c in enumerate(text, match.start())]
 
 
-def _address(match: re.Match) -> list[tuple[str, int, int]] | None:
-    """Joins a spelled address.  A bare word for the at sign needs a disguised dot after it, or a local part that is no plain word."""
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of spelled addresses, found from their at signs outwards.
+
+    One pass over the words gives every word the start of the chain `word dot word ...`
+    that it ends, so an at sign knows its local part without looking back.
+    """
+    signs = _AT_SIGN.finditer(text)
+    sign = next(signs, None)
+    last: list[tuple[int, int, int]] = []  # start, end and start of the chain, of the two words before
+    done = 0
+    for word in _ADDRESS_WORD.finditer(text):
+        if sign is None:
+            return
+        start, end = word.span()
+        first = start
+        if len(last) == 2 and "." not in word[0]:
+            (_, before, chain), (dot, dot_end, _) = last
+            joined = all(0 < b - a <= 2 and not text[a:b].strip(" \t") for a, b in ((before, dot), (dot_end, start)))
+            if joined and _DOT_WORD.fullmatch(text, dot, dot_end):
+                first = chain
+        last = [*last[-1:], (start, end, first)]
+        while sign is not None and sign.start() < end:
+            sign = next(signs, None)
+        if sign is not None and sign.start() == end and start >= done:
+            domain = _SPELLED_DOMAIN.match(text, sign.end())
+            if domain:
+                first, done = first if first >= done else start, domain.end()
+                yield first, done
+
+
+def _address(found: str, start: int) -> list[tuple[str, int, int]] | None:
+    """Joins a spelled address that stands at `start`.  A bare word for the at sign needs a disguised dot after it, or a local part that is no plain word."""
     made, at_word, dots_after, local = [], False, False, ""
     seen_at = False
-    for part in _ADDRESS_PARTS.finditer(match[0]):
-        text, at, to = part[0], match.start() + part.start(), match.start() + part.end()
+    for part in _ADDRESS_PARTS.finditer(found):
+        text, at, to = part[0], start + part.start(), start + part.end()
         if "@" in text or part[1]:
             seen_at, at_word = True, bool(part[1])
             made.append(("@", at, to))
@@ -260,7 +293,7 @@ def normalise(text: str) -> Mapped | None:
     mapped.rewrite(_PLUS, lambda m: [("+", m.start(), m.end())])
     mapped.rewrite(_NUMBER_DOT, lambda m: [(".", m.start(), m.end())])
     mapped.rewrite(_LETTER_DIGITS, _letter_digits)
-    mapped.rewrite(_ADDRESS, _address)
+    mapped.replace([(a, b, _address(mapped.text[a:b], a)) for a, b in _addresses(mapped.text)])
     return None if mapped.text == text else mapped
 
 
@@ -269,7 +302,14 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     if mapped is None:
         return []
     found = {(kind, *mapped.source(start, end)) for kind, start, end in base_spans(mapped.text)}
-    return [s for s in found if not any(s[0] == kind and start <= s[1] and s[2] <= end for kind, start, end in base)]
+    # base spans of a kind do not overlap: only the last one that starts before a span can cover it
+    known = {kind: sorted((start, end) for k, start, end in base if k == kind) for kind in KINDS}
+
+    def covered(kind: str, start: int, end: int) -> bool:
+        at = bisect.bisect_right(known[kind], (start, math.inf)) - 1
+        return at >= 0 and known[kind][at][1] >= end
+
+    return [s for s in found if not covered(*s)]
 
 
 def ordered(spans: list[Span]) -> list[Span]:
