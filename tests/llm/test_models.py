@@ -137,3 +137,27 @@ def test_audit_of_odd_pages(spark):
     found = {(r.id, r.fault) for r in warc.audit(warc.tree(stored.where("id = 1")), warc.tree(stored.where("id <= 2"))).collect()}
     assert found == {(2, "extra")}
     assert warc.audit(warc.tree(stored.limit(0)), warc.tree(stored.limit(0))).count() == 0
+
+
+def test_small_tables_are_searched_whole(spark):
+    """Every candidate comes back where there are fewer than five, whatever the buckets; several lengths, huge and tiny entries."""
+    draw = np.random.default_rng(17)
+    rows = [(50 * i, (draw.normal(size=64) * 10.0 ** draw.choice([-200, 0, 200])).tolist()) for i in range(4)]
+    rows += [(5000 + 50 * i, draw.normal(size=100).tolist()) for i in range(3)] + [(9000, draw.normal(size=7).tolist())]
+    table = spark.createDataFrame([(i, v, 0, 1, "x", 2) for i, v in rows], "vec_id long, embedding array<double>, size int, code int, ids string, rank int")
+    found = {}
+    for r in crosspolytope.nearest(table, F.col("vec_id") % 50 == 0, tables=2, probes=1).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert {q: {i for i, _ in x} for q, x in found.items()} == {i: {j for j, w in rows if j != i and len(w) == len(v)} for i, v in rows if len(v) != 7}
+    vectors = dict(rows)
+    unit = lambda v: np.array(v) / np.abs(v).max() / np.linalg.norm(np.array(v) / np.abs(v).max())
+    assert all(abs(s - unit(vectors[q]) @ unit(vectors[i])) < 1e-12 for q, x in found.items() for i, s in x)
+
+
+def test_many_equal_scores_and_repeated_ids(spark):
+    """Scaled copies tie: the smallest ids come first; a row that repeats the query's id is not its neighbour."""
+    base = np.random.default_rng(3).normal(size=16)
+    rows = [(0, base.tolist())] + [(i, (base * 2.0**i).tolist()) for i in range(30, 0, -1)] + [(0, (-base).tolist()), (7, base.tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    best = {r["rank"]: r.vec_id for r in crosspolytope.nearest(table, F.col("vec_id") == 1).collect()}
+    assert best == {1: 0, 2: 2, 3: 3, 4: 4, 5: 5}
