@@ -354,3 +354,18 @@ def test_learnt_batches_equal_the_library(monkeypatch):
         found += [np.frombuffer(b"".join(both.encode(t)), "<u4").tolist() for t in data[i : i + 40]]
     library = Tokenizer.from_file(path)
     assert found == [e.ids for e in library.encode_batch(data, add_special_tokens=False)]
+
+
+def test_every_part_of_a_segment_is_guarded():
+    """One flipped bit in words, states, table or size is an error, never wrong ids."""
+    import dataclasses
+
+    tokens = (np.random.default_rng(9).pareto(1.2, 150_000) * 3).astype("<u4") % 5000
+    coded = rans.encode(tokens)
+    assert (rans.decode(coded) == tokens).all()
+    flip = lambda a: np.concatenate([a.reshape(-1)[:7], a.reshape(-1)[7:8] ^ 1, a.reshape(-1)[8:]]).reshape(a.shape)
+    damaged = [{"words": [flip(coded.words[0]), *coded.words[1:]]}, {"words": [coded.words[0][:-1], np.append(coded.words[0][-1:], coded.words[1]), *coded.words[2:]]}]
+    damaged += [{"states": flip(coded.states)}, {"symbols": flip(coded.symbols)}, {"frequencies": flip(coded.frequencies)}, {"size": coded.size - 1}, {"size": 3 * coded.size}]
+    for change in damaged:
+        with pytest.raises(ValueError):
+            rans.decode(dataclasses.replace(coded, **change))

@@ -5,7 +5,7 @@ ids in ascending order.  A task gathers the ids of about `SEGMENT` tokens into a
 segment: one frequency table for the segment, and blocks of `BLOCK` tokens that can be
 decoded apart from each other.  A block interleaves `LANES` coder states over one
 stream of 32-bit words; its final states and its place in the stream are its
-checkpoint, and a CRC-32 guards its words.  A segment is one row of the files, with
+checkpoint, and a CRC-32 guards its words and states together with the segment's table and size.  A segment is one row of the files, with
 the ids and lengths of its documents, or parts of documents.
 
 Reading.  Segments are decoded in parallel, all blocks of a segment together; lanes
@@ -90,14 +90,26 @@ def encode(tokens: np.ndarray) -> Coded:
         x = (whole << np.uint64(SCALE)) + (x - whole * f) + start[rank]
     low_words, written = (a.reshape(steps, blocks, LANES) for a in (low_words, written))
     words = [low_words[:, b][written[:, b]] for b in range(blocks)]
-    return Coded(symbols, frequencies, len(tokens), words, x.reshape(blocks, LANES), [zlib.crc32(w.tobytes()) for w in words])
+    states = x.reshape(blocks, LANES)
+    head = checksum(symbols, frequencies, np.array([len(tokens)]))
+    return Coded(symbols, frequencies, len(tokens), words, states, [checksum(s, w, start=head) for s, w in zip(states, words, strict=True)])
+
+
+def checksum(*arrays: np.ndarray, start: int = 0) -> int:
+    """CRC-32 of arrays after one another, each as eight-byte numbers."""
+    for array in arrays:
+        start = zlib.crc32(np.ascontiguousarray(array, "<u8").tobytes(), start)
+    return start
 
 
 def decode(coded: Coded) -> np.ndarray:
-    """The tokens of a segment."""
+    """The tokens of a segment; whatever was changed of it is an error."""
     blocks, steps = shape(coded.size)
-    for block, (words, check) in enumerate(zip(coded.words, coded.checks, strict=True)):
-        if zlib.crc32(words.tobytes()) != check:
+    if not blocks == len(coded.words) == len(coded.states) == len(coded.checks):
+        raise ValueError("the segment does not have as many blocks as its size asks for")
+    head = checksum(coded.symbols, coded.frequencies, np.array([coded.size]))
+    for block, (words, states, check) in enumerate(zip(coded.words, coded.states, coded.checks, strict=True)):
+        if checksum(states, words, start=head) != check:
             raise ValueError(f"block {block} does not match its checksum")
     freq = coded.frequencies.astype(np.uint64)
     start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
