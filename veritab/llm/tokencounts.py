@@ -100,14 +100,17 @@ class PieceEncoder:
         """For each text, the kept values of its pieces in order."""
         for group in by_bytes(data, self.batch_bytes):
             split = [text.split() for text in group]
-            values = [list(map(self.known.get, pieces)) for pieces in split]
-            missing = {p for pieces, found in zip(split, values, strict=True) if None in found for p, v in zip(pieces, found, strict=True) if v is None}
-            learnt = self.learn(missing)
-            for pieces, found in zip(split, values, strict=True):
-                yield [learnt[p] if v is None else v for p, v in zip(pieces, found, strict=True)] if None in found else found
-            if len(self.known) + len(learnt) > REMEMBERED:
+            pieces = set().union(*split)
+            missing = pieces.difference(self.known)
+            if len(self.known) + len(missing) > REMEMBERED:
                 self.known.clear()
-            self.known.update((p, v) for p, v in learnt.items() if len(p) <= SHORT)
+                missing = pieces
+            self.known.update(self.learn(missing))
+            for pieces in split:
+                yield list(map(self.known.__getitem__, pieces))
+            for piece in missing:
+                if len(piece) > SHORT:
+                    del self.known[piece]
 
 
 def encoder(path: str, kind: str, keep, join) -> PieceEncoder:
