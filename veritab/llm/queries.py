@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +31,9 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def vocabulary(name: str) -> str:
     """The file of a public tokenizer; the same path on every machine."""
-    return public_tokenizers.path(name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 @query("op9_token_counts")
