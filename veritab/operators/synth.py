@@ -562,15 +562,16 @@ def split_metadata(parts: DataFrame, target: str) -> DataFrame:
 
 
 def split_by_seed(df: DataFrame, keys: list[str], train: int, valid: int, seeds: list[int]) -> DataFrame:
-    """Per seed a train subset, a validation subset (the rest if smaller) and the remaining test rows."""
-    result = None
-    for seed in seeds:
-        parts = cut_by_hash(
-            df, keys, seed,
-            lambda n: [("train", F.least(n, F.lit(train))), ("valid", F.least(n, F.lit(train + valid))), ("test", n)],
-        ).withColumn("seed", F.lit(seed))
-        result = parts if result is None else result.unionByName(parts)
-    return result
+    """Per seed a train subset, a validation subset (the rest if smaller) and the remaining test rows.
+
+    A seed is a stratum of the rows repeated for each, so one histogram holds the cuts of
+    all seeds.
+    """
+    repeated = df.withColumn("seed", F.explode(F.array(*[F.lit(seed) for seed in seeds])))
+    return cut_by_hash(
+        repeated, [*keys, "seed"], 0,
+        lambda n: [("train", F.least(n, F.lit(train))), ("valid", F.least(n, F.lit(train + valid))), ("test", n)], strata=["seed"],
+    )
 
 
 def demo_sample(df: DataFrame, keys: list[str], n: int = 100, seed: int = 0) -> DataFrame:
