@@ -121,3 +121,16 @@ def test_boosted_classes_of_vectors(spark):
     table = spark.range(400).select((i * 37 % 101).cast("double").alias("m"), (i % 4).cast("string").alias("c"), F.when(i * 37 % 101 < 40, "u").when(i % 4 == 0, "v").otherwise("w").alias("t"))
     scores = {r.scorer: r.score for r in efficacy.efficacy_test(table, table, "t", "xgb", ["accuracy"]).collect()}
     assert scores["accuracy"] == 1.0
+
+
+def test_macro_auc_of_many_classes(spark):
+    """Twenty classes against every pair ranked by itself."""
+    draw = np.random.default_rng(2)
+    rows = [(float(k % 19), draw.integers(0, 9, 20).astype(float).tolist()) for k in range(200)]  # the last class has no rows
+    table = spark.createDataFrame(rows, "label double, probability array<double>")
+    found = []
+    for one in range(19):
+        for other in set(range(19)) - {one}:
+            mine, theirs = ([p[one] for y, p in rows if y == c] for c in (one, other))
+            found.append(np.mean([(a > b) + (a == b) / 2 for a in mine for b in theirs]))
+    assert efficacy.macro_auc(table, 20).first()["auc"] == pytest.approx(np.mean(found))

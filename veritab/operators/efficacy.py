@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from itertools import combinations
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier,
@@ -229,17 +228,21 @@ def score_predictions(predictions: DataFrame, scorers: list, task: str = "classi
 
 
 def macro_auc(predictions: DataFrame, classes: int) -> DataFrame:
-    """One-vs-one AUC averaged over class pairs and both directions; one grouped pass."""
-    entries = []
-    for a, b in combinations(range(classes), 2):
-        for one, other in ((a, b), (b, a)):
-            member = F.col("label").isin(float(one), float(other))
-            entries.append(F.when(member, F.struct(
-                F.lit(f"{one}-{other}").alias("pair"), F.get("probability", F.lit(one)).alias("score"),
-                (F.col("label") == float(one)).cast("int").alias("positive"),
-            )))
-    rows = predictions.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*")
-    return rank_auc(rows, ["pair"]).agg(F.avg("auc").alias("auc"))
+    """One-vs-one AUC averaged over class pairs and both directions.
+
+    A row gives its score for each class once.  The rows of every label below a score are
+    running sums over the distinct scores of a class, and all pairs are rank sums of them.
+    """
+    labels = range(classes)
+    scores = predictions.select("label", F.posexplode("probability").alias("one", "score")).filter(F.col("one") < classes)
+    counts = scores.groupBy("one", "score").agg(*[F.count_if(F.col("label") == float(c)).alias(f"n{c}") for c in labels])
+    placed = running_totals(counts, ["one"], ["score"], [f"n{c}" for c in labels])
+    own = F.get(F.array(*[F.col(f"n{c}") for c in labels]), F.col("one"))
+    wins = [F.sum(own * (F.col(f"running_n{c}") - F.col(f"n{c}") / 2)) for c in labels]
+    sums = placed.groupBy("one").agg(F.array(*wins).alias("wins"), F.array(*[F.sum(f"n{c}") for c in labels]).alias("sizes"))
+    pairs = sums.select("one", F.get("sizes", F.col("one")).alias("own"), F.posexplode(F.arrays_zip("wins", "sizes")).alias("other", "e"))
+    auc = F.col("e.wins") / F.nullif(F.col("own") * F.col("e.sizes"), F.lit(0))
+    return pairs.filter("one <> other").agg(F.avg(auc).alias("auc"))
 
 
 # ---------------------------------------------------------------- efficacy L1, L5, L6
