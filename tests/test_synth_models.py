@@ -81,6 +81,16 @@ def test_dependency_rules(spark):
     assert ruled.filter("x < 70").select("c").distinct().count() == 1  # lowest quarter, first category
 
 
+def test_dependencies_do_not_depend_on_the_vocabulary_path(spark, monkeypatch):
+    """Literals and joins give the same rows."""
+    base = spark.range(200).select("id", (F.col("id") * 1.0).alias("x"), (F.col("id") % 4).cast("string").alias("c"), (F.col("id") % 9).cast("string").alias("d"))
+    meta = profile.schema_metadata(base.drop("id"), categorical=["c", "d"])
+    rules = [("c", "d"), ("x", "c"), ("d", "x")]
+    first = synth.inject_dependencies(base, meta, ["id"], rules=rules, seed=1).orderBy("id").collect()
+    monkeypatch.setattr(synth, "LITERAL_CATEGORIES", 0)
+    assert synth.inject_dependencies(base, meta, ["id"], rules=rules, seed=1).orderBy("id").collect() == first
+
+
 def test_privacy_values(spark):
     mechanisms = spark.createDataFrame([("full", 1.0, 2.0, 10), ("sampled", 0.01, 1.0, 1000), ("none", 0.0, 1.0, 5)], "dataset string, q double, sigma double, steps int")
     got = {r["dataset"]: r for r in privacy.privacy_ledger(mechanisms, 1e-5).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections.abc import Callable
@@ -120,7 +121,6 @@ def inject_dependencies(
     Without `noise`, number-to-number and category-to-number rules are exact.
     """
     rules = rules if rules is not None else draw_rules([*metadata.numeric, *metadata.sizes], count, seed)
-    generator = random.Random(seed + 1)
     key_columns = [named(k) for k in keys]
     lists = category_lists(metadata, [c for c, size in metadata.sizes.items() if size <= LITERAL_CATEGORIES])
     for step, (source, target) in enumerate(rules):
@@ -132,7 +132,7 @@ def inject_dependencies(
         if target in metadata.numeric:
             low, high, kind = metadata.numeric[target]
             if source in metadata.numeric:
-                alpha = generator.uniform(0.6, 1.4) if noise else 1.0
+                alpha = random.Random(salt).uniform(0.6, 1.4) if noise else 1.0
                 shift = 0.08 * seeded_normal(salt, *key_columns) if noise else F.lit(0.0)
                 value = F.lit(low) + F.lit(high - low) * clip(F.lit(alpha) * F.col("__u") + shift, 0.0, 1.0)
             else:
@@ -156,10 +156,6 @@ def inject_dependencies(
             else:
                 df = with_code(df, source, metadata, lists, "__code")
                 df = df.withColumn("__pick", F.pmod(F.col("__code"), F.lit(size)).cast("int"))
-                if target in lists:
-                    places = list(range(size))
-                    generator.shuffle(places)
-                    df = df.withColumn("__pick", F.get(literal_array(places, "int"), F.col("__pick")))
             df = with_category(df.drop(target), target, "__pick", metadata, lists, shuffle_seed=None if source in metadata.numeric else salt)
         # frozen after each rule: the next one reads the frame several times
         df = freeze(df.select(*[named(c) for c in order]))
@@ -180,15 +176,17 @@ def with_code(df: DataFrame, column: str, metadata: SchemaMetadata, lists: dict[
 def with_category(df: DataFrame, column: str, code: str, metadata: SchemaMetadata, lists: dict[str, list[str]], shuffle_seed: int | None = None) -> DataFrame:
     """Category at a position: a literal for small vocabularies, else a join by position.
 
-    For a large vocabulary `shuffle_seed` permutes the positions by a hash order.
+    `shuffle_seed` puts the categories in the order of a digest, the same in both ways.
     """
     if column in lists:
-        return df.withColumn(column, F.get(literal_array(lists[column], "string"), F.col(code)))
+        words = lists[column]
+        if shuffle_seed is not None:
+            words = sorted(words, key=lambda v: (hashlib.md5(f"{shuffle_seed}:{v}".encode()).hexdigest(), v.encode()))
+        return df.withColumn(column, F.get(literal_array(words, "string"), F.col(code)))
     values = metadata.categories.filter(F.col("column") == column).withColumn("one", F.lit(1))
-    order = "value" if shuffle_seed is None else "__order"
     if shuffle_seed is not None:
-        values = values.withColumn("__order", seeded_hash(shuffle_seed, F.col("value")))
-    table = running_totals(values, ["column"], [order], ["one"]).select(
+        values = values.withColumn("__order", F.md5(F.concat_ws(":", F.lit(str(shuffle_seed)), "value").cast("binary")))
+    table = running_totals(values, ["column"], ["value"] if shuffle_seed is None else ["__order", "value"], ["one"]).select(
         (F.col("running_one") - 1).cast("int").alias(code), F.col("value").alias(column)
     )
     return df.join(table, code, "left")
