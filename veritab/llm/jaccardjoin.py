@@ -53,8 +53,9 @@ MOST, VERIFY = 4, 8
 FREQUENT, SALTS = 16, 256
 #: Two sets of 500 shingles share one by mistake with a probability of 1e-9.
 TOKEN_BYTES = 6
-#: Shingles of a bucket, on average; a task holds one bucket at a time.
-BUCKET = 1 << 21
+#: Shingles of a bucket, on average, as a task holds one bucket at a time; and the least number of buckets, so that a text
+#: is cut into as many rows in a small table.
+BUCKET, BUCKETS = 1 << 21, 64
 #: Texts that a task remembers.
 KEPT = 200_000
 _COEFFICIENTS = np.random.default_rng(12).integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
@@ -208,7 +209,7 @@ def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_tokens(docs: DataFrame, text_col: str, width: int, seed: int, total: int) -> DataFrame:
     """(token, name) of the shingles that more than one text has, some of them more than once; `total` bounds their number."""
-    rows = postings(docs, text_col, width, seed, 1 + total // BUCKET)
+    rows = postings(docs, text_col, width, seed, max(BUCKETS, 1 + total // BUCKET))
     return stored(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(keep_shared, "token long, name long"), "shingles")
 
 
