@@ -118,6 +118,30 @@ def test_scores(spark):
     assert efficacy.score_predictions(one, ["auc"], compat_zero=True).first()["score"] == 0.0
 
 
+def test_predictions_are_made_once(spark):
+    """Every scorer reads the same rows; the model that gives them runs once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    kinds = "label double, prediction double, probability array<double>"
+    rows = spark.createDataFrame([(float(i % 2), float(i % 3 == 0), [i / 10, 1 - i / 10]) for i in range(10)], kinds).mapInArrow(counted, kinds)
+    assert len(efficacy.score_predictions(rows, ["f1", "auc", "accuracy"]).collect()) == 3
+    assert made.value == 10
+
+
+def test_models_share_features(table, monkeypatch):
+    calls, prepare = [], efficacy.prepare
+    monkeypatch.setattr(efficacy, "prepare", lambda *a, **k: calls.append(1) or prepare(*a, **k))
+    tables = runner.Tables(table, table, table)
+    for model in ("tree", "logistic"):
+        assert runner.run_metric(tables, "efficacy_test", model=model, scorer="accuracy", target="c").filter("scorer = 'accuracy'").count() == 2
+    assert len(calls) == 2
+
+
 def test_efficacy_learns(table):
     scored = efficacy.efficacy_test(table, table, "c", "tree", ["accuracy"]).first()
     assert scored["score"] > 0.95

@@ -55,12 +55,17 @@ class Tree:
     value: np.ndarray
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
+        """The leaf value of every row.  All rows go down together; a leaf leads to itself."""
+        inner, own = self.feature >= 0, np.arange(len(self.feature))
+        feature, border = np.where(inner, self.feature, 0), np.where(inner, self.border, np.inf)
+        follow = np.stack([np.where(inner, self.left, own), np.where(inner, self.right, own)], axis=1)
+        flat, start, open_nodes, next_of = x.ravel(), np.arange(len(x)) * x.shape[1], own[:1][inner[:1]], follow.ravel()
         at = np.zeros(len(x), np.int64)
-        rows = np.arange(len(x))
-        while len(rows := rows[self.feature[at[rows]] >= 0]):
-            node = at[rows]
-            low = x[rows, self.feature[node]] <= self.border[node]
-            at[rows] = np.where(low, self.left[node], self.right[node])
+        while len(open_nodes):
+            low = flat[start + feature[at]] <= border[at]
+            at = next_of[2 * at + ~low]
+            open_nodes = follow[open_nodes].ravel()
+            open_nodes = open_nodes[inner[open_nodes]]
         return self.value[at]
 
 
@@ -242,8 +247,9 @@ def predict(rows: DataFrame, features: list[Column], keep: list[str], model: lis
                 for k, tree in enumerate(trees):
                     margin[:, k] += tree(x)
             p = probabilities(margin)
+            ends = pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(kept)], pa.array(p.argmax(axis=1).astype(float)), pa.array(list(p), pa.list_(pa.float64()))],
+                [*batch.columns[: len(kept)], pa.array(p.argmax(axis=1).astype(float)), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))],
                 names=[*kept, "prediction", "probability"],
             )
 

@@ -21,7 +21,7 @@ from veritab.operators.clean import drop_infinite, drop_null_target
 from veritab.operators.features import fit_features, transform_features
 from veritab.operators.ranks import cut_by_hash, running_totals
 from veritab.operators.sides import ColumnTypes, text_of, types_by_dtype
-from veritab.session import freeze
+from veritab.session import freeze, stored
 
 LABEL, FEATURES, WEIGHT = "__label", "__features", "__weight"
 CLASSIFIERS = ["logistic", "tree", "xgb", "mlp"]
@@ -192,6 +192,9 @@ def score_predictions(predictions: DataFrame, scorers: list, task: str = "classi
     wanted = [(s if isinstance(s, str) else getattr(s, "__name__", "custom"), s) for s in scorers]
     minority, classes = None, 0
     if task == "classification" and any(n in ("f1", "auc") for n, _ in wanted):
+        # read several times from here on; a model would score all rows again for each
+        ranked = any(n == "auc" for n, _ in wanted)
+        predictions = stored(predictions.select("label", "prediction", *(["probability"] if ranked else [])), "predictions")
         minority = minority_label(predictions)
         seen = predictions.select(F.explode(F.array("label", "prediction")).alias("c")).distinct()
         classes = seen.limit(3).count()

@@ -28,6 +28,7 @@ class Tables:
     types: ColumnTypes | None = None
     keys: list[str] = field(default_factory=list)
     sizes: dict[str, int] = field(default_factory=dict)
+    pairs: dict[tuple[str, str], efficacy.Prepared] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         names = [c for c in self.test.columns if c not in self.keys]
@@ -52,6 +53,14 @@ class Tables:
             self.sizes[name] = getattr(self, name).count()
         return self.sizes[name]
 
+    def prepared(self, name: str, target: str) -> efficacy.Prepared:
+        """Feature tables to train on the named table and test on the test table, made once for all models."""
+        if (name, target) not in self.pairs:
+            test = self.without_keys("test")
+            other = align_types(self.without_keys(name), test)
+            self.pairs[name, target] = efficacy.prepare(test, other, target, self.types, fit=test.unionByName(other))
+        return self.pairs[name, target]
+
     def real_tag(self) -> str:
         """Q13: a train table that is the test table makes the real rows perfect by construction."""
         return "real_same_file" if self.train_path == self.test_path else "real"
@@ -117,7 +126,7 @@ def run_metric(
         for tag, name in (("real", "train"), ("fake", "fake")):
             other = align_types(tables.without_keys(name), test)
             scorers = [scorer] if isinstance(scorer, str) else scorer
-            scored = efficacy.efficacy_test(test, other, target, model, scorers, tables.types, fit=test.unionByName(other))
+            scored = efficacy.efficacy_test(test, other, target, model, scorers, ready=tables.prepared(name, target))
             parts.append(scored.select(F.lit(tag).alias("tag"), "scorer", "score"))
             if class_shares and target in tables.types.categorical:
                 parts.append(aggregates.class_share_rows(other, target, tag).select("tag", "scorer", "score"))
