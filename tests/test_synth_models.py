@@ -142,6 +142,14 @@ def test_models_share_features(table, monkeypatch):
     assert len(calls) == 2
 
 
+def test_generated_rows_are_made_once(spark):
+    """The ranges and the bins of generated rows read a table instead of drawing twice."""
+    from veritab.queries.synthesis import QUERIES
+
+    found = QUERIES["k7_fidelity_of_generated"](spark, "/root/testdata/sf0.001")
+    assert "md5(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_efficacy_learns(table):
     scored = efficacy.efficacy_test(table, table, "c", "tree", ["accuracy"]).first()
     assert scored["score"] > 0.95

@@ -9,6 +9,7 @@ from veritab.operators import kway, profile, ranks, synth
 from veritab.operators.clean import split_complete
 from veritab.operators.sides import ColumnTypes
 from veritab.queries.common import Registry, big, load, order_pair, r, uniform_sql
+from veritab.session import stored
 
 area = Registry()
 query, QUERIES, SQL = area.query, area.queries, area.sql
@@ -121,7 +122,8 @@ def _(spark, folder):
 
     lines, model = _model(spark, folder)
     ids = spark.range(lines.count()).withColumnRenamed("id", synth.ID)
-    made = synth.sequential_generate(ids, model, seed=1).drop(synth.ID)
+    # read twice, for the ranges and for the bins
+    made = stored(synth.sequential_generate(ids, model, seed=1).drop(synth.ID), "generated")
     return marginals.histogram_intersection(tag_sides(lines, made))
 
 
