@@ -1,5 +1,6 @@
 """Sampling, loops, models, privacy, ledger and paths."""
 
+import bisect
 import math
 
 import pytest
@@ -142,6 +143,15 @@ def test_models_share_features(table, monkeypatch):
     assert len(calls) == 2
 
 
+def test_edges_passed(spark):
+    edges = [0.0, 0.1, 0.1, 0.1, 0.35, 0.7, 0.7]
+    values = [-1.0, 0.0, 0.05, 0.1, 0.2, 0.35, 0.69, 0.7, 0.9]
+    rows = spark.createDataFrame([(v, edges[:n]) for v in [*values, None] for n in range(len(edges) + 1)], "v double, e array<double>")
+    found = rows.select("v", "e", synth.edges_passed(F.col("e"), F.col("v"), len(edges)).alias("n"))
+    assert all(r["n"] == (0 if r["v"] is None else bisect.bisect_right(r["e"], r["v"])) for r in found.collect())
+    assert "filter(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_generated_rows_are_made_once(spark):
     """The ranges and the bins of generated rows read a table instead of drawing twice."""
     from veritab.queries.synthesis import QUERIES

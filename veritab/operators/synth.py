@@ -193,9 +193,17 @@ def with_category(df: DataFrame, column: str, code: str, metadata: SchemaMetadat
 
 
 # -------------------------------------------------------------- value draws K4-K5
-def edges_passed(edges: Column, value: Column) -> Column:
-    """How many of the edges are at most the value, which is computed once and not for every edge."""
-    return F.get(F.transform(F.array(value), lambda v: F.size(F.filter(edges, lambda e: e <= v))), F.lit(0))
+def edges_passed(edges: Column, value: Column, most: int) -> Column:
+    """How many of the at most `most` ascending edges are at most the value, by halving; the value is computed once."""
+    if not most:
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(most.bit_length()))])
+
+    def search(v: Column) -> Column:
+        # a place past the last edge is NULL, which is never passed
+        return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(edges, at + step - 1) <= v, step).otherwise(0))
+
+    return F.get(F.transform(F.array(value), search), F.lit(0))
 
 
 def weighted_category(info: ColumnProfile, seed: int, keys: list[Column], weights: dict[str, float] | None = None) -> Column:
@@ -208,7 +216,7 @@ def weighted_category(info: ColumnProfile, seed: int, keys: list[Column], weight
     for share in shares[:-1]:
         running += share / total
         edges.append(running)
-    place = edges_passed(literal_array(edges), seeded_uniform(seed, *keys)) if edges else F.lit(0)
+    place = edges_passed(literal_array(edges), seeded_uniform(seed, *keys), len(edges))
     return F.get(literal_array(words, "string"), place)
 
 
@@ -435,7 +443,8 @@ def draw_slot(df: DataFrame, model: SlotModel, index: int, column: str, seed: in
         table = conditional_table(df.sparkSession, model, column, temperature, "__shares")
         joined = df.join(F.broadcast(table), F.col(f"__s{names.index(parent)}") == F.col("__parent"), "left")
         shares = F.coalesce("__shares", base)
-    drawn = joined.withColumn(output, edges_passed(shares, u))
+    most = max(len(counts) for counts in [model.marginal[column], *model.conditional[column].values()]) - 1
+    drawn = joined.withColumn(output, edges_passed(shares, u, most))
     return drawn.drop("__parent", "__shares")
 
 
@@ -445,12 +454,11 @@ def sequential_generate(ids: DataFrame, model: SlotModel, seed: int = 0, tempera
     rows = ids
     for i, c in enumerate(model.profile.columns):
         rows = draw_slot(rows, model, i, c, seed, key, temperature, f"__s{i}")
+    # columns of their own, as a value names its residual several times
+    rows = rows.select("*", *[seeded_uniform(seed * 2003 + 1000 + i, named(key)).alias(f"__r{i}") for i, info in enumerate(infos) if info.kind != "categorical"])
     return rows.select(
         *[named(c) for c in ids.columns],
-        *[
-            drawn_value(i, info, seeded_uniform(seed * 2003 + 1000 + i, named(key)), info.tail).alias(info.name)
-            for i, info in enumerate(infos)
-        ],
+        *[drawn_value(i, info, F.col(f"__r{i}"), info.tail).alias(info.name) for i, info in enumerate(infos)],
     )
 
 
