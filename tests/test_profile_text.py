@@ -121,3 +121,19 @@ def test_values_beyond_the_head(spark):
     assert found == {1: "Hot", 2: "V7", 3: "[UNK]", 4: "Missing"}
     capped = profile.build_profile(rows.select("c"), top_k=2).of("c")
     assert not capped.tail and len(capped.vocabulary) <= 4
+
+
+def test_cells_keep_or_cut_at_separators(spark):
+    texts = spark.createDataFrame([(1, "[BOS] [CAT] a is x is y is z [EOC] [NUM] b is 2 [EOC] [EOS]"), (2, "a is x is y is z, b, b is 2")], "k int, text string")
+    rows = {r["k"]: (r["a"], r["b"]) for r in rowtext.deserialize(texts, "text", ["a", "b"], keep=["k"]).collect()}
+    assert rows == {1: ("x is y is z", "2"), 2: ("x", "2")}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_dealt_out_before_parsing(spark):
+    """A file of one row group is no single task for the parser, and a part is split once."""
+    plan = _plan(rowtext.deserialize(spark.range(5).select("id", F.lit("a is 1").alias("text")), "text", ["a"], keep=["id"]).filter("a = '1'"))
+    assert 0 <= plan.index("Filter") < plan.index("Repartition")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions.scalars import literal_array, named, seeded_hash, seeded_uniform, strip_blanks, unescape_newlines
 from veritab.operators.profile import MISSING, TableProfile
+from veritab.session import spread
 
 PLACEHOLDER = "placeholder"
 # Type marks of a cell and the frame of a row.
@@ -102,23 +103,18 @@ def parsed_cells(text: Column, style: str) -> Column:
         return F.transform(
             names, lambda name, i: F.struct(F.trim(name).alias("key"), F.trim(F.get(values, i)).alias("value"))
         )
-    framed = F.contains(text, F.lit(CELL_END))
-    plain_parts = F.split(text, _quoted(form.between))
-    framed_parts = F.split(F.regexp_replace(text, r"\[(BOS|EOS)\]", ""), _quoted(CELL_END))
-    parts = F.when(framed, framed_parts).otherwise(plain_parts)
+    def cells(parts: Column, pieces: int) -> Column:
+        def bare(part: Column) -> Column:
+            text = strip_blanks(F.regexp_replace(strip_blanks(part), r"^\[(NUM|CAT|MIX)\]\s*", ""))
+            return strip_blanks(F.regexp_replace(text, f"^{form.prefix} ", "")) if form.prefix else text
 
-    def cell(part: Column) -> Column:
-        bare = strip_blanks(F.regexp_replace(strip_blanks(part), r"^\[(NUM|CAT|MIX)\]\s*", ""))
-        if form.prefix:
-            bare = strip_blanks(F.regexp_replace(bare, f"^{form.prefix} ", ""))
-        # framed cells keep everything after the first separator, free ones the second piece
-        pieces = F.split(bare, f" {form.key_value} ")
-        value = F.when(F.size(pieces) < 2, F.lit(None)).when(
-            framed, F.array_join(F.slice(pieces, 2, F.size(pieces) - 1), f" {form.key_value} ")
-        ).otherwise(F.get(pieces, F.lit(1)))
-        return F.struct(F.get(pieces, F.lit(0)).alias("key"), value.alias("value"))
+        # an array of its own, so that a part is cleaned and split once for its key and its value
+        split = F.transform(parts, lambda part: F.split(bare(part), f" {form.key_value} ", pieces))
+        return F.transform(split, lambda p: F.struct(F.get(p, F.lit(0)).alias("key"), F.get(p, F.lit(1)).alias("value")))
 
-    return F.transform(parts, cell)
+    # framed cells keep everything after the first separator, free ones the second piece
+    framed = F.split(F.regexp_replace(text, r"\[(BOS|EOS)\]", ""), _quoted(CELL_END))
+    return F.when(F.contains(text, F.lit(CELL_END)), cells(framed, 2)).otherwise(cells(F.split(text, _quoted(form.between)), 3))
 
 
 def _quoted(separator: str) -> str:
@@ -134,6 +130,10 @@ def deserialize(
     counts; a name that never came with a value is `placeholder`.  In `apval` a name
     without a value is NULL.
     """
+    return _read_back(spread(df), text, columns, style, first_wins, keep)
+
+
+def _read_back(df: DataFrame, text: str, columns: list[str], style: str, first_wins: bool = False, keep: list[str] | None = None) -> DataFrame:
     kept = [named(c) for c in keep or []]
     cells = df.select(*kept, parsed_cells(named(text), style).alias("__cells"))
     position = 1 if first_wins else -1
