@@ -137,3 +137,13 @@ def test_texts_are_dealt_out_before_parsing(spark):
     """A file of one row group is no single task for the parser, and a part is split once."""
     plan = _plan(rowtext.deserialize(spark.range(5).select("id", F.lit("a is 1").alias("text")), "text", ["a"], keep=["id"]).filter("a = '1'"))
     assert 0 <= plan.index("Filter") < plan.index("Repartition")
+
+
+def test_round_trip_is_dealt_out(spark):
+    """The comparison of a round trip stays behind the exchange, and so does the parsing it needs."""
+    df = spark.range(50).select("id", F.concat(F.lit("w is "), F.col("id").cast("string")).alias("c"))
+    built = profile.build_profile(df.select("c"))
+    failures = rowtext.round_trip_failures(df, built, ["id"], "great", seed=1)
+    plan = _plan(failures)
+    assert 0 <= plan.index("Filter") < plan.index("Repartition")
+    assert failures.count() == 0

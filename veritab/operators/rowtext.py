@@ -152,9 +152,9 @@ def round_trip_failures(df: DataFrame, profile: TableProfile, keys: list[str], s
     """Rows whose text does not parse back to the same cells."""
     columns = [p.name for p in profile.columns.values()]
     expected = [F.struct(F.lit(c).alias("key"), cell_text(c).alias("value")) for c in columns]
-    staged = df.select(*[named(k) for k in keys], *[named(c) for c in columns if c not in keys], F.array(*expected).alias("__expected"))
+    staged = spread(df).select(*[named(k) for k in keys], *[named(c) for c in columns if c not in keys], F.array(*expected).alias("__expected"))
     texts = serialize(staged, profile, style, columns, seed, keys, keep=[*keys, "__expected"])
-    back = deserialize(texts, "text", columns, style, keep=["__expected"])
+    back = _read_back(texts, "text", columns, style, keep=["__expected"])
     found = F.array(*[F.struct(F.lit(c).alias("key"), named(c).alias("value")) for c in columns])
     return back.filter(~(found == F.col("__expected"))).select(*[named(c) for c in columns])
 
