@@ -97,3 +97,19 @@ def test_hot_value_pairs_and_draws(spark):
     u = {r.id: r.u for r in ids.select("id", synth.seeded_uniform(3, F.col("id")).alias("u")).collect()}
     assert {r.id: r.value for r in drawn.collect()} == {i: left[int(x * 5000)] for i, x in u.items()}
     assert synth.empirical_sample(real.limit(0), "x", ids, ["id"]).count() == 0
+
+
+def test_parts_of_a_two_step_sum_are_bounded(spark, monkeypatch):
+    """However small the parts are asked to be, the driver does not hear of more than MOST_PARTS."""
+    seen, freeze = [], ranks.freeze
+
+    def watched(df):
+        done = freeze(df)
+        seen.append(done.rdd.getNumPartitions())
+        return done
+
+    monkeypatch.setattr(ranks, "freeze", watched)
+    table = spark.range(6000).select((F.col("id") % 2).alias("g"), "id", F.lit(1).alias("n"))
+    found = ranks.running_totals(table, ["g"], ["id"], ["n"], rows_per_task=10)
+    assert found.filter("running_n <> id div 2 + 1").count() == 0 and found.count() == 6000
+    assert max(seen) <= 500

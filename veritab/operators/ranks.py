@@ -19,6 +19,8 @@ from veritab.operators.sides import SIDE, melt
 from veritab.session import freeze
 
 ROWS_PER_TASK = 2_000_000
+# Fixed value: parts of a two-step sum; beyond it they grow, as the driver hears of every part of every step.
+MOST_PARTS = 500
 HOT_SHARE = 1000
 BROADCAST_STRATA = 100_000
 
@@ -30,13 +32,13 @@ def running_totals(
     """Add `running_<c>` (inclusive prefix sum) for every c in `sums`.
 
     `table` holds one row per (group, order).  Small tables use one window per
-    group.  Larger ones are range-partitioned and frozen; each part is summed by
-    itself and shifted by the totals of the parts before it.  `at_most` is a known bound
+    group.  Larger ones are range-partitioned into at most MOST_PARTS parts and frozen; each
+    part is summed by itself and shifted by the totals of the parts before it.  `at_most` is a known bound
     on the rows, which spares counting them.
     """
     ordered = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     small = at_most is not None and at_most <= rows_per_task
-    parts = 1 if small else -(-table.count() // rows_per_task)
+    parts = 1 if small else min(-(-table.count() // rows_per_task), MOST_PARTS)
     if parts <= 1:
         return table.select("*", *[F.sum(c).over(ordered).alias(f"running_{c}") for c in sums])
     ranged = freeze(
