@@ -143,6 +143,15 @@ def test_models_share_features(table, monkeypatch):
     assert len(calls) == 2
 
 
+def test_classes_are_counted_once(table, monkeypatch):
+    """One pass over the features for the sizes of the classes, and none for their weights."""
+    ready = efficacy.prepare(table, table, "c")
+    efficacy.fit_predict(ready, "tree")
+    assert sum(ready.sizes.values()) == ready.train.count()
+    monkeypatch.setattr(efficacy, "class_sizes", None)
+    efficacy.fit_predict(ready, "tree")
+
+
 def test_edges_passed(spark):
     edges = [0.0, 0.1, 0.1, 0.1, 0.35, 0.7, 0.7]
     values = [-1.0, 0.0, 0.05, 0.1, 0.2, 0.35, 0.69, 0.7, 0.9]

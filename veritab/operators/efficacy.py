@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier,
@@ -30,13 +30,14 @@ REGRESSORS = ["linear", "tree", "mlp"]
 
 @dataclass
 class Prepared:
-    """Feature tables shared by all models of one target."""
+    """Feature tables shared by all models of one target; `sizes` are the rows of each class, once counted."""
 
     train: DataFrame
     test: DataFrame
     classes: int
     width: int
     task: str
+    sizes: dict[float, int] = field(default_factory=dict)
 
 
 def prepare(real: DataFrame, fake: DataFrame, target: str, types: ColumnTypes | None = None, fit: DataFrame | None = None,
@@ -88,11 +89,16 @@ def prepare(real: DataFrame, fake: DataFrame, target: str, types: ColumnTypes |
     return Prepared(train, test, classes, width, task)
 
 
-def balanced(train: DataFrame) -> DataFrame:
+def class_sizes(train: DataFrame) -> dict[float, int]:
+    """Rows per known label, one row per class."""
+    return {row[LABEL]: row["count"] for row in train.filter(F.col(LABEL) >= 0).groupBy(LABEL).count().collect()}
+
+
+def balanced(train: DataFrame, sizes: dict[float, int]) -> DataFrame:
     """Weight n / (k n_c) per class."""
-    per = train.groupBy(LABEL).agg(F.count("*").alias("__n"))
-    rows, classes = per.agg(F.sum("__n"), F.count("*")).first()
-    weights = per.select(LABEL, (F.lit(rows) / (F.lit(classes) * F.col("__n"))).alias(WEIGHT))
+    rows = sum(sizes.values())
+    entries = [F.struct(F.lit(c).alias(LABEL), F.lit(rows / (len(sizes) * n)).alias(WEIGHT)) for c, n in sizes.items()]
+    weights = train.sparkSession.range(1).select(F.inline(F.array(*entries)))
     return train.join(F.broadcast(weights), LABEL)  # one row per class
 
 
@@ -138,14 +144,14 @@ def fit_predict(ready: Prepared, model: str, seed: int = 1000) -> DataFrame:
     A candidate with a single class predicts that class with probability 1.
     """
     if ready.task == "classification":
-        present = [row[0] for row in ready.train.filter(F.col(LABEL) >= 0).select(LABEL).distinct().limit(2).collect()]
-        if len(present) < 2:
-            only = present[0] if present else 0.0
+        ready.sizes = ready.sizes or class_sizes(ready.train)
+        if len(ready.sizes) < 2:
+            only = next(iter(ready.sizes), 0.0)
             return ready.test.select(
                 F.col(LABEL).alias("label"), F.lit(only).alias("prediction"),
                 F.array(*[F.lit(1.0 if i == int(only) else 0.0) for i in range(max(ready.classes, 1))]).alias("probability"),
             )
-        train = balanced(ready.train.filter(F.col(LABEL) >= 0)).persist()
+        train = balanced(ready.train, ready.sizes).persist()
         if model == "xgb":
             return _boosted(ready, train)
     else:
