@@ -1,6 +1,7 @@
 """Classifiers, nearest neighbours and the fixity audit."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -161,3 +162,22 @@ def test_many_equal_scores_and_repeated_ids(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     best = {r["rank"]: r.vec_id for r in crosspolytope.nearest(table, F.col("vec_id") == 1).collect()}
     assert best == {1: 0, 2: 2, 3: 3, 4: 4, 5: 5}
+
+
+def test_word_parts_together():
+    """Checksums of all parts at once equal those of each part, also of words shorter than a part."""
+    words = [b"a", b"it", b"the", b"word", b"\xc3\xa9t\xc3\xa9", b"0123456789" * 9, b"a"]
+    marked = [b"<" + w + b">" for w in words]
+    parts = [[zlib.crc32(m[i : i + n], n) & (toxicity.BUCKETS - 1) for n in range(3, 7) for i in range(max(1, len(m) - n + 1))] for m in marked]
+    flat, starts, sizes = toxicity.ngram_buckets(words, at_once=3)
+    assert [flat[a : a + n].tolist() for a, n in zip(starts, sizes)] == parts
+
+
+def test_new_words_of_many_texts_are_looked_up_together(monkeypatch):
+    model = toxicity.train([(f"word{i} is {'bad' if i % 2 else 'fine'}".encode(), i % 2) for i in range(40)], steps=2)
+    calls, gates = [], toxicity.Model.gates
+    monkeypatch.setattr(toxicity.Model, "gates", lambda self, words: calls.append(1) or gates(self, words))
+    texts = [f"new{i} words {i}".encode() for i in range(100)] + [b""]
+    together = toxicity.Scorer(model).texts(texts)
+    assert len(calls) == 1
+    assert together.tolist() == pytest.approx([toxicity.Scorer(model).texts([t])[0] for t in texts], abs=1e-5)

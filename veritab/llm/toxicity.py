@@ -55,10 +55,52 @@ def word_bucket(word: bytes) -> int:
     return zlib.crc32(word) & (BUCKETS - 1)
 
 
-def ngram_buckets(word: bytes) -> list[int]:
-    """Buckets of the 3- to 6-byte parts of a word with its edges marked."""
-    marked = b"<" + word + b">"
-    return [zlib.crc32(marked[i : i + n], n) & (BUCKETS - 1) for n in range(3, 7) for i in range(max(1, len(marked) - n + 1))]
+def _checksum_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+_TABLE = _checksum_table()
+
+
+def _seeded(size: int, seed: int) -> int:
+    """What a seed changes in the CRC-32 of any `size` bytes."""
+    return zlib.crc32(bytes(size), seed) ^ zlib.crc32(bytes(size))
+
+
+def ngram_buckets(words: list[bytes], at_once: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the 3- to 6-byte parts of all words with their edges marked, one word after the other; where each word's begin, and how many.
+
+    A bucket is the CRC-32 of a part, seeded with the intended size; a word shorter than
+    that is a part of its own.  The checksums of all parts from a place on are steps of one.
+    """
+    found, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), at_once):
+        some = words[i : i + at_once]
+        data = np.frombuffer(b"<" + b"><".join(some) + b">" + bytes(6), np.uint8).astype(np.uint32)
+        length = np.fromiter(map(len, some), np.int64, len(some)) + 2
+        start = np.cumsum(length) - length
+        state, after = np.full(len(data) - 6, 0xFFFFFFFF, np.uint32), {}
+        for k in range(6):
+            state = _TABLE[(state ^ data[k : len(data) - 6 + k]) & 255] ^ (state >> 8)
+            after[k + 1] = ~state
+        parts = {n: np.maximum(1, length - n + 1) for n in range(3, 7)}
+        sizes = sum(parts.values())
+        flat, place = np.empty(sizes.sum(), np.uint32), np.cumsum(sizes) - sizes
+        for n, each in parts.items():
+            inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            values = after[n][np.repeat(start, each) + inner] ^ np.uint32(_seeded(n, n))
+            for short in range(3, n):
+                words_of = np.flatnonzero(length == short)
+                values[(np.cumsum(each) - each)[words_of]] = after[short][start[words_of]] ^ np.uint32(_seeded(short, n))
+            flat[np.repeat(place, each) + inner] = values
+            place = place + each
+        found.append((flat & (BUCKETS - 1)).astype(np.int32))
+        counts.append(sizes)
+    sizes = np.concatenate(counts)
+    return np.concatenate(found), np.cumsum(sizes) - sizes, sizes
 
 
 def vector_buckets(word: bytes) -> tuple[int, int, int]:
@@ -84,26 +126,9 @@ class Odds:
         return np.where((a + b > 0)[:, None], both / 2, 0).astype(np.float32)
 
 
-class Ragged:
-    """Lists of numbers of different lengths in one flat array."""
-
-    def __init__(self) -> None:
-        self.flat, self.ends = array("i"), array("q")
-
-    def append(self, numbers: list[int]) -> None:
-        self.flat.extend(numbers)
-        self.ends.append(len(self.flat))
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Flat numbers, first places and lengths."""
-        ends = np.frombuffer(self.ends, dtype=np.int64) if self.ends else np.zeros(0, dtype=np.int64)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
-        return np.frombuffer(self.flat, dtype=np.int32) if self.flat else np.zeros(0, dtype=np.int32), starts, ends - starts
-
-
-def character_scores(table: np.ndarray, grams: Ragged, at_once: int = 1 << 16) -> np.ndarray:
+def character_scores(table: np.ndarray, grams: tuple[np.ndarray, np.ndarray, np.ndarray], at_once: int = 1 << 16) -> np.ndarray:
     """Largest and mean score of the n-grams of each word."""
-    flat, starts, sizes = grams.arrays()
+    flat, starts, sizes = grams
     found = np.zeros((len(starts), 2), dtype=np.float32)
     for i in range(0, len(starts), at_once):
         own, n = starts[i : i + at_once], sizes[i : i + at_once]
@@ -232,11 +257,8 @@ class Model:
     def gates(self, words: list[bytes]) -> np.ndarray:
         """The input of both directions for each word."""
         learned = np.array([vector_buckets(w) for w in words]).reshape(-1, 3)
-        grams = Ragged()
-        for word in words:
-            grams.append(ngram_buckets(word))
         x = np.concatenate(
-            [self.words[[word_bucket(w) for w in words]], character_scores(self.grams, grams), *[self.p["vectors"][k][learned[:, k]] for k in range(3)]],
+            [self.words[[word_bucket(w) for w in words]], character_scores(self.grams, ngram_buckets(words)), *[self.p["vectors"][k][learned[:, k]] for k in range(3)]],
             axis=1,
         )
         return (x @ self.inputs + self.bias).astype(np.float32)
@@ -275,7 +297,7 @@ class Scorer:
         backward = recur(gates[::-1, :, 3 * HIDDEN :], p["rec_b"])[::-1]
         return sigmoid(pool(p, forward, backward, ids.T > 0)[0])
 
-    def texts(self, data: list[bytes], at_once: int = 2048) -> np.ndarray:
+    def texts(self, data: list[bytes], at_once: int = 2048, words_at_once: int = 1 << 15) -> np.ndarray:
         """The worst window's probability for each text."""
         if len(self.rows) > REMEMBERED:
             self.reset()
@@ -292,14 +314,30 @@ class Scorer:
                 blocks.clear()
                 owners.clear()
 
+        def look_up() -> None:
+            """Numbers the words of all waiting texts together; new words are costly one text at a time."""
+            nonlocal held
+            ids, stop = np.array(self.number([w for _, words in waiting for w in words]), dtype=np.int64), 0
+            for number, words in waiting:
+                block = cut(ids[stop : stop + len(words)])
+                stop += len(words)
+                blocks.append(block)
+                owners.append(np.full(len(block), number))
+                held += len(block)
+                if held >= at_once:
+                    flush()
+                    held = 0
+            waiting.clear()
+
+        waiting: list[tuple[int, list[bytes]]] = []
+        size = 0
         for number, text in enumerate(data):
-            block = cut(np.array(self.number(tokens(text)), dtype=np.int64))
-            blocks.append(block)
-            owners.append(np.full(len(block), number))
-            held += len(block)
-            if held >= at_once:
-                flush()
-                held = 0
+            waiting.append((number, tokens(text)))
+            size += len(waiting[-1][1])
+            if size >= words_at_once:
+                look_up()
+                size = 0
+        look_up()
         flush()
         return best
 
@@ -315,21 +353,21 @@ def cut(ids: np.ndarray) -> np.ndarray:
 def train(sample: list[tuple[bytes, int]], seed: int = 6, steps: int = 160, batch: int = 256, rate: float = 0.02) -> Model:
     """A model from texts and labels of both classes."""
     known: dict[bytes, int] = {}
-    grams, own, learned = Ragged(), array("i"), array("i", (0, 0, 0))
+    own, learned = array("i"), array("i", (0, 0, 0))
     numbered = []
     for text, label in sample:
         words = tokens(text)
         for word in dict.fromkeys(words):
             if word not in known:
                 known[word] = len(known) + 1
-                grams.append(ngram_buckets(word))
                 own.append(word_bucket(word))
                 learned.extend(vector_buckets(word))
         numbered.append((np.fromiter(map(known.__getitem__, words), np.int32, len(words)), label))
+    grams = ngram_buckets(list(known))
     known.clear()
     buckets = np.array(learned, dtype=np.int32).reshape(-1, 3)
     own_bucket = np.array(own, dtype=np.int32)
-    flat, starts, sizes = grams.arrays()
+    flat, starts, sizes = grams
     n = Counter(label for _, label in numbered)
     word_counts, gram_counts = ({label: np.zeros(BUCKETS, np.int32) for label in (0, 1)} for _ in range(2))
     for ids, label in numbered:
