@@ -369,3 +369,15 @@ def test_every_part_of_a_segment_is_guarded():
     for change in damaged:
         with pytest.raises(ValueError):
             rans.decode(dataclasses.replace(coded, **change))
+
+
+def test_ids_are_counted_without_sorting(monkeypatch):
+    """Small ids by an array, large ones by a sort: the same symbols, counts and ranks."""
+    small = np.array([7, 3, 3, 48999, 0, 7, 7], "<u4")
+    for tokens in (small, small * 80000):
+        symbols, ranks, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        found = rans.counted(tokens)
+        assert [x.tolist() for x in found] == [symbols.tolist(), counts.tolist(), ranks.tolist()]
+        assert (rans.decode(rans.encode(tokens)) == tokens).all()
+    monkeypatch.setattr(np, "unique", None)
+    assert rans.counted(small)[1].tolist() == [1, 2, 3, 1]

@@ -33,6 +33,8 @@ from veritab.llm.common import ready, release, utf8
 from veritab.llm.tokencounts import encoder
 
 SEGMENT = 1 << 21
+#: Ids below this are counted in an array.
+COUNTED = 1 << 20
 BLOCK = 1 << 16
 LANES = 64
 #: The frequencies of a table add up to two to this power, and states stay above the lower bound.
@@ -40,12 +42,24 @@ SCALE = 18
 LOWER = 31
 
 
-def frequency_table(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols in use and their scaled frequencies: at least one each, in proportion to the counts."""
-    symbols, counts = np.unique(tokens, return_counts=True)
-    scaled = np.maximum(1, counts * ((1 << SCALE) - len(symbols)) // counts.sum())
+def counted(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols in use, their counts and the rank of each token; small ids, as those of a vocabulary are, need no sort."""
+    top = int(tokens.max())
+    if top >= COUNTED:
+        symbols, ranks, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        return symbols, counts, ranks.reshape(-1)
+    each = np.bincount(tokens)
+    symbols = np.flatnonzero(each)
+    place = np.zeros(top + 1, dtype=np.int64)
+    place[symbols] = np.arange(len(symbols))
+    return symbols, each[symbols], place[tokens]
+
+
+def frequency_table(counts: np.ndarray) -> np.ndarray:
+    """Scaled frequencies of the symbols in use: at least one each, in proportion to the counts."""
+    scaled = np.maximum(1, counts * ((1 << SCALE) - len(counts)) // counts.sum())
     scaled[np.argmax(counts)] += (1 << SCALE) - scaled.sum()
-    return symbols.astype("<u4"), scaled.astype("<u4")
+    return scaled.astype("<u4")
 
 
 @dataclass
@@ -68,10 +82,11 @@ def shape(size: int) -> tuple[int, int]:
 
 def encode(tokens: np.ndarray) -> Coded:
     """Codes a segment of at least one token; the last block is filled up with the first symbol."""
-    symbols, frequencies = frequency_table(tokens)
+    symbols, counts, found = counted(tokens)
+    symbols, frequencies = symbols.astype("<u4"), frequency_table(counts)
     blocks, steps = shape(len(tokens))
     ranks = np.zeros(blocks * steps * LANES, dtype=np.int64)
-    ranks[: len(tokens)] = np.searchsorted(symbols, tokens)
+    ranks[: len(tokens)] = found
     ranks = ranks.reshape(blocks, steps, LANES).transpose(1, 0, 2).reshape(steps, -1)
     freq = frequencies.astype(np.uint64)
     start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
