@@ -381,3 +381,29 @@ def test_ids_are_counted_without_sorting(monkeypatch):
         assert (rans.decode(rans.encode(tokens)) == tokens).all()
     monkeypatch.setattr(np, "unique", None)
     assert rans.counted(small)[1].tolist() == [1, 2, 3, 1]
+
+
+def test_new_words_are_not_encoded_one_by_one(documents, monkeypatch):
+    """All ids of a batch come as one array, equal to the library's, with one call for its new words, even if caches overflow."""
+    import pyarrow as pa
+
+    path, draw = vocabulary("word_bpe_49k.json"), random.Random(6)
+    pieces = ["l'été", "don't", "DON'T", "''s", "x'", "...'s", "Été,", "×÷", "a×b", "12a34", "½", "µß", "<|endoftext|>", "<|End", "<", "|", "é", "Straße.", "\x1c", "a\x00b", "ПриветΣ", "İ", "가나", "z" * 90]
+    made = [draw.choice(" \n\t").join(draw.choice(pieces) if draw.random() < 0.4 else "".join(draw.choices("abcXYZé9.<|'Àÿ", k=draw.randint(1, 9))) for _ in range(draw.randint(0, 50))) for _ in range(600)]
+    data = [None, "", *documents.values(), *tricky(2000, seed=7), *made, "<", "|x", "a", "b"]
+    expected = [e.ids for e in tokencounts.load_tokenizer(path).encode_batch([d or "" for d in data], add_special_tokens=False)]
+    for remembered, window in ((tokencounts.REMEMBERED, tokencounts.WINDOW), (500, 3000)):
+        monkeypatch.setattr(tokencounts, "REMEMBERED", remembered)
+        monkeypatch.setattr(tokencounts, "WINDOW", window)
+        found = tokencounts.PieceEncoder(path)
+        for texts, known in ((data, expected), (data[5:], expected[5:]), ([None], [[]])):
+            sizes, ids = found.ids(pa.array(["skipped", *texts], pa.string())[1:])
+            assert sizes.tolist() == [len(i) for i in known] and ids.tolist() == [i for own in known for i in own]
+            sizes, ids = found.ids(pa.array(texts, pa.string()), 2)
+            assert sizes.tolist() == [len(i) + 1 for i in known] and ids.tolist() == [i for own in known for i in [*own, 2]]
+    calls = []
+    found = tokencounts.PieceEncoder(path)
+    merge = found.merge
+    found.merge = lambda parts: calls.append(len(parts)) or merge(parts)
+    found.ids(pa.array(["one two, three. Four", "five one Two"], pa.string()))
+    assert calls == [7]

@@ -22,14 +22,13 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritab.llm.common import ready, release, utf8
+from veritab.llm.common import ready, release
 from veritab.llm.tokencounts import encoder
 
 SEGMENT = 1 << 21
@@ -177,10 +176,6 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     # the bounds of the ranges come from the ids alone
     sorted_docs = docs.select(id_col, text_col).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col, text_col)
-    end = np.array([end_id], dtype="<u4").tobytes()
-
-    def pack(ids: list[int]) -> bytes:
-        return pack_ids(f"<{len(ids)}I", *ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -188,13 +183,13 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_col: str
         release("pieces")
         shard = TaskContext.get().partitionId()
         segment, first, order, held = 0, 0, 0, 0
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         entries: list[tuple[object, int, int, bool]] = []
         id_type = None
 
         def close() -> pa.RecordBatch:
             nonlocal segment, first, held
-            coded = encode(np.frombuffer(b"".join(parts), dtype="<u4"))
+            coded = encode(np.concatenate(parts))
             columns = [*zip(*entries, strict=True)]
             row = [
                 pa.array([shard], pa.int32()), pa.array([segment], pa.int64()), pa.array([first], pa.int64()), pa.array([coded.size], pa.int64()),
@@ -211,18 +206,19 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_col: str
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            ids = batch.column(0).to_pylist()
-            for doc_id, pieces in zip(ids, encoder(path, "ids", pack, b"".join).documents(utf8(batch.column(1))), strict=True):
-                data = b"".join([*pieces, end])
-                while data:
-                    part = data[: 4 * (SEGMENT - held)]
-                    data = data[len(part) :]
-                    parts.append(part)
-                    entries.append((doc_id, order, len(part) // 4, not data))
-                    held += len(part) // 4
+            sizes, tokens = encoder(path).ids(batch.column(1), end_id)
+            begun = at = 0
+            for doc_id, size in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):
+                while size:
+                    part = min(size, SEGMENT - held)
+                    size, held, at = size - part, held + part, at + part
+                    entries.append((doc_id, order, part, not size))
                     if held == SEGMENT:
+                        parts.append(tokens[begun:at])
+                        begun = at
                         yield close()
                 order += 1
+            parts.append(tokens[begun:])
         if held:
             yield close()
 
