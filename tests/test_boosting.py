@@ -123,6 +123,40 @@ def test_boosted_classes_of_vectors(spark):
     assert scores["accuracy"] == 1.0
 
 
+def test_boosted_classes_see_all_rows(spark, monkeypatch):
+    """The bound on what one task fits leaves no rows out: every one of the 12 kinds of rows is learnt."""
+    i = F.col("id")
+    table = spark.range(2400).select((i % 12).cast("double").alias("m"), (i * 5 % 12 % 2).cast("string").alias("c"), (i % 12 * 7 % 5 % 3).cast("string").alias("t"))
+    monkeypatch.setattr(boosting, "MOST_NUMBERS", 300)
+    scores = {r.scorer: r.score for r in efficacy.efficacy_test(table, table, "t", "xgb", ["accuracy"]).collect()}
+    assert scores["accuracy"] == 1.0
+
+
+def test_borders_of_all_values(spark):
+    """Many values, few values, heavy values and a constant, equal to the borders of the whole columns at hand."""
+    rows = spark.range(5000).select(*[(F.col("id") * 7919 % 5000 / 7).alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+                                      F.greatest(F.col("id") - 4000, F.lit(0)).cast("double").alias("c"), F.lit(2.0).alias("d")])
+    found = boosting.all_borders(boosting.value_counts(rows, [F.col(c) for c in "abcd"]), 4)
+    table = rows.toPandas()
+    for c, borders in zip("abcd", found, strict=True):
+        assert borders.tolist() == boosting.bin_borders(table[c].to_numpy(), np.ones(5000)).tolist()
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_spread_cells_grow_the_same_trees(spark, monkeypatch, classes):
+    monkeypatch.setattr(boosting, "KEPT_ROUNDS", 2)
+    i = F.col("id")
+    rows = spark.range(3000).select((i * 37 % 1009).alias("a"), (i * i % 7).alias("b"), ((i * 37 % 1009 / 200 + i * i % 7 + i % 3) % classes).cast("int").alias("y"))
+    names, settings = [F.col("a"), F.col("b")], Settings(rounds=4, depth=4)
+    local = boosting.fit_all(rows, names, F.col("y"), classes, settings)
+    spread = boosting.fit_all(rows, names, F.col("y"), classes, settings, most_rows=1)
+    x = np.array([[r.a, r.b] for r in rows.select("a", "b").collect()], float)
+    assert len(local) == len(spread) == 4
+    for ours, theirs in zip(local, spread, strict=True):
+        for one, other in zip(ours, theirs, strict=True):
+            assert other(x) == pytest.approx(one(x), abs=1e-9)
+
+
 def test_macro_auc_of_many_classes(spark):
     """Twenty classes against every pair ranked by itself."""
     draw = np.random.default_rng(2)

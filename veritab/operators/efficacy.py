@@ -132,7 +132,7 @@ def _boosted(ready: Prepared, train: DataFrame) -> DataFrame:
 
     classes = max(ready.classes, 2)
     rows, columns = features(train)
-    model = boosting.fit(rows, boosting.cells(rows, columns, F.col(LABEL)), classes, boosting.Settings())
+    model = boosting.fit_all(rows, columns, F.col(LABEL), classes, boosting.Settings())
     train.unpersist()
     rows, columns = features(ready.test)
     return boosting.predict(rows, columns, [LABEL], model, classes).withColumnRenamed(LABEL, "label")
