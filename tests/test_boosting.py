@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import functions as F
 
 from veritab.operators import boosting, efficacy
@@ -157,6 +159,56 @@ def test_spread_cells_grow_the_same_trees(spark, monkeypatch, classes):
             assert other(x) == pytest.approx(one(x), abs=1e-9)
 
 
+@pytest.fixture(scope="module")
+def valued(spark):
+    """A number of many values, one with a heavy value, a text and a target that differs in every row."""
+    i = F.col("id")
+    return spark.range(4000).select(
+        (i * 37 % 60).cast("double").alias("a"), F.when(i % 3 == 0, 5.0).otherwise(i % 40 / 3).alias("b"), (i % 4).cast("string").alias("c"),
+        (F.sqrt(i * 37 % 60) * (i % 4 + 1) + F.when(i % 40 > 11, i % 7) + i / 4000).cast("double").alias("y"),
+    ).fillna(3.5, ["y"]).withColumn("y", F.col("y") + F.col("a") / 997)
+
+
+@pytest.mark.parametrize("model", ["tree", "mlp"])
+def test_regression_trees_of_cells(valued, monkeypatch, model):
+    """Trees of weighted cells give the predictions of Spark's trees of all rows, and read few rows."""
+    plain, read = efficacy.estimator, []
+
+    class Noted:
+        def __init__(self, *args):
+            self.inner = plain(*args)
+
+        def fit(self, rows):
+            read.append(rows.count())
+            return self.inner.fit(rows)
+
+    monkeypatch.setattr(efficacy, "estimator", Noted)
+    ready = efficacy.prepare(valued, valued, "y")
+    found = efficacy.fit_predict(ready, model).select("label", "prediction").orderBy("label", "prediction").collect()
+    kind = DecisionTreeRegressor(maxDepth=15) if model == "tree" else GBTRegressor(maxIter=20)
+    fitted = kind.setParams(featuresCol=efficacy.FEATURES, labelCol=efficacy.LABEL, seed=1000).fit(ready.train)
+    expected = fitted.transform(ready.test).select(F.col(efficacy.LABEL).alias("label"), "prediction").orderBy("label", "prediction").collect()
+    assert len(found) == 4000 and read[0] <= 120
+    assert [r.prediction for r in found] == pytest.approx([r.prediction for r in expected], abs=1e-6)
+
+
+def test_regression_trees_of_a_large_table(spark):
+    """Beyond 10,000 rows Spark draws the rows that its bins are found on; the cells have the same bins."""
+    i = F.col("id")
+    rows = spark.range(0, 24_000, 1, 3).select((i * 37 % 211 / 7).alias("a"), F.when(i % 3 == 0, 0.0).otherwise(i % 53).alias("b"), (F.sqrt(i * 37 % 211) * (i % 53)).alias("y"))
+    ready = efficacy.prepare(rows, rows, "y")
+    found = efficacy.fit_predict(ready, "tree").select("label", "prediction").orderBy("label", "prediction").collect()
+    fitted = DecisionTreeRegressor(maxDepth=15, featuresCol=efficacy.FEATURES, labelCol=efficacy.LABEL, seed=1000).fit(ready.train)
+    expected = fitted.transform(ready.test).select(F.col(efficacy.LABEL).alias("label"), "prediction").orderBy("label", "prediction").collect()
+    assert [r.prediction for r in found] == pytest.approx([r.prediction for r in expected], abs=1e-6)
+
+
+def test_features_scaled_alike_in_wide_tables(valued, monkeypatch):
+    compiled = efficacy.prepare(valued, valued, "y").train.select(vector_to_array(efficacy.FEATURES).alias("x"), efficacy.LABEL).orderBy(efficacy.LABEL, "x").collect()
+    monkeypatch.setattr(efficacy, "COMPILED_WIDTH", 0)
+    assert efficacy.prepare(valued, valued, "y").train.select(vector_to_array(efficacy.FEATURES).alias("x"), efficacy.LABEL).orderBy(efficacy.LABEL, "x").collect() == compiled
+
+
 def test_macro_auc_of_many_classes(spark):
     """Twenty classes against every pair ranked by itself."""
     draw = np.random.default_rng(2)

@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier,
 )
@@ -15,6 +16,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritab.functions.binning import with_edge_counts
 from veritab.functions.scalars import literal_array, named, numeric_of
 from veritab.operators import boosting
 from veritab.operators.clean import drop_infinite, drop_null_target
@@ -26,11 +28,19 @@ from veritab.session import freeze, stored
 LABEL, FEATURES, WEIGHT = "__label", "__features", "__weight"
 CLASSIFIERS = ["logistic", "tree", "xgb", "mlp"]
 REGRESSORS = ["linear", "tree", "mlp"]
+#: Features up to which their arithmetic is one expression each, which Spark compiles.
+COMPILED_WIDTH = 100
+#: Bins of a feature in Spark's trees (its `maxBins`).
+TREE_BINS = 32
 
 
 @dataclass
 class Prepared:
-    """Feature tables shared by all models of one target; `sizes` are the rows of each class, once counted."""
+    """Feature tables shared by all models of one target.
+
+    `kept` tables are frozen and cheap to read again.  `sizes` are the rows of each class, once counted;
+    `cells` are the borders and the weighted cells of regression trees by seed, once made.
+    """
 
     train: DataFrame
     test: DataFrame
@@ -38,6 +48,8 @@ class Prepared:
     width: int
     task: str
     sizes: dict[float, int] = field(default_factory=dict)
+    kept: bool = False
+    cells: dict[int, tuple[list[list[float]], DataFrame]] = field(default_factory=dict)
 
 
 def prepare(real: DataFrame, fake: DataFrame, target: str, types: ColumnTypes | None = None, fit: DataFrame | None = None,
@@ -76,13 +88,17 @@ def prepare(real: DataFrame, fake: DataFrame, target: str, types: ColumnTypes |
     width = sum(size for c, size, _ in space.layout() if c != target)
     if scale and not train.isEmpty():
         scaler = RobustScaler(inputCol=FEATURES, outputCol="__scaled", withCentering=True, withScaling=True).fit(train)
-        middle, spread = (literal_array(v.toArray().tolist()) for v in (scaler.median, scaler.range))
+        # a feature whose quartiles are equal, as a rare category's, is centred only; Spark would make it constant
+        middle, spread = scaler.median.toArray().tolist(), [1.0 if s <= 0 else s for s in scaler.range.toArray().tolist()]
 
         def scaled(table: DataFrame) -> DataFrame:
-            # a feature whose quartiles are equal, as a rare category's, is centred only; Spark would make it constant
-            parts = F.arrays_zip(vector_to_array(FEATURES).alias("x"), middle.alias("m"), spread.alias("s"))
-            values = F.transform(parts, lambda p: (p["x"] - p["m"]) / F.when(p["s"] > 0, p["s"]).otherwise(1.0))
-            return table.select(array_to_vector(values).alias(FEATURES), LABEL)
+            x, wide = F.col("__x"), table.select(vector_to_array(FEATURES).alias("__x"), LABEL)
+            if width <= COMPILED_WIDTH:
+                values = F.array(*[(F.get(x, F.lit(i)) - F.lit(m)) / F.lit(s) for i, (m, s) in enumerate(zip(middle, spread, strict=True))])
+            else:
+                parts = F.arrays_zip(x.alias("x"), literal_array(middle).alias("m"), literal_array(spread).alias("s"))
+                values = F.transform(parts, lambda p: (p["x"] - p["m"]) / p["s"])
+            return wide.select(array_to_vector(values).alias(FEATURES), LABEL)
 
         train, test = scaled(train), scaled(test)
     classes = len(space.labels(target)) if task == "classification" else 0
@@ -119,9 +135,9 @@ def estimator(model: str, task: str, classes: int, width: int, seed: int = 1000,
     if model == "linear":
         return LinearRegression(**common)
     if model == "tree":
-        return DecisionTreeRegressor(**common, maxDepth=15, seed=seed)
+        return DecisionTreeRegressor(**common, weightCol=WEIGHT, maxBins=TREE_BINS, maxDepth=15, seed=seed)
     if model == "mlp":
-        return GBTRegressor(**common, maxIter=20, seed=seed)
+        return GBTRegressor(**common, weightCol=WEIGHT, maxBins=TREE_BINS, maxIter=20, seed=seed)
     raise ValueError(f"unknown regressor {model!r}; choose from {REGRESSORS}")
 
 
@@ -138,6 +154,67 @@ def _boosted(ready: Prepared, train: DataFrame) -> DataFrame:
     return boosting.predict(rows, columns, [LABEL], model, classes).withColumnRenamed(LABEL, "label")
 
 
+def spark_borders(values: np.ndarray, counts: np.ndarray, expected: float, bins: int) -> list[float]:
+    """The borders between the bins of a feature by the rule of Spark's trees, from its sorted values and their counts.
+
+    As there, zeros are what the other values leave of the `expected` rows.
+    """
+    counts, values = counts[values != 0].astype(float), values[values != 0]
+    if not len(values):
+        return []
+    zeros = expected - counts.sum()
+    if zeros > np.finfo(float).eps * counts.sum() * 100:
+        at = np.searchsorted(values, 0.0)
+        values, counts = np.insert(values, at, 0.0), np.insert(counts, at, zeros)
+    middles = (values[:-1] + values[1:]) / 2
+    if len(middles) < bins:
+        return middles.tolist()
+    stride = expected / bins
+    found, running, target = [], counts[0], stride
+    for middle, count in zip(middles.tolist(), counts[1:].tolist(), strict=True):
+        if abs(running - target) < abs(running + count - target):
+            found.append(middle)
+            target += stride
+        running += count
+    return found
+
+
+def tree_borders(train: DataFrame, width: int, seed: int, bins: int = TREE_BINS) -> list[list[float]]:
+    """The borders that Spark's trees of this seed would take for their bins: it finds them on a draw of about 10,000 rows."""
+    spark, rows, x = train.sparkSession, train.count(), train.select(FEATURES)
+    wanted = max(bins * bins, 10_000)
+    if wanted < rows:
+        draw = spark.sparkContext._jvm.org.apache.spark.util.random.XORShiftRandom(seed).nextInt()
+        taken = x._jdf.javaRDD().sample(False, wanted / rows, draw)
+        x = DataFrame(spark._jsparkSession.createDataFrame(taken, x._jdf.schema()), spark)
+    wide = x.select(F.posexplode(vector_to_array(FEATURES)).alias("feature", "value"))
+    found = wide.groupBy("feature", "value").agg(F.count("*").alias("n")).toArrow()
+    feature, value, n = (found[c].to_numpy() for c in ("feature", "value", "n"))
+    order = np.lexsort((value, feature))
+    feature, value, n = feature[order], value[order], n[order]
+    ends = np.searchsorted(feature, np.arange(width + 1))
+    expected = float(rows) if wanted >= rows else wanted / rows * rows
+    return [spark_borders(value[a:b], n[a:b], expected, min(bins, rows)) for a, b in zip(ends, ends[1:])]
+
+
+def _binned(table: DataFrame, borders: list[list[float]]) -> DataFrame:
+    """(label, bin number of each feature): the borders below its value."""
+    wide = table.select(LABEL, vector_to_array(FEATURES).alias("__x"))
+    return with_edge_counts(wide, {f"__b{f}": (F.get("__x", F.lit(f)), own, False) for f, own in enumerate(borders)}).drop("__x")
+
+
+def _bin_vector(borders: list[list[float]]) -> Column:
+    return array_to_vector(F.array(*[F.col(f"__b{f}").cast("double") for f in range(len(borders))]).cast("array<double>")).alias(FEATURES)
+
+
+def tree_cells(train: DataFrame, width: int, seed: int) -> tuple[list[list[float]], DataFrame]:
+    """Borders, and one weighted row for all rows with equal bins: their number and mean label are all that a regression tree reads."""
+    borders = tree_borders(train, width, seed) if width else []
+    rows = _binned(train, borders)
+    found = rows.groupBy(*[F.col(f"__b{f}") for f in range(width)]).agg(F.avg(LABEL).alias(LABEL), F.count("*").cast("double").alias(WEIGHT))
+    return borders, stored(found.select(_bin_vector(borders), LABEL, WEIGHT), "tree_cells")
+
+
 def fit_predict(ready: Prepared, model: str, seed: int = 1000) -> DataFrame:
     """L1: predictions for the real rows: (label, prediction, probability array or NULL).
 
@@ -155,11 +232,20 @@ def fit_predict(ready: Prepared, model: str, seed: int = 1000) -> DataFrame:
         if model == "xgb":
             return _boosted(ready, train)
     else:
-        train = ready.train.persist()
+        train = ready.train if ready.kept else ready.train.persist()
+    test = ready.test
+    if ready.task == "regression" and model in ("tree", "mlp"):
+        if seed not in ready.cells:
+            ready.cells[seed] = tree_cells(train, ready.width, seed)
+        borders, fitted_on = ready.cells[seed]
+        test = _binned(test, borders).select(_bin_vector(borders), LABEL)
+    else:
+        fitted_on = train
     rows = float(train.agg(F.sum(WEIGHT)).first()[0]) if model == "logistic" and ready.task == "classification" else math.inf
-    fitted = estimator(model, ready.task, ready.classes, ready.width, seed, rows).fit(train)
-    train.unpersist()
-    scored = fitted.transform(ready.test)
+    fitted = estimator(model, ready.task, ready.classes, ready.width, seed, rows).fit(fitted_on)
+    if train is not ready.train or not ready.kept:
+        train.unpersist()
+    scored = fitted.transform(test)
     if "probability" in scored.columns:
         probability = vector_to_array("probability")
     elif "rawPrediction" in scored.columns:
@@ -276,7 +362,7 @@ def efficacy_models(real: DataFrame, fake: DataFrame, target: str, models: list[
     """Several models on one prepared pair of feature tables."""
     ready = prepare(real, fake, target, options.get("types"), options.get("fit"))
     # frozen, not cached: nothing has to be released after the lazy scores were read
-    ready = replace(ready, train=freeze(ready.train), test=freeze(ready.test))
+    ready = replace(ready, train=freeze(ready.train), test=freeze(ready.test), kept=True)
     result = None
     for model in models:
         part = efficacy_test(real, fake, target, model, options.get("scorers"), ready=ready)
